@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import maintenance
+from . import ledger, maintenance, texts
 
-_MODULES = (maintenance,)
+_MODULES = (ledger, texts, maintenance)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}

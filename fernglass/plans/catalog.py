@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import ledger, maintenance, search, state, texts
+from . import ledger, maintenance, search, state, structure, texts
 
-_MODULES = (ledger, texts, maintenance, state, search)
+_MODULES = (ledger, texts, maintenance, state, search, structure)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}

@@ -50,7 +50,7 @@ def _block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, text in zip(batch.column("_block").to_pylist(), batch.column("_text").to_pylist()):
             if text:
                 seen.setdefault(block, set()).update(_words(text))
-        while len(seen) > 4:  # rows of a block need not come together, so a block may be stated twice; the caller removes repeats
+        while len(seen) > 4:  # rows of a block need not come together, so a word of it may be stated twice, which does no harm
             block, words = next(iter(seen.items()))
             del seen[block]
             yield _word_batch(block, words)
@@ -63,11 +63,18 @@ def _word_batch(block: int, words: set[str]) -> pa.RecordBatch:
 
 
 def _encode_words(path: str):
+    """The ids of each (block, word); rows of a word come together, so each distinct word is encoded once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode_ordinary
+        last, ids = None, []
         for batch in batches:
-            ids = [encode(word) for word in batch.column("_word").to_pylist()]
-            yield pa.record_batch([batch.column("_word"), pa.array(ids, pa.list_(pa.int32()))], ["_word", "_ids"])
+            out = []
+            for word in batch.column("_word").to_pylist():
+                if word != last:
+                    last, ids = word, encode(word)
+                out.append(ids)
+            yield pa.record_batch([batch.column("_block"), batch.column("_word"), pa.array(out, pa.list_(pa.int32()))], ["_block", "_word", "_ids"])
 
     return run
 
@@ -111,9 +118,9 @@ def encode_documents(documents: DataFrame, tokenizer: str = "byte_bpe_50k", *, c
     spark: SparkSession = documents.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks)
     texts = texts.withColumn("_block", F.pmod(F.xxhash64("doc_id", F.length("_text")), F.lit(blocks))).repartition(parts, "_block")
-    words = texts.mapInArrow(_block_words, "_block long, _word string").distinct()
-    encoded = words.select("_word").distinct().mapInArrow(_encode_words(path), "_word string, _ids array<int>")
-    words = words.join(encoded, "_word").select("_block", "_word", "_ids")
+    # the distinct-word table is laid out by word: a word's rows, at most one for each block and partition, meet where it is encoded
+    words = texts.mapInArrow(_block_words, "_block long, _word string").repartition(parts, "_word").sortWithinPartitions("_word")
+    words = words.mapInArrow(_encode_words(path), "_block long, _word string, _ids array<int>")
     out = "doc_id long, n_tokens long" if counts_only else "doc_id long, ids array<int>"
     return texts.groupBy("_block").cogroup(words.groupBy("_block")).applyInArrow(_place(counts_only), out)
 

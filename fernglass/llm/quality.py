@@ -157,15 +157,19 @@ def _count(part: int):
     return run
 
 
-def _count_borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _add_borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents with the counts of their border lines added; most have none."""
     for batch in batches:
-        columns: list[list] = [[] for _ in range(2 + len(_COUNTS))]
-        for doc, key, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "_key", "_borders"))):
-            tally: Counter = Counter()
-            part_counts(text, tally)
-            for column, value in zip(columns, (doc, key, *(tally[c] for c in _COUNTS))):
-                column.append(value)
-        yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], ["doc_id", "_key", *_COUNTS])
+        own = {c: batch.column(c).to_pylist() for c in _COUNTS} if batch.column("_borders").null_count < len(batch) else None
+        if own:
+            for k, text in enumerate(batch.column("_borders").to_pylist()):
+                if text:
+                    tally: Counter = Counter()
+                    part_counts(text, tally)
+                    for c, n in tally.items():
+                        own[c][k] += n
+        counts = [pa.array(own[c], pa.int64()) if own else batch.column(c) for c in _COUNTS]
+        yield pa.record_batch([batch.column("doc_id"), batch.column("_key"), *counts], ["doc_id", "_key", *_COUNTS])
 
 
 def text_statistics(documents: DataFrame, part: int = PART) -> DataFrame:
@@ -179,14 +183,12 @@ def text_statistics(documents: DataFrame, part: int = PART) -> DataFrame:
     kinds = ", ".join(f"{c} long" for c in _COUNTS)
     counted = rows.mapInArrow(_count(part), f"doc_id long, _key long, _part long, _parts long, _head string, _tail string, {kinds}")
     once = counted.groupBy("doc_id", "_key", "_part").agg(F.any_value("_parts").alias("_parts"), F.any_value("_head").alias("_head"), F.any_value("_tail").alias("_tail"), *(F.any_value(c).alias(c) for c in _COUNTS))
-    whole = once.filter("_parts = 1").select("doc_id", "_key", *_COUNTS)
-    cut = once.filter("_parts > 1")
     # a tail runs into the next part's head; a part without a line break only hands its text on
     ends = F.concat(F.coalesce("_head", F.lit("")), F.when(F.col("_tail").isNotNull(), F.concat(F.lit("\n"), F.col("_tail"))).otherwise(""))
-    borders = cut.groupBy("doc_id", "_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_part", ends.alias("e")))), lambda x: x["e"]), "").alias("_borders"))
-    joined = borders.mapInArrow(_count_borders, f"doc_id long, _key long, {kinds}")
-    sums = cut.select("doc_id", "_key", *_COUNTS).unionByName(joined).groupBy("doc_id", "_key").agg(*(F.sum(c).alias(c) for c in _COUNTS))
-    return _judge(whole.unionByName(sums))
+    border = F.when(F.col("_parts") > 1, F.struct("_part", ends.alias("e")))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(border)), lambda x: x["e"]), "")
+    sums = once.groupBy("doc_id", "_key").agg(*(F.sum(c).alias(c) for c in _COUNTS), F.when(F.max("_parts") > 1, joined).alias("_borders"))
+    return _judge(sums.mapInArrow(_add_borders, f"doc_id long, _key long, {kinds}"))
 
 
 def _judge(counts: DataFrame) -> DataFrame:

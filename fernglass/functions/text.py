@@ -39,6 +39,11 @@ VERSION_END = r"(?i)(?:[._\-\s(]|^)(?:v|ver|rev|r|draft|final|copy)?\s*\d{0,3}\)
 DATE_LIKE = r"\d{4}[-_]?\d{2}(?:[-_]?\d{2})?"
 
 
+def stripped(text: Column) -> Column:
+    """The text without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def document_key(source: Column, uri: Column) -> Column:
     """The first 32 hex digits of the SHA-256 of source, NUL and path."""
     return F.substring(F.sha2(F.concat(source, F.char(F.lit(0)), uri), 256), 1, 32)
@@ -156,13 +161,13 @@ def squashed(text: Column) -> Column:
 
 def tidy_answer(text: Column) -> Column:
     """A model's markdown without its code fence, comments and surplus blank lines."""
-    bare = F.regexp_replace(F.trim(text), r"(?s)^```[a-z]*\n(.*?)\n?```$", "$1")
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"(?s)<!--.*?-->", ""), r"\n{3,}", "\n\n"))
+    bare = F.regexp_replace(stripped(text), r"(?s)^```[a-z]*\n(.*?)\n?```$", "$1")
+    return stripped(F.regexp_replace(F.regexp_replace(bare, r"(?s)<!--.*?-->", ""), r"\n{3,}", "\n\n"))
 
 
 def lacks_text(text: Column, least: int) -> Column:
     """Whether a page has too little text to be read and does not say that it is blank on purpose."""
-    bare = F.trim(text)
+    bare = stripped(text)
     return (F.length(bare) < least) & ~F.lower(bare).rlike(r"intentionally\s+(?:left\s+)?blank")
 
 

@@ -74,10 +74,10 @@ ORACLES = {
         n AS (SELECT chunk_id, regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)*') AS m, regexp_extract_all(locator, '[0-9]+(?:[.,][0-9]+)*') AS h FROM c),
         f AS (SELECT chunk_id, m, list_concat(h, list_transform(h, lambda x: regexp_replace(x, '[^0-9]', '', 'g'))) AS h FROM n)
         SELECT chunk_id, CAST(len(list_distinct(list_filter(m, lambda x: NOT list_contains(h, x) AND NOT list_contains(h, regexp_replace(x, '[^0-9]', '', 'g'))))) AS INT) AS n_missing FROM f""",
-    "transcript_turns": """
+    "transcript_turns": r"""
         SELECT source_id AS path, doc_id * 2 AS line, CASE WHEN doc_id % 2 = 0 THEN 'user' ELSE 'assistant' END AS kind,
-               CAST(length(CASE WHEN doc_id % 2 = 0 THEN 'user: ' ELSE 'assistant: ' END || trim(text)) AS INT) AS n_chars
-        FROM documents WHERE text IS NOT NULL AND trim(text) <> '' AND doc_id % 7 <> 0""",
+               CAST(length(CASE WHEN doc_id % 2 = 0 THEN 'user: ' ELSE 'assistant: ' END || regexp_replace(text, '^\s+|\s+$', '', 'g')) AS INT) AS n_chars
+        FROM documents WHERE regexp_matches(text, '\S') AND doc_id % 7 <> 0""",
     "transcript_facts": "SELECT source_id AS path, arg_max(title, doc_id) FILTER (title <> '') AS title, min('t' || lpad(doc_id::VARCHAR, 9, '0')) AS first_ts, max('t' || lpad(doc_id::VARCHAR, 9, '0')) AS last_ts FROM documents WHERE text IS NOT NULL GROUP BY 1",
     "receipt_validate": _LEDGER + " SELECT id, txn_date, abs(amount_cents) AS amount_cents, 'USD' AS currency, 0 AS needs_review FROM r",
     "event_windows": "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",

@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import stripped
 from ..operators.report import DOMAIN_TIERS
 
 #: Kinds of sources, those not built, what is never read, and the suffixes of texts.
@@ -134,7 +135,7 @@ def extractor_of(path: Column) -> Column:
 
 def extract_texts(files: DataFrame) -> DataFrame:
     """``rel_uri, title, text, status, extractor, mtime, size_bytes`` of plain and markdown files; large, binary and blank ones are empty."""
-    text = F.trim(F.decode(F.col("content"), "UTF-8"))
+    text = stripped(F.decode(F.col("content"), "UTF-8"))
     heading = F.regexp_extract(text, r"(?m)^#\s+(.+?)\s*#*\s*$", 1)
     stem = F.regexp_replace(F.regexp_replace("rel_uri", "^.*/", ""), r"(?<=.)\.[^.]*$", "")
     binary = F.expr(f"instr(hex(substring(content, 1, {PROBED})), '00') % 2 = 1")
@@ -159,7 +160,7 @@ def transcript_blocks(lines: DataFrame, thinking: bool = False, sidechains: bool
     if not sidechains:
         rows = rows.filter(F.coalesce(get("isSidechain"), F.lit("false")) != "true")
     plain = rows.filter(F.col("_content").isNotNull() & ~F.col("_content").rlike(r"^\s*\[\s*\{"))
-    plain = plain.select("path", "line", F.lit(0).alias("part"), F.col("_role").alias("kind"), F.concat(F.col("_role"), F.lit(": "), F.trim("_content")).alias("text"), F.trim("_content").alias("_own"))
+    plain = plain.select("path", "line", F.lit(0).alias("part"), F.col("_role").alias("kind"), F.concat(F.col("_role"), F.lit(": "), stripped(F.col("_content"))).alias("text"), stripped(F.col("_content")).alias("_own"))
     parts = rows.filter(F.col("_content").rlike(r"^\s*\[\s*\{")).select("path", "line", "_role", F.posexplode(F.from_json("_content", _CONTENT)).alias("part", "b"))
     values = [F.trim(F.try_element_at("b.input", F.lit(f))) for f in TOOL_FIELDS]
     known = F.coalesce(*(F.when(v != "", v) for v in values))
@@ -168,7 +169,7 @@ def transcript_blocks(lines: DataFrame, thinking: bool = False, sidechains: bool
     nested = F.array_join(F.from_json("b.content", "array<struct<text:string>>").getField("text"), "\n")
     error = F.substring(F.trim(F.coalesce(nested, "b.content", F.lit(""))), 1, ERROR_CHARS)
     kind = F.col("b.type")
-    own = F.when(kind == "text", F.trim("b.text")).when((kind == "thinking") & F.lit(thinking), F.trim("b.thinking")).when(kind == "tool_use", call).when((kind == "tool_result") & F.col("b.is_error"), error)
+    own = F.when(kind == "text", stripped(F.col("b.text"))).when((kind == "thinking") & F.lit(thinking), stripped(F.col("b.thinking"))).when(kind == "tool_use", call).when((kind == "tool_result") & F.col("b.is_error"), error)
     label = F.when(kind == "text", F.col("_role")).when(kind == "tool_result", "tool_error").otherwise(kind)
     shown = F.when(kind == "text", F.concat(F.col("_role"), F.lit(": "), own)).when(kind == "thinking", F.concat(F.lit("thinking: "), own)).when(kind == "tool_result", F.concat(F.lit("error: "), own)).otherwise(own)
     parts = parts.select("path", "line", "part", label.alias("kind"), shown.alias("text"), own.alias("_own"))

@@ -187,9 +187,10 @@ def _roots(parsed: DataFrame, rounds: int = 3) -> DataFrame:
     links = _similar_cores(parsed).join(used.select(F.col("core").alias("a"), F.col("use").alias("a_use")), "a").join(used.select(F.col("core").alias("b"), F.col("use").alias("b_use")), "b")
     up = links.filter(F.struct("b_use", "b") > F.struct("a_use", "a")).groupBy("a").agg(F.max(F.struct("b_use", "b")).alias("best"))
     roots = used.select("core").join(up.select(F.col("a").alias("core"), F.col("best.b").alias("up")), "core", "left").select("core", F.coalesce("up", "core").alias("root"))
+    roots = cut(roots)  # each round reads it twice
     for _ in range(rounds):
         step = roots.select(F.col("core").alias("root"), F.col("root").alias("next"))
-        roots = roots.join(step, "root").select("core", F.col("next").alias("root"))
+        roots = cut(roots.join(step, "root").select("core", F.col("next").alias("root")))
     return roots
 
 

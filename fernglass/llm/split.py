@@ -10,6 +10,8 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 LIMIT, OVERLAP = 480, 64
 
 _TOKENS = regex.compile(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]")
@@ -87,7 +89,7 @@ def split_oversized(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLA
     pieces = long.mapInArrow(_split(limit, overlap), "chunk_id string, doc_id long, chunk_index long, heading_path array<string>, piece long, first_char long, text string, token_count long")
     key = ["chunk_id", "doc_id", "chunk_index", "piece", "first_char"]
     pieces = pieces.groupBy(*key).agg(F.max(F.struct("text", "token_count", "heading_path")).alias("r")).select(*key, "r.*")
-    return _renumber(pieces)
+    return _renumber(cut(pieces))
 
 
 def _renumber(pieces: DataFrame, width: int = 4096) -> DataFrame:

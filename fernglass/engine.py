@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions.text import stale_banner
 from .operators import ledger, maintain, report, search
+from .session import ship
 from .sources.tables import table
 
 VIEWS = ("overview", "documents", "lifecycle", "quarantine")
@@ -16,7 +17,7 @@ class Engine:
     """Retrieval, ledger and reports over ``documents``, ``chunks``, ``ledger``, ``runs``, ``sources`` and ``quarantine``."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder = ship(spark), folder
 
     def table(self, name: str) -> DataFrame:
         return table(self.spark, self.folder, name)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +27,23 @@ def get_session(master: str = "local[8]", shuffle_partitions: int = 8, **conf: s
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    return ship(spark)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Hand this package to the executors, once for each application, so that their Python workers find it wherever they start."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        _SHIPPED.add(context.applicationId)
+        package = Path(__file__).parent
+        path = Path(tempfile.mkdtemp(prefix="fernglass-")) / f"{package.name}.zip"  # the driver serves it from here
+        with zipfile.ZipFile(path, "w") as out:
+            for file in sorted(package.rglob("*.py")):
+                out.write(file, file.relative_to(package.parent))
+        context.addPyFile(str(path))
     return spark
 
 

@@ -11,13 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Parts of an ISO 8601 instant: date, time with optional fraction, offset.
-_ISO = r"^\s*(\d{4}-\d{2}-\d{2})[T ](\d{2}:\d{2}(?::\d{2})?(?:\.\d{1,6})?)\d*\s*([Zz]|[+-]\d{2}:?\d{2})?\s*$"
+_ISO = r"^\s*(\d{4}-\d{2}-\d{2})[T ](\d{2}:\d{2}(?::\d{2})?(?:\.\d{1,6})?)\d*\s*([Zz]|[+-]\d{2}(?::?\d{2})?)?\s*$"
 
 
 def instant(text: Column) -> Column:
     """An ISO 8601 text with any offset as a timestamp in UTC; no offset means UTC, other text is null."""
     parts = F.regexp_replace(text, _ISO, "$1 $2 $3")
-    zoned = F.regexp_replace(F.regexp_replace(parts, r"\s*[Zz]?$", ""), r"\s+([+-]\d{2}):?(\d{2})$", "$1:$2")
+    zoned = F.regexp_replace(F.regexp_replace(parts, r"\s*[Zz]?$", ""), r"\s+([+-]\d{2})$", "$1:00")
+    zoned = F.regexp_replace(zoned, r"\s+([+-]\d{2}):?(\d{2})$", "$1:$2")
     stamped = F.when(zoned.rlike(r"[+-]\d{2}:\d{2}$"), zoned).otherwise(F.concat(zoned, F.lit("+00:00")))
     return F.when(text.rlike(_ISO), F.try_to_timestamp(stamped))
 

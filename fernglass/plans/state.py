@@ -42,7 +42,7 @@ _LATEST_PER_SOURCE = "run_id = (SELECT max(last_seen_run) FROM documents)"
 QUERIES = {
     "count_by_status": lambda s, d: R.count_by(_docs(s, d), "status"),
     "count_by_lifecycle": lambda s, d: R.count_by(_docs(s, d).filter("tier = 'open'"), "lifecycle"),
-    "chunks_by_domain_zero_filled": lambda s, d: R.chunks_by_domain(_chunks(s, d).filter("chunk_index > 12"), "open"),
+    "chunks_by_domain_zero_filled": lambda s, d: R.chunks_by_domain(_chunks(s, d), "open"),
     "not_active_count": lambda s, d: _docs(s, d).agg(F.count_if(F.col("lifecycle") != "active").alias("n")),
     "tiers_by_source": lambda s, d: table(s, d, "sources").select("source_id", R.tier_of(F.col("domain")).alias("tier")),
     "document_list_match": lambda s, d: R.matching_documents(_docs(s, d), match="PUMP"),

@@ -75,11 +75,11 @@ def freshness(runs: DataFrame, now: Column, limits: dict[str, float], default: f
 def rank_changes(latest: DataFrame, previous: DataFrame) -> DataFrame:
     """``id, rank, previous_rank, change`` of an evaluation beside the one before; changes are stated only for equal question sets.
 
-    Each side has ``questions_hash`` and ``per_question``, an array of (id, rank)."""
-    cut = lambda df, r: df.select("questions_hash", F.inline("per_question")).select(F.col("questions_hash").alias(f"_{r}"), "id", F.col("rank").alias(r))
+    Each side has a row ``questions_hash, id, rank`` per question."""
+    cut = lambda df, r: df.select(F.col("questions_hash").alias(f"_{r}"), "id", F.col("rank").alias(r))
     both = cut(latest, "rank").join(cut(previous, "previous_rank"), "id", "left")
-    change = F.when(F.col("_rank") == F.col("_previous_rank"), F.col("previous_rank") - F.col("rank"))
-    return both.select("id", "rank", F.when(F.col("_rank") == F.col("_previous_rank"), F.col("previous_rank")).alias("previous_rank"), change.alias("change"))
+    same = F.col("_rank") == F.col("_previous_rank")
+    return both.select("id", "rank", F.when(same, F.col("previous_rank")).alias("previous_rank"), F.when(same, F.col("previous_rank") - F.col("rank")).alias("change"))
 
 
 def runs_over(runs: DataFrame, sources: DataFrame, limit: int = 10) -> DataFrame:

@@ -55,9 +55,7 @@ QUERIES = {
     "runs_over_open_sources": lambda s, d: R.runs_over(table(s, d, "runs").select("run_id", "started_at", "sources_run").distinct(), table(s, d, "sources").filter(F.col("domain").isin(*R.domains_in("open")))).select("run_id", F.array_join("open_sources", ",").alias("open_sources")),
     "source_counts": lambda s, d: R.recorded_sources(table(s, d, "sources").withColumn("enabled", F.col("source_id") != "inbox:notes"), table(s, d, "sources"), _chunks(s, d).groupBy("source_id").agg(F.count("*").alias("n"))).select("source_id", "domain", "configured", "chunks"),
     "model_rows": lambda s, d: R.model_rows(_chunks(s, d).join(_docs(s, d).select("doc_id", "uri", "lifecycle"), "doc_id").withColumn("score", F.col("chunk_index") / 7)).select("doc_id", "chunk_index", "citation", "score", "lifecycle"),
-    "eval_rank_compare": lambda s, d: R.rank_changes(*(
-        _docs(s, d).filter("doc_id <= 40").agg(F.lit("h").alias("questions_hash"), F.collect_list(F.struct(F.col("doc_id").cast("string").alias("id"), (F.col("n_chars") % m + 1).cast("long").alias("rank"))).alias("per_question")) for m in (7, 5)
-    )),
+    "eval_rank_compare": lambda s, d: R.rank_changes(*(_docs(s, d).select(F.lit("h").alias("questions_hash"), F.col("doc_id").cast("string").alias("id"), (F.col("n_chars") % m + 1).cast("long").alias("rank")) for m in (7, 5))),
     "run_outcomes": lambda s, d: M.run_counters(table(s, d, "doc_log").distinct().select(F.col("run_id").alias("source_id"), "outcome"), ["indexed", "skipped", "empty", "failed"]).withColumnRenamed("source_id", "run_id"),
     "tombstone_anti_join": lambda s, d: M.drop_documents(_chunks(s, d), _docs(s, d).filter("lifecycle <> 'active'")).groupBy("source_id").agg(F.count("*").alias("n")),
     "chunk_diff": lambda s, d: M.changed_chunks(_chunks(s, d).select("chunk_id", "doc_id", "chunk_index", F.when(F.col("doc_id") % 3 == 0, F.upper("content_hash")).otherwise(F.col("content_hash")).alias("content_hash")), _chunks(s, d)).select("chunk_id"),

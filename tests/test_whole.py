@@ -6,6 +6,7 @@ import os
 import pytest
 
 import verify
+from fernglass.operators import report as R
 from fernglass.plans.catalog import QUERIES
 from fernglass.plans.state import _DUCK_CHUNKS
 
@@ -13,6 +14,7 @@ FOLDER = "/root/testdata/sf0.001"
 #: The whole job of queries whose registered SQL states less.
 WHOLE_SQL = {
     "chunks_by_domain_zero_filled": _DUCK_CHUNKS + " SELECT v.domain, count(c.chunk_id) AS n FROM (VALUES ('infra'), ('manuals'), ('notes'), ('sdk-docs')) v(domain) LEFT JOIN c ON c.domain = v.domain GROUP BY 1",
+    "eval_rank_compare": "SELECT CAST(doc_id AS VARCHAR) AS id, CAST(n_chars % 7 + 1 AS BIGINT) AS rank, CAST(n_chars % 5 + 1 AS BIGINT) AS previous_rank, CAST(n_chars % 5 AS BIGINT) - CAST(n_chars % 7 AS BIGINT) AS change FROM documents",
 }
 
 
@@ -50,3 +52,15 @@ def test_chunks_of_every_domain_are_counted(spark, tables):
     folder = tables(chunks=spark.createDataFrame(rows, CHUNKS))
     found = {r["domain"]: r["n"] for r in QUERIES["chunks_by_domain_zero_filled"](spark, folder).collect()}
     assert found == {"infra": 0, "manuals": 3, "notes": 1, "sdk-docs": 1}
+
+
+def test_ranks_of_every_document_are_compared(spark, tables):
+    folder = tables(documents=spark.createDataFrame([(n, n) for n in range(1, 101)], "doc_id long, n_chars long"))
+    found = {r["id"]: (r["rank"], r["previous_rank"], r["change"]) for r in QUERIES["eval_rank_compare"](spark, folder).collect()}
+    assert len(found) == 100 and found["41"] == (7, 2, -5) and found["100"] == (3, 1, -2)
+
+
+def test_changes_are_stated_for_equal_questions_only(spark):
+    latest = spark.createDataFrame([("h", "a", 1), ("h", "b", 2)], "questions_hash string, id string, rank long")
+    previous = spark.createDataFrame([("h", "a", 3), ("other", "b", 1)], "questions_hash string, id string, rank long")
+    assert sorted(map(tuple, R.rank_changes(latest, previous).collect())) == [("a", 1, 3, 2), ("b", 2, None, None)]

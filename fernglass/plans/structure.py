@@ -24,9 +24,9 @@ def _lines(s, d):
 
 
 def _readings(s, d):
-    """Ledger rows as printed readings."""
-    rows = table(s, d, "ledger").dropDuplicates().filter("txn_date is not null and merchant is not null and amount_cents is not null")
-    printed = F.concat(F.lit("$"), F.format_number(F.abs("amount_cents") / 100, 2))
+    """All ledger rows as printed readings; what a row lacks isn't printed."""
+    rows = table(s, d, "ledger").dropDuplicates()
+    printed = F.concat(F.lit("$"), F.format_number(F.col("amount_cents") / 100, 2))
     reading = F.struct(F.col("merchant"), F.col("txn_date").alias("date"), F.lit("usd").alias("currency"), printed.alias("total"), F.col("payment_method"), F.col("category"))
     return rows.select("id", F.to_json(reading).alias("reading"), F.lit("2026-01-01").alias("fallback_date"))
 

@@ -15,6 +15,10 @@ FOLDER = "/root/testdata/sf0.001"
 WHOLE_SQL = {
     "chunks_by_domain_zero_filled": _DUCK_CHUNKS + " SELECT v.domain, count(c.chunk_id) AS n FROM (VALUES ('infra'), ('manuals'), ('notes'), ('sdk-docs')) v(domain) LEFT JOIN c ON c.domain = v.domain GROUP BY 1",
     "eval_rank_compare": "SELECT CAST(doc_id AS VARCHAR) AS id, CAST(n_chars % 7 + 1 AS BIGINT) AS rank, CAST(n_chars % 5 + 1 AS BIGINT) AS previous_rank, CAST(n_chars % 5 AS BIGINT) - CAST(n_chars % 7 AS BIGINT) AS change FROM documents",
+    "receipt_validate": """
+        WITH r AS (SELECT DISTINCT * FROM ledger), x AS (SELECT *, coalesce(try_cast(txn_date AS DATE) BETWEEN DATE '2000-01-01' AND DATE '2026-12-31', false) AS dated FROM r)
+        SELECT id, CASE WHEN dated THEN txn_date ELSE '2026-01-01' END AS txn_date, coalesce(amount_cents, 0) AS amount_cents, 'USD' AS currency,
+               CASE WHEN NOT dated OR amount_cents IS NULL OR amount_cents < 0 THEN 1 ELSE 0 END AS needs_review FROM x""",
 }
 
 
@@ -64,3 +68,15 @@ def test_changes_are_stated_for_equal_questions_only(spark):
     latest = spark.createDataFrame([("h", "a", 1), ("h", "b", 2)], "questions_hash string, id string, rank long")
     previous = spark.createDataFrame([("h", "a", 3), ("other", "b", 1)], "questions_hash string, id string, rank long")
     assert sorted(map(tuple, R.rank_changes(latest, previous).collect())) == [("a", 1, 3, 2), ("b", 2, None, None)]
+
+
+LEDGER = "id long, txn_date string, merchant string, amount_cents long, payment_method string, category string"
+
+
+def test_every_ledger_row_is_read(spark, tables):
+    rows = [(1, "2026-03-04", "Shop", 550, None, "fuel"), (2, None, "Shop", 550, None, "fuel"), (3, "2026-03-04", None, 550, None, "fuel"), (4, "2026-03-04", "Shop", None, None, "fuel"), (5, "2026-03-04", "Shop", -123456, None, "fuel"), (6, None, None, None, None, None)]
+    folder = tables(ledger=spark.createDataFrame([*rows, rows[0]], LEDGER))
+    found = {r["id"]: (r["txn_date"], r["amount_cents"], r["needs_review"]) for r in QUERIES["receipt_validate"](spark, folder).collect()}
+    assert found == {1: ("2026-03-04", 550, 0), 2: ("2026-01-01", 550, 1), 3: ("2026-03-04", 550, 0), 4: ("2026-03-04", 0, 1), 5: ("2026-03-04", -123456, 1), 6: ("2026-01-01", 0, 1)}
+    texts = {r["id"]: r["text"].split("\n") for r in QUERIES["receipt_text"](spark, folder).collect()}
+    assert len(texts) == 6 and texts[5] == ["Shop", "Date: 2026-03-04", "Total: $-1,234.56", "Category: fuel"] and texts[6] == ["Unknown merchant"]

@@ -80,3 +80,11 @@ def test_every_ledger_row_is_read(spark, tables):
     assert found == {1: ("2026-03-04", 550, 0), 2: ("2026-01-01", 550, 1), 3: ("2026-03-04", 550, 0), 4: ("2026-03-04", 0, 1), 5: ("2026-03-04", -123456, 1), 6: ("2026-01-01", 0, 1)}
     texts = {r["id"]: r["text"].split("\n") for r in QUERIES["receipt_text"](spark, folder).collect()}
     assert len(texts) == 6 and texts[5] == ["Shop", "Date: 2026-03-04", "Total: $-1,234.56", "Category: fuel"] and texts[6] == ["Unknown merchant"]
+
+
+def test_questions_are_whole_passages(spark, tables):
+    same = "the valve and the pump are in the manual of the plant and are to be looked at before each start by two persons of the shift who "
+    rows = [chunk(20, 0, "notes", same + "polish zirconium"), chunk(40, 0, "notes", "grease"), chunk(60, 0, "notes", " "), *(chunk(n, 0, "notes", same) for n in range(1, 13)), *(chunk(n, 0, "notes", "other words") for n in range(101, 113))]
+    folder = tables(chunks=spark.createDataFrame(rows, CHUNKS), documents=spark.createDataFrame([(r[1], f"{r[1]}.txt") for r in rows], "doc_id long, uri string"))
+    # by its first 120 characters alone document 20 comes after the twelve shorter ones
+    assert tuple(QUERIES["hit_at_k_mrr"](spark, folder).first()) == (2, 1.0, 1.0, 1.0)

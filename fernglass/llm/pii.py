@@ -14,13 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .lexicon import GIVEN_NAMES, SHORT_FORMS, TITLES
 from .names import one_edit
 from .quality import COMMON_WORDS
 
 KINDS = ("name", "email", "phone", "id_number", "address")
 LABELS = ("none", *KINDS)
-#: Texts that the field is fitted to, a bound; words known to be no names that are sent to every task, a bound.
+#: Texts that the field is fitted to, a bound; frequent words known to be no names that are sent to every task, a bound; all other such words are joined.
 SAMPLE, KNOWN = 4000, 60_000
 #: Tokens on either side of evidence that the field looks at, and rounds of message passing.
 CONTEXT, ROUNDS = 4, 4
@@ -421,11 +422,55 @@ def _count_case(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(list(low), pa.string()), pa.array([v[0] for v in low.values()], pa.int64()), pa.array([v[1] for v in low.values()], pa.int64())], ["word", "n_low", "n_cap"])
 
 
-def everyday_words(texts: DataFrame) -> frozenset[str]:
-    """Words that texts write in lower case, at most ``KNOWN`` of them: what no family name is."""
+class _Either:
+    """The frequent everyday words with a text's own rarer ones, without a copy of the former."""
+
+    def __init__(self, frequent: frozenset[str], rare: list[str] | None) -> None:
+        self.frequent, self.rare = frequent, frozenset(rare or ())
+
+    def __contains__(self, word: str) -> bool:
+        return word in self.frequent or word in self.rare
+
+
+def everyday_words(texts: DataFrame) -> tuple[frozenset[str], DataFrame | None]:
+    """Words that texts write in lower case, what no family name is: the ``KNOWN`` most frequent, and a column ``word`` of all others, None if there are none."""
     counts = texts.select("text").mapInArrow(_count_case, "word string, n_low long, n_cap long").groupBy("word").agg(F.sum("n_low").alias("n_low"), F.sum("n_cap").alias("n_cap"))
-    rows = counts.filter("n_low >= 3 and n_low * 2 >= n_cap").coalesce(32).orderBy(F.desc("n_low"), "word").limit(KNOWN).select("word").collect()
-    return frozenset(r[0] for r in rows)
+    words = cut(counts.filter("n_low >= 3 and n_low * 2 >= n_cap").select("word", "n_low"))
+    rows = words.coalesce(32).orderBy(F.desc("n_low"), "word").limit(KNOWN + 1).collect()
+    if len(rows) <= KNOWN:
+        return frozenset(r["word"] for r in rows), None
+    frequent, first = rows[:KNOWN], rows[KNOWN]
+    beyond = (F.col("n_low") < first["n_low"]) | ((F.col("n_low") == first["n_low"]) & (F.col("word") >= first["word"]))
+    return frozenset(r["word"] for r in frequent), words.filter(beyond).select("word")
+
+
+def asked_words(text: str, frequent: frozenset[str]) -> set[str]:
+    """Every word of a text that its labels may depend on, if it isn't frequent; none for texts without evidence, which rarer words can't give."""
+    if not spans(text, frequent):
+        return set()
+    pieces = {p.lower() for form in (_WORDS, _TOKEN, _NAME_TOKEN) for m in form.finditer(text) for t in (m.group(), m.group().rstrip(".")) for p in (t, *re.split(r"[-’']", t))}
+    return {p for p in pieces if p and p not in frequent and p not in COMMON_WORDS}
+
+
+def with_rare_words(texts: DataFrame, frequent: frozenset[str], rare: DataFrame | None) -> DataFrame:
+    """Texts with ``rare_words``, the everyday words beyond the frequent ones that their labels may depend on, by joins on the word and on the text's hash."""
+    if rare is None:
+        return texts.withColumn("rare_words", F.lit(None).cast("array<string>"))
+    shared = texts.sparkSession.sparkContext.broadcast(frequent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, words = [], []
+            for key, text in zip(batch.column("_key").to_pylist(), batch.column("text").to_pylist()):
+                asked = asked_words(text, shared.value)
+                keys += [key] * len(asked)
+                words += asked
+            yield pa.record_batch([pa.array(keys, pa.string()), pa.array(words, pa.string())], ["_key", "word"])
+
+    keyed = texts.withColumn("_key", F.sha2("text", 256))
+    asked = keyed.select("_key", "text").mapInArrow(run, "_key string, word string")
+    own = asked.join(rare, "word").groupBy("_key").agg(F.collect_set("word").alias("rare_words"))
+    return cut(keyed.join(own, "_key", "left").drop("_key"))
 
 
 def texts_of(chunks: DataFrame, quarantine: DataFrame) -> DataFrame:
@@ -435,14 +480,14 @@ def texts_of(chunks: DataFrame, quarantine: DataFrame) -> DataFrame:
     return a.unionByName(b).filter(F.col("text").rlike(r"\S") & F.col("row_key").isNotNull())
 
 
-def fit_field(texts: DataFrame, known: frozenset[str], sample: int = SAMPLE) -> SkipChainField:
-    """The field fitted to about ``sample`` texts chosen by the hash of their keys, never more than twice as many."""
+def fit_field(texts: DataFrame, frequent: frozenset[str], sample: int = SAMPLE) -> SkipChainField:
+    """The field fitted to about ``sample`` texts with ``rare_words`` chosen by the hash of their keys, never more than twice as many."""
     share = min(1.0, sample / max(1, texts.select("place").count()))
     # chosen by key, so that the same texts are chosen on every run; the limit only keeps the bound where chance goes beyond it
-    some = texts.filter(F.pmod(F.xxhash64("place", "row_key"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text").limit(2 * sample).collect()
+    some = texts.filter(F.pmod(F.xxhash64("place", "row_key"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text", "rare_words").limit(2 * sample).collect()
     rows = []
     for r in some:
-        if ready := prepare(r["text"][:20_000], known):
+        if ready := prepare(r["text"][:20_000], _Either(frequent, r["rare_words"])):
             found, tokens, x, edges, _ = ready
             rows.append((x, silver_labels(tokens, found), edges))
     return SkipChainField.fit(rows)
@@ -452,20 +497,21 @@ def find_personal(texts: DataFrame) -> DataFrame:
     """``place, row_key, text, entities`` of texts with personal information; entities are ``(start, end, kind)`` in characters.
 
     Repeated and late rows of a key give equal rows; null and blank texts give none; texts of any length are looked at whole."""
-    known = everyday_words(texts)
+    frequent, rare = everyday_words(texts)
+    texts = with_rare_words(texts, frequent, rare)
     spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast((known, fit_field(texts, known)))
+    shared = spark.sparkContext.broadcast((frequent, fit_field(texts, frequent)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, field = shared.value
+        frequent, field = shared.value
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
         for batch in batches:
             rows, out = [], []
-            for k, text in enumerate(batch.column("text").to_pylist()):
-                if hits := entities(text, words, field):
+            for k, (text, own) in enumerate(zip(batch.column("text").to_pylist(), batch.column("rare_words").to_pylist())):
+                if hits := entities(text, _Either(frequent, own), field):
                     rows.append(k)
                     out.append([{"start": a, "end": z, "kind": c} for a, z, c in hits])
-            kept = batch.take(pa.array(rows, pa.int64()))
+            kept = batch.select(["place", "row_key", "text"]).take(pa.array(rows, pa.int64()))
             yield pa.record_batch([*kept.columns, pa.array(out, kind)], ["place", "row_key", "text", "entities"])
 
     return texts.mapInArrow(run, "place string, row_key string, text string, entities array<struct<start:int,end:int,kind:string>>")

@@ -88,3 +88,13 @@ def test_questions_are_whole_passages(spark, tables):
     folder = tables(chunks=spark.createDataFrame(rows, CHUNKS), documents=spark.createDataFrame([(r[1], f"{r[1]}.txt") for r in rows], "doc_id long, uri string"))
     # by its first 120 characters alone document 20 comes after the twelve shorter ones
     assert tuple(QUERIES["hit_at_k_mrr"](spark, folder).first()) == (2, 1.0, 1.0, 1.0)
+
+
+def test_everyday_words_beyond_the_broadcast(spark, monkeypatch):
+    pii = pytest.importorskip("fernglass.llm.pii")
+    says = ["The pump was replaced by Mr Kaktup with few remarks.", "Ask Dr Gasket about the gasket and the flange.", "the gasket and the flange are new", "Signed by Leonard Tupgot, +1-437-555-0102, on the last page."]
+    texts = spark.createDataFrame([("chunks", f"c{n}", f"{says[n % 4]} x{n}") for n in range(40)], "place string, row_key string, text string")
+    found = lambda: sorted((r["row_key"], tuple(map(tuple, r["entities"]))) for r in pii.find_personal(texts).collect())
+    want = found()
+    monkeypatch.setattr(pii, "KNOWN", 2)
+    assert want and found() == want and "c1" not in dict(want)

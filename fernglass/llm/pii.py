@@ -277,15 +277,25 @@ def windows(text: str, found: list[tuple[int, int, str]], margin: int = 60) -> l
 
 
 def skip_edges(tokens: list[tuple[str, int, int]], unknown: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of distant tokens that are one name token, or one with a slip: each with the one before it that is like it."""
+    """Pairs of distant tokens that are one name token, or one with a slip: each with the one before it that is like it.
+
+    Tokens one slip apart share a form with at most one letter left out, by which they are found; of several the first seen counts."""
     last: dict[str, int] = {}
+    order: dict[str, int] = {}
+    near: dict[str, list[str]] = {}
     edges = []
     for k, (token, _, _) in enumerate(tokens):
         if unknown[k]:
             low = token.lower()
             other = last.get(low)
-            if other is None and len(low) > 4 and len(last) < 64:
-                other = next((i for t, i in last.items() if one_edit(t, low)), None)
+            if other is None:
+                forms = {low, *(low[:i] + low[i + 1 :] for i in range(len(low)))}
+                if len(low) > 4:
+                    like = min((t for form in forms for t in near.get(form, ()) if one_edit(t, low)), key=order.get, default=None)
+                    other = None if like is None else last[like]
+                order[low] = len(order)
+                for form in forms:
+                    near.setdefault(form, []).append(low)
             if other is not None and k - other > 1:
                 edges.append((other, k))
             last[low] = k
@@ -487,7 +497,7 @@ def fit_field(texts: DataFrame, frequent: frozenset[str], sample: int = SAMPLE)
     some = texts.filter(F.pmod(F.xxhash64("place", "row_key"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text", "rare_words").limit(2 * sample).collect()
     rows = []
     for r in some:
-        if ready := prepare(r["text"][:20_000], _Either(frequent, r["rare_words"])):
+        if ready := prepare(r["text"], _Either(frequent, r["rare_words"])):
             found, tokens, x, edges, _ = ready
             rows.append((x, silver_labels(tokens, found), edges))
     return SkipChainField.fit(rows)

@@ -98,3 +98,30 @@ def test_everyday_words_beyond_the_broadcast(spark, monkeypatch):
     want = found()
     monkeypatch.setattr(pii, "KNOWN", 2)
     assert want and found() == want and "c1" not in dict(want)
+
+
+def test_skip_edges_of_many_names():
+    pii = pytest.importorskip("fernglass.llm.pii")
+    np = pytest.importorskip("numpy")
+    rng = np.random.default_rng(5)
+    names = ["".join(rng.choice(list("abcdefgh"), 8)) for _ in range(200)]
+    tokens = [(t, 0, 0) for name in [*names, *(n[:3] + n[4:] for n in names), *(n[:4] + n[5] + n[4] + n[6:] for n in names)] for t in (name, "said")]
+    edges = pii.skip_edges(tokens, np.array([t != "said" for t, _, _ in tokens]))
+
+    last, want = {}, []
+    for k, (low, _, _) in enumerate(tokens):
+        if low != "said":
+            other = last.get(low, next((i for t, i in last.items() if pii.one_edit(t, low)), None))
+            if other is not None:
+                want.append((other, k))
+            last[low] = k
+    assert edges == want and len(edges) >= 400
+
+
+def test_field_is_fitted_to_whole_texts(spark, monkeypatch):
+    pii = pytest.importorskip("fernglass.llm.pii")
+    seen = []
+    monkeypatch.setattr(pii, "prepare", lambda text, known: seen.append(len(text)))
+    texts = spark.createDataFrame([("chunks", "a", "word " * 6_000, None)], "place string, row_key string, text string, rare_words array<string>")
+    pii.fit_field(texts, frozenset())
+    assert seen == [30_000]

@@ -239,7 +239,9 @@ def find_noise(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     right = lexicon.filter(f"n_clean >= {LEAST} and length(word) >= 3 and not word like '%-%'").select("word", F.col("n_clean").alias("n_word"), F.explode(keys("word")).alias("key"))
     candidates = left.join(right, "key").filter(f"read <> word and n_word >= {TIMES} * n").select("read", "word", "n_word").distinct()
     repairs = candidates.mapInPandas(_verify, "read string, word string, cost double, n_word long")
-    repairs = repairs.groupBy("read").agg(F.slice(F.array_sort(F.collect_list(F.struct("cost", (-F.col("n_word")).alias("rare"), "word"))), 1, 4).alias("options"))
+    repairs = repairs.groupBy("read").agg(F.array_sort(F.collect_list(F.struct("cost", (-F.col("n_word")).alias("rare"), "word"))).alias("options"))
+    # all that cost the least, whatever their number, as the word before decides among them
+    repairs = repairs.withColumn("options", F.filter("options", lambda o: o["cost"] == F.col("options")[0]["cost"]))
     shared = spark.sparkContext.broadcast(sketch)
 
     @F.pandas_udf("string")

@@ -125,3 +125,15 @@ def test_field_is_fitted_to_whole_texts(spark, monkeypatch):
     texts = spark.createDataFrame([("chunks", "a", "word " * 6_000, None)], "place string, row_key string, text string, rare_words array<string>")
     pii.fit_field(texts, frozenset())
     assert seen == [30_000]
+
+
+def test_word_before_chooses_among_all_repairs_of_least_cost(spark):
+    scans = pytest.importorskip("fernglass.llm.scans")
+    words = ["eacccoc", "caeccoc", "cacecoc", "cacceoc", "cacccoe"]
+    assert {scans.reading_cost("cacccoc", w) for w in words} == {0.3}
+    # the last is the least frequent, and the only one that follows valve
+    clean = [(f"{w}{n}", 1, f"look at {'valve' if w == words[4] else 'the'} {w} and the wall in each room of the house") for w in words for n in range(30 if w == words[4] else 60)]
+    chunks = spark.createDataFrame([*clean, ("s", 2, "look at valve cacccoc and the wall\nin each room of the house")], "chunk_id string, doc_id long, text string")
+    documents = spark.createDataFrame([(1, "text"), (2, "tesseract")], "doc_id long, extractor string")
+    got = [(r["piece"], r["repair"]) for r in scans.find_noise(chunks, documents).filter("chunk_id = 's' and noise = 'misread'").collect()]
+    assert got == [("cacccoc", "cacccoe")]

@@ -1,12 +1,17 @@
-"""Personal information in free text: a skip-chain conditional random field whose labels are made consistent over a text by loopy
-message passing. Spans that look like a kind of personal information give its tokens evidence; the field, fitted to a bounded sample
-that precise rules label, weighs evidence and context; equal or similar name tokens of a text share their labels' potentials."""
+"""Personal information in free text: a skip-chain conditional random field that labels every token of every text.
+
+Its features come from the text alone: the class and the identity of a token and of its neighbours, form and affixes, and whether the
+corpus writes a word in lower case. Chains join neighbours; skip edges join distant tokens of a text that are one word or one slip
+apart, and loopy max-product passes their labels along. Precise cues (``pii_cues``) label the bounded sample that the field is fitted to; half of the
+given names are hidden from the features of half of that sample, so that form and context carry names that no list has."""
 
 from __future__ import annotations
 
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -17,429 +22,574 @@ from pyspark.sql import functions as F
 from ..session import cut
 from .lexicon import GIVEN_NAMES, SHORT_FORMS, TITLES
 from .names import one_edit
+from .pii_cues import luhn, spans
 from .quality import COMMON_WORDS
 
 KINDS = ("name", "email", "phone", "id_number", "address")
 LABELS = ("none", *KINDS)
-#: Texts that the field is fitted to, a bound; frequent words known to be no names that are sent to every task, a bound; all other such words are joined.
-SAMPLE, KNOWN = 4000, 60_000
-#: Tokens on either side of evidence that the field looks at, and rounds of message passing.
-CONTEXT, ROUNDS = 4, 4
-
-_LOCAL = r"[\w.+'\-]*\w"
-_EMAIL = re.compile(rf"<?{_LOCAL}@\w[\w\-]*(?:-\n\w+)?(?:\.\n?\w[\w\-]*)*\.[A-Za-z]{{2,}}>?")
-_AT = r"(?:\s*[(\[{<]\s*(?:at|arroba|ät)\s*[)\]}>]\s*|\s+at\s+|\s+AT\s+|\s*@\s*)"
-_DOT = r"(?:\s*[(\[{<]\s*(?:dot|punkt|punto|point|punt)\s*[)\]}>]\s*|\s+(?:dot|DOT)\s+)"
-_SPELT = re.compile(rf"{_LOCAL}(?:{_DOT}{_LOCAL})*{_AT}\w[\w\-]*(?:(?:{_DOT}|\.)\w[\w\-]*)+", re.I)
-_NUMBER = re.compile(r"(?:\+ ?|\b00|\()?\d+(?:(?:[ .\-/]|\n|\) ?|\)-| ?\(|-\()\d+)*")
-_EXACT_ID = re.compile(r"\b(?:\d{3}-\d{2}-\d{4}|[A-Z]{2}[ \-]?\d{2}[ \-]?\d{2}[ \-]?\d{2}[ \-]?[A-D]|[A-Z]{5}\d{6}[A-Z0-9]{2,5}|[A-Z]{1,2}\d{7,8}|[XYZ]-?\d{7}-?[A-Z]|\d{8}-?[A-HJ-NP-TV-Z])\b", re.I)
-_ID_CUE = re.compile(
-    r"(?:\bssn\b|social[\s\-]security|national[\s\-]insurance|\bni\s*n|\bnino\b|\btax[\s\-]?(?:id|no|number)|\btin\b|steuer|\bidnr|\bid[\s\-]?nr|passport(?:\s*(?:n|#|:))|reisepass|passeport|pasaporte|paspoort|driv(?:ing|er'?s?)[\s\-]licen[cs]e|führerschein|rijbewijs|permis\sde|permiso\sde|s[ée]curit[ée]\s+sociale|\bbsn\b|burgerservice|\bdni\b|\bnie\b|\bnif\b|personalausweis|sozialversicherung|id\son\sfile|for\sidentification|form\sshows|holder'?s)[^\n.;]{0,28}$|(?:id\son\sfile|for\sidentification|form\sshows|holder'?s|wanted)\W*$",
-    re.I,
-)
-_NOT_CUE = re.compile(r"(?:\border|\breference|\bref\b|\bserial|\bpart\b|\blot\b|\binvoice|\barticle|\bfigure|\bcard|\bsku|\btorque|\bversion|\bpackage|\breplaces|\bclause|\biban|\baccount|\bsequence|\bmodel|\brouting|\bbatch|\bticket)[^\n.;:]{0,18}$", re.I)
-_PHONE_CUE = re.compile(r"(?:\btel\b|phone|\bcall\b|mobile|\bmob\b|\bcell\b|\bfax\b|reach|number|\bring\b|téléphone|telefon|tél|\bmóvil|llamar|anruf|bel\b|ask\b)[^\n;]{0,40}$", re.I)
-_STREET_END = r"(?:st|rd|ave|ln|dr|ct|cl|blvd|street|road|lane|close|drive|crescent|cres|way|court|terrace|avenue|place|gardens|grove|row|square|sq|boulevard|walk|mews|hill|park|rise|view|green|quay)"
-_EN_AFTER = re.compile(rf"[A-Za-z]?(?:\s?[\-–/]\s?\d+[A-Za-z]?)?,?\s+((?:[^\W\d_][\w'’\-]*\s+){{1,3}}?){_STREET_END}\b\.?", re.I)
-_FR_AFTER = re.compile(r"\s?(?:bis|ter|[a-d])?,?\s+(?:rue|avenue|boulevard|bd|place|chemin|impasse|allée|allee|quai|route|cours|square|passage)\s+(?:(?:du|de|des|la|le|les|l['’]|d['’])\s*)*[^\W\d_][\w'’\-]*(?:[\s\-]+(?!\d)[^\W\d_][\w'’\-]*)?", re.I)
-_BEFORE = re.compile(
-    r"(?:\b(?:(?:am|an\s+der|an\s+den|im|in\s+der|zum|zur|auf\s+dem)\s+(?:[^\W\d_][\w'’\-]*\s+)?)?[^\W\d_]{3,}(?:str\.|straße|strasse|weg|allee|platz|gasse|hof|ring|damm|ufer|wiek|wijk|straat|laan|gracht|kade|plein|dijk|singel|steeg|pad)"
-    r"|\b(?:calle|avenida|avda?\.|plaza|paseo|camino|carrer|c/|via|viale|piazza)\s+(?:(?:de|del|la|las|los|el)\s+)*[^\W\d_][\w'’\-]*(?:\s+[^\W\d_][\w'’\-]*)?)\s*,?\s*(?:n[ºo°]?\.?\s*)?$",
-    re.I,
-)
-_BEFORE_ENDS = tuple("str. straße strasse weg allee platz gasse hof ring damm ufer wiek wijk straat laan gracht kade plein dijk singel steeg pad".split())
-_BEFORE_STARTS = re.compile(r"\b(?:calle|avenida|avda?\.|plaza|paseo|camino|carrer|c/|via|viale|piazza)\s", re.I)
-_AFTER_START = re.compile(r"(?:[A-Za-z]|\s?[\-–/]\s?\d+[A-Za-z]?|\s(?:bis|ter|BIS|TER))?,?\s+[^\W\d_]{3}")
-_CODED = re.compile(r"\b[A-Z]{1,5}[ \-]?\d")
-_CODED_WORDS = ("passport", "licence", "license", "insurance", "rijbewijs", "paspoort", "pasaporte", "passeport", "reisepass", "dni", "nie")
-_HEX_LINE = re.compile(r"(?:\b[0-9a-fA-F]{2}[ :]){6,}")
-_TOKEN = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*|\d+|[^\w\s]|_")
-_MONTHS = frozenset("january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday".split())
-_GIVENS = GIVEN_NAMES | frozenset(SHORT_FORMS)
-_WORDS = re.compile(r"[^\W\d_]+")
+#: Texts that the field is fitted to, a bound; frequent everyday words that are sent to every task, a bound; all other such words are joined.
+SAMPLE, KNOWN = 12_000, 60_000
+#: Rounds of message passing over skip edges.
+ROUNDS = 5
+#: Tokens on either side whose class and identity a token's potentials see each by itself, and beyond them as one sum.
+NEAR, FAR = 4, 10
 
-
-def luhn(digits: str) -> bool:
-    """Whether the check digit of a card number holds."""
-    total = sum((2 * d - 9 if 2 * d > 9 else 2 * d) if k % 2 else d for k, d in enumerate(map(int, reversed(digits))))
-    return total % 10 == 0
+_GIVENS = GIVEN_NAMES | frozenset(SHORT_FORMS)
+#: Months and days; words that end, start or are the tail of a street's name; at and dot spelt out.
+_MONTHS = frozenset("january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday".split())
+_STREET_END = frozenset("st rd ave ln dr ct cl blvd street road lane close drive crescent cres way court terrace avenue place gardens grove row square sq boulevard walk mews hill park rise view green quay".split())
+_STREET_START = frozenset("rue avenue boulevard bd place chemin impasse allée allee quai route cours passage calle avenida avda plaza paseo camino carrer via viale piazza am im an zum zur auf".split())
+_STREET_TAIL = tuple("straße strasse weg allee platz gasse hof ring damm ufer wiek wijk straat laan gracht kade plein dijk singel steeg pad".split())
+_AT_DOT = frozenset("at dot arroba ät punkt punto point punt".split())
+
+_TOKEN = re.compile(
+    r"(?P<word>[^\W\d_]+(?:['’\-][^\W\d_]+)*(?![\w@+]|[.\-'][\w.\-]*@|-\d))"
+    r"|(?P<mail>[\w.+'\-]*\w@\w[\w\-]*(?:-\n\w+)?(?:\.\n?\w[\w\-]*)+)"
+    r"|(?P<code>(?=[A-Za-z]{1,5}-?\d|\d+-?[A-Za-z]\b)(?<![\w])[A-Za-z]{0,5}-?\d[\dA-Za-z]*(?:-[\dA-Za-z]+)*\b)"
+    r"|(?P<number>(?:\+ ?|\()?\d+(?:(?:[ .\-/\n]|\) ?|\)-| ?\(|-\()\d+)*)"
+    r"|(?P<plain>[^\W\d_]+(?:['’\-][^\W\d_]+)*)|(?P<line>\n[\s]*)|(?P<sign>[^\w\s]|_)"
+)
+#: The same without mail addresses, which only texts with their sign have: the look ahead of every word for it is dear.
+_TOKEN_BARE = re.compile(
+    r"(?P<word>[^\W\d_]+(?:['’\-][^\W\d_]+)*(?![\w]|-\d))"
+    r"|(?P<mail>(?!))"
+    r"|(?P<code>(?=[A-Za-z]{1,5}-?\d|\d+-?[A-Za-z]\b)(?<![\w])[A-Za-z]{0,5}-?\d[\dA-Za-z]*(?:-[\dA-Za-z]+)*\b)"
+    r"|(?P<number>(?:\+ ?|\()?\d+(?:(?:[ .\-/\n]|\) ?|\)-| ?\(|-\()\d+)*)"
+    r"|(?P<plain>[^\W\d_]+(?:['’\-][^\W\d_]+)*)|(?P<line>\n[\s]*)|(?P<sign>[^\w\s]|_)"
+)
+
+
+def tokens_of(text: str) -> list[re.Match]:
+    return list((_TOKEN if "@" in text else _TOKEN_BARE).finditer(text))
+
+
+_CASES = ("lower", "capital", "upper", "mixed")
+_WORDS = ("title", "given", "month", "street_end", "street_start", "street_tail", "at_dot", "common", "everyday", "unknown")
+_CLASSES = (
+    ["pad", "mail", "line", "blank", "initial", "letter"]
+    + [f"{w}_{c}" for w in _WORDS for c in _CASES]
+    + [f"digits_{n}" for n in ("1", "2", "3", "4", "5_7", "8_9", "10_13", "14_19", "more")]
+    + [f"{f}_{m}" for f in ("plus", "zeros", "zero", "parts", "spaced") for m in ("short", "mid", "long")]
+    + ["ssn", "us_phone", "card", "decimal"]
+    + ["code_nino", "code_licence", "code_passport", "code_letter_end", "code_house", "code_other"]
+    + [f"sign_{s}" for s in ".,:;()[]{}<>-–—@/'\"#&*|=_+$€£%!?…•"]
+    + ["sign_other"]
+)
+CLASS = {name: k for k, name in enumerate(_CLASSES)}
+#: Sizes of the tables of affixes and of class triples, to which they are hashed.
+_AFFIXES, _TRIPLES = 1024, 1 << 16
 
 
-def number_kind(text: str, start: int, end: int) -> str | None:
-    """What a run of digit groups is by its form and the words before it."""
-    run = text[start:end]
-    if run[0] == "(" and ")" not in run:
-        run, start = run[1:], start + 1
+def number_class(run: str) -> str:
+    """The class of a run of digit groups by its form alone."""
     digits = re.sub(r"\D", "", run)
-    n = len(digits)
-    if n < 8 or n > 19:
-        return None
-    before = text[max(0, start - 60) : start]
-    if _NOT_CUE.search(before) or (start and (text[start - 1].isalnum() or text[start - 1] in "@-/.,_#")) or (end < len(text) and (text[end] in "@_" or text[end].isalpha() or text[end : end + 2].strip("-").isalpha() and text[end] == "-")):
-        return None
-    line = text[text.rfind("\n", 0, start) + 1 : (text.find("\n", end) + 1 or len(text) + 1) - 1]
-    if _HEX_LINE.search(line) or "\t" in run:
-        return None
-    plain = re.sub(r"\s", " ", run)
-    if re.fullmatch(r"\d{3}[- ]\d{2}[- ]\d{4}", plain) or (_ID_CUE.search(before) and not run.startswith(("+", "("))):
-        if n in (8, 9, 10, 11, 12, 13, 15):
-            return "id_number"
-    if 13 <= n <= 19 and luhn(digits) and not run.startswith("+"):
-        return None
-    if run.startswith("+") and 9 <= n <= 15:
-        return "phone"
-    if digits.startswith("00") and 11 <= n <= 15:
-        return "phone"
+    n, plain = len(digits), re.sub(r"\s", " ", run)
+    size = "short" if n < 9 else "mid" if n < 13 else "long"
+    if re.fullmatch(r"\d{3}[- ]\d{2}[- ]\d{4}", plain):
+        return "ssn"
     if re.fullmatch(r"\(?\d{3}\)?[ .\-]{1,2}\d{3}[ .\-]\d{4}", plain):
-        return "phone"
-    if digits[0] == "0" and 9 <= n <= 12 and re.search(r"\D", plain):
-        return "phone"
-    if 9 <= n <= 13 and _PHONE_CUE.search(before) and not re.fullmatch(r"[\d.,]+", plain.replace(" ", "")) or (n in (10, 11) and digits[0] == "0" and _PHONE_CUE.search(before)):
-        return "phone"
-    return None
-
-
-def spans(text: str, known: frozenset[str]) -> list[tuple[int, int, str]]:
-    """``(start, end, kind)`` of what looks like personal information by form and near context."""
-    found: list[tuple[int, int, str]] = []
-    if "@" in text:
-        found += [(*m.span(), "email") for m in _EMAIL.finditer(text)]
-    low = text.lower()
-    if "dot" in low or "at)" in low or "at]" in low or "at>" in low or "at}" in low or "punkt" in low or "punto" in low:
-        for m in _SPELT.finditer(text):
-            piece = m.group().lower()
-            bracketed = re.search(r"[(\[{<]\s*(?:at|arroba|ät)\s*[)\]}>]", piece)
-            if bracketed or re.search(_DOT, piece) and (re.search(r"\sat\s|@", piece)):
-                found.append((*m.span(), "email"))
-    mails = list(found)
-    inside = lambda a, z: any(s < z and a < e for s, e, _ in mails)
-    for m in _NUMBER.finditer(text):
-        a, z = m.span()
-        if z - a >= 8 and not inside(a, z) and (kind := number_kind(text, a, z)):
-            found.append((a + (m.group()[0] == "(" and ")" not in m.group()), z, kind))
-            continue
-        first = re.match(r"\d+", m.group())
-        at = a + len(first.group()) if first else a
-        if first and len(first.group()) <= 4 and _AFTER_START.match(text, at) and (a == 0 or not (text[a - 1].isalnum() or text[a - 1] in ".,-@/#")):
-            if (hit := _EN_AFTER.match(text, at)) and _street_name(hit.group(1), known):
-                found.append((a, hit.end(), "address"))
-            elif hit := _FR_AFTER.match(text, at):
-                found.append((a, hit.end(), "address"))
-        hit = None
-        if a and text[a - 1] in " \n,.º°":
-            ahead = text[max(0, a - 60) : a]
-            if (ahead[:-1].rstrip(",").lower().endswith(_BEFORE_ENDS) and ahead[-1] in " \n") or _BEFORE_STARTS.search(ahead):
-                hit = _BEFORE.search(text, max(0, a - 60), a)
-        if hit and len(re.match(r"\D*(\d+)", m.group()).group(1)) <= 4 and _street_name(hit.group(), known):
-            found.append((hit.start(), a + len(first.group() if first else m.group()), "address"))
-    coded = _CODED.search(text) or any(w in low for w in _CODED_WORDS)
-    for m in _EXACT_ID.finditer(text) if coded else ():
-        a, z = m.span()
-        before = text[max(0, a - 60) : a]
-        bare = re.fullmatch(r"(?i)[A-Z]{1,2}\d{7,8}|[XYZ]-?\d{7}-?[A-Z]|\d{8}-?[A-Z]", m.group())
-        if not inside(a, z) and not _NOT_CUE.search(before) and (not bare or _ID_CUE.search(before) or m.group()[:2].isupper() and bare and m.group()[2:].isdigit()) and (a == 0 or text[a - 1] not in "-@/._") and text[z : z + 1] not in ("-", "@"):
-            found.append((a, z, "id_number"))
-    found += [s for s in name_spans(text, known) if not inside(s[0], s[1])]
-    return sorted(found)
-
-
-def _street_name(words: str, known: frozenset[str]) -> bool:
-    """Whether the words before a kind of street hold a name: in capitals, or a word that is not an everyday one."""
-    tokens = _WORDS.findall(words)
-    if any(t.lower() in COMMON_WORDS and t.islower() and t.lower() not in ("de", "la", "las", "los", "el", "del", "der", "den", "am", "an", "im", "in", "zum", "zur", "auf", "dem") for t in tokens):
-        return False
-    return any((t[0].isupper() and t.lower() not in COMMON_WORDS) or (t.lower() not in known and len(t) > 3) for t in tokens)
-
-
-def _family(token: str, known: frozenset[str]) -> bool:
-    return len(token) >= 3 and token.lower() not in known and token.lower() not in COMMON_WORDS and token.lower() not in _MONTHS and token.lower() not in TITLES
-
-
-_CASED = frozenset(form for w in (*_GIVENS, *(t for t in TITLES if len(t) > 1)) for form in (w, w.capitalize(), w.upper()))
-_INITIAL = re.compile(r"\b[A-Za-z]\.(?=[\s,]|$)")
-_NAME_TOKEN = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*\.?")
-
-
-def name_spans(text: str, known: frozenset[str]) -> list[tuple[int, int, str]]:
-    """Family names with a given name, an initial or a title, in either order."""
-    cues = _CASED.intersection(_WORDS.findall(text))
-    places = [m.start() for m in _INITIAL.finditer(text)] if "." in text else []
-    if cues:
-        places += [m.start() for m in re.finditer(r"(?<![^\W\d_])(?:" + "|".join(sorted(cues, key=len, reverse=True)) + r")(?![^\W\d_])", text)]
-    found: list[tuple[int, int, str]] = []
-    areas: list[list[int]] = []
-    for at in sorted(places):
-        low, high = max(0, at - 40), min(len(text), at + 80)
-        if areas and low <= areas[-1][1]:
-            areas[-1][1] = high
-        else:
-            areas.append([low, high])
-    for low, high in areas:
-        while low and not text[low - 1].isspace():
-            low -= 1
-        while high < len(text) and not text[high].isspace():
-            high += 1
-        found += _names_between(text, low, high, known)
-    return found
-
-
-def _names_between(text: str, low: int, high: int, known: frozenset[str]) -> list[tuple[int, int, str]]:
-    found = []
-    tokens = [(m.group(), m.start(), m.end()) for m in _NAME_TOKEN.finditer(text, low, high)]
-    gap = lambda i, j: text[tokens[i][2] : tokens[j][1]] if j < len(tokens) else "\0"
-    n = len(tokens)
-    for i, (token, a, z) in enumerate(tokens):
-        if found and a < found[-1][1]:
-            continue
-        bare = token.rstrip(".")
-        low = bare.lower()
-        title, given = low in TITLES and len(low) > 1, low in _GIVENS
-        initial = len(bare) == 1 and token.endswith(".") and bare.isalpha()
-        if not (title or given or initial) or text[z : z + 3] == "..." or text[a - 1 : a] in ("@",):
-            continue
-        j, helped = i, title or given or initial
-        while j + 1 < n and gap(j, j + 1).strip(" \n") == "" and len(gap(j, j + 1)) <= 2 and gap(j, j + 1).count("\n") < 2:
-            nxt = tokens[j + 1][0].rstrip(".")
-            if (nxt.lower() in _GIVENS and not tokens[j + 1][0].endswith(".")) or (len(nxt) == 1 and tokens[j + 1][0].endswith(".")) or (nxt.lower() in TITLES and len(nxt) > 1 and j == i and title):
-                if nxt.lower() in _GIVENS and not (j + 2 < n and gap(j + 1, j + 2).strip(" \n") == ""):
-                    break
-                j += 1
-                continue
-            break
-        if j + 1 < n and helped and len(gap(j, j + 1)) <= 2 and gap(j, j + 1).strip(" \n") == "" and gap(j, j + 1).count("\n") < 2:
-            nxt, s, e = tokens[j + 1]
-            word = nxt.rstrip(".")
-            cased = word[0].isupper() or bare[0].islower()
-            sentence_end = token.endswith(".") and not (title or initial)
-            if cased and not sentence_end and all(_family(p, known) for p in re.split(r"[-’']", word) if len(p) > 1) and text[s + len(word) : s + len(word) + 3] != "..." and not re.match(r"-?\d|\s(?:\d{1,3}\b|Pro\b|RX\b|PRO\b)", text[s + len(word) : s + len(word) + 4]) and (not initial or word[0].isupper() and j > i or _initial_ok(text, a, word)):
-                found.append((a, s + len(word), "name"))
-                continue
-        # family name first: after a comma the given name or the initial
-        if (given or initial) and i and gap(i - 1, i) in (", ", ",\n", ","):
-            word, s, _ = tokens[i - 1]
-            if word[0].isupper() == bare[0].isupper() and _family(word, known) and not word.endswith(".") and len(word) > 3 and not (i >= 2 and tokens[i - 2][0].lower().rstrip(".") in ("the",)):
-                found.append((s, z, "name"))
-    return found
-
-
-def _initial_ok(text: str, at: int, word: str) -> bool:
-    """An initial before a family name starts a name unless it ends a sentence or numbers a list."""
-    return text[at].isupper() and (word[0].isupper()) and not (word.isupper() and len(word) <= 3)
-
-
-#: Features of a token; each has a weight for every label.
-FEATURES = ("bias", *(f"in_{k}" for k in KINDS), *(f"near_{k}" for k in KINDS), "capital", "upper", "lower", "digits", "long_digits", "sign", "title", "given", "initial", "unknown", "known", "id_cue", "not_cue", "phone_cue", "at", "masked")
-
-
-def token_features(text: str, tokens: list[tuple[str, int, int]], found: list[tuple[int, int, str]], known: frozenset[str]) -> np.ndarray:
-    x = np.zeros((len(tokens), len(FEATURES)), np.float32)
-    column = {f: i for i, f in enumerate(FEATURES)}
-    x[:, 0] = 1
-    for k, (token, a, z) in enumerate(tokens):
-        for s, e, kind in found:
-            if s <= a and z <= e:
-                x[k, column[f"in_{kind}"]] = 1
-            elif s - 24 <= a and z <= e + 24:
-                x[k, column[f"near_{kind}"]] = 1
-        low = token.lower()
-        flags = {
-            "capital": token[:1].isupper(), "upper": token.isupper() and len(token) > 1, "lower": token.islower(), "digits": token.isdigit(), "long_digits": token.isdigit() and len(token) >= 3,
-            "sign": not token[:1].isalnum(), "title": low in TITLES and len(low) > 1, "given": low in _GIVENS, "initial": len(token) == 1 and token.isalpha(), "unknown": token[:1].isalpha() and _family(token, known),
-            "known": low in known or low in COMMON_WORDS, "at": token == "@", "masked": token in "…",
-        }
-        for name, on in flags.items():
-            if on:
-                x[k, column[name]] = 1
-        if token.isdigit():
-            before = text[max(0, a - 50) : a]
-            x[k, column["id_cue"]] = _ID_CUE.search(before) is not None
-            x[k, column["not_cue"]] = _NOT_CUE.search(before) is not None
-            x[k, column["phone_cue"]] = _PHONE_CUE.search(before) is not None
-    return x
-
-
-def windows(text: str, found: list[tuple[int, int, str]], margin: int = 60) -> list[list[tuple[str, int, int]]]:
-    """Runs of tokens within ``CONTEXT`` tokens of evidence; tokens without evidence near are no personal information."""
-    areas: list[list[int]] = []
-    for s, e, _ in found:
-        if areas and s - margin <= areas[-1][1]:
-            areas[-1][1] = max(areas[-1][1], e + margin)
+        return "us_phone"
+    if plain[0] == "+":
+        return f"plus_{size}"
+    if n >= 13 and luhn(digits):
+        return "card"
+    if re.fullmatch(r"\d+\.\d{1,2}", plain):
+        return "decimal"
+    if digits.startswith("00"):
+        return f"zeros_{size}"
+    if digits[0] == "0" and n >= 6:
+        return f"zero_{size}"
+    if not plain.isdigit() and n >= 6:
+        return f"{'spaced' if ' ' in plain else 'parts'}_{size}"
+    return f"digits_{n if n < 5 else '5_7' if n < 8 else '8_9' if n < 10 else '10_13' if n < 14 else '14_19' if n < 20 else 'more'}"
+
+
+def code_class(run: str) -> str:
+    """The class of letters with digits by their form alone."""
+    if re.fullmatch(r"(?i)[A-Z]{2}-?\d{2}-?\d{2}-?\d{2}-?[A-D]", run):
+        return "code_nino"
+    if re.fullmatch(r"[A-Z]{5}\d{6}[A-Z0-9]{2,5}", run):
+        return "code_licence"
+    if re.fullmatch(r"(?i)[A-Z]{1,2}\d{7,8}", run):
+        return "code_passport"
+    if re.fullmatch(r"(?i)[XYZ]-?\d{7}-?[A-Z]|\d{8}-?[A-Z]", run):
+        return "code_letter_end"
+    return "code_house" if re.fullmatch(r"\d{1,4}[A-Za-z]", run) else "code_other"
+
+
+def word_class(word: str, everyday: bool, hidden: bool = False) -> str:
+    """The class of a word: what lists and the corpus say of it, and its case. ``hidden`` leaves out the list of given names."""
+    low = word.lower()
+    if len(word) == 1:
+        return "initial" if word.isupper() else "letter"
+    case = "lower" if word.islower() else "upper" if word.isupper() else "capital" if word[0].isupper() else "mixed"
+    kind = (
+        "title" if low in TITLES else "given" if low in _GIVENS and not hidden else "month" if low in _MONTHS else "street_end" if low in _STREET_END
+        else "street_start" if low in _STREET_START else "at_dot" if low in _AT_DOT else "common" if low in COMMON_WORDS else "street_tail" if len(low) > 5 and low.endswith(_STREET_TAIL) and not everyday
+        else "everyday" if everyday else "unknown"
+    )
+    return f"{kind}_{case}"
+
+
+@dataclass
+class Tokens:
+    """Tokens of many texts end to end, ``FAR`` pads before and after each: types, classes, places, touching neighbours, and which text each is of.
+
+    A type is a class, a word's identity and an affix; ``kinds`` has them by type."""
+
+    type: np.ndarray
+    cls: np.ndarray
+    glue: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    text: np.ndarray
+    kinds: np.ndarray
+
+
+class Reader:
+    """Cuts texts into tokens; what is known of a token string is looked up once and kept."""
+
+    def __init__(self, frequent: frozenset[str], vocabulary: dict[str, int]) -> None:
+        self.frequent, self.vocabulary = frequent, vocabulary
+        self.kept: dict[str, int] = {}
+        self.types: dict[tuple[int, int, int], int] = {(0, 0, 0): 0}
+
+    def look(self, token: str, kind: str, everyday: bool = False, hidden: bool = False) -> int:
+        word = affix = 0
+        if kind in ("word", "plain"):
+            low = token.lower()
+            name = word_class(token, everyday or low in self.frequent, hidden)
+            affix = crc32(low[-3:].encode()) % (_AFFIXES - 1) + 1 if name.startswith("unknown") else 0
+            word = self.vocabulary.get(low, 0)
+        elif kind == "number":
+            name = number_class(token)
+        elif kind == "line":
+            name = "blank" if token.count("\n") > 1 else "line"
         else:
-            areas.append([s - margin, e + margin])
-    runs = []
-    for low, high in areas:
-        tokens = [(m.group(), m.start(), m.end()) for m in _TOKEN.finditer(text, text.rfind(" ", 0, max(0, low)) + 1, min(len(text), high))]
-        hot = np.array([any(s <= a and z <= e for s, e, _ in found) for _, a, z in tokens], bool)
-        places = np.flatnonzero(hot)
-        if len(places):
-            runs.append(tokens[max(0, places[0] - CONTEXT) : places[-1] + CONTEXT + 1])
-    return runs
+            name = "mail" if kind == "mail" else code_class(token) if kind == "code" else f"sign_{token}"
+        key = (CLASS.get(name, CLASS["sign_other"]), word, affix)
+        return self.types.setdefault(key, len(self.types))
+
+    def read(self, texts: list[str], rare: list, hide: list[int] | None = None) -> Tokens:
+        """``rare`` has a text's everyday words that are not among the frequent ones; ``hide`` has the half (0 or 1) of the given names hidden from a text."""
+        types: list[int] = []
+        start: list[int] = []
+        end: list[int] = []
+        lengths = []
+        kept = self.kept
+        if len(kept) > 400_000:
+            kept.clear()
+        blank = [0] * FAR
+        for number, text in enumerate(texts):
+            found = tokens_of(text)
+            words = [m.group() for m in found]
+            own = list(map(kept.get, words))
+            if None in own:
+                for k, value in enumerate(own):
+                    if value is None:
+                        own[k] = self.look(words[k], found[k].lastgroup)
+                        if len(words[k]) <= 64:
+                            kept[words[k]] = own[k]
+            if rare[number]:
+                known = frozenset(rare[number])
+                own = [self.look(w, "word", True) if w.lower() in known else t for w, t in zip(words, own)]
+            if hide is not None:
+                own = [self.look(w, "word", False, True) if w.lower() in _GIVENS and crc32(w.lower().encode()) % 2 == hide[number] else t for w, t in zip(words, own)]
+            types += blank
+            types += own
+            types += blank
+            for places, at in ((start, 0), (end, 1)):
+                places += blank
+                places += [m.span()[at] for m in found]
+                places += blank
+            lengths.append(len(own) + 2 * FAR)
+        kind = np.array(types, np.int32)
+        start_, end_ = np.array(start, np.int64), np.array(end, np.int64)
+        kinds = np.array(list(self.types), np.int32).reshape(-1, 3)
+        cls = kinds[kind, 0]
+        real = cls > 0
+        touch = np.zeros(len(cls), np.int32)
+        if len(cls) > 1:
+            touching = (start_[1:] == end_[:-1]) & real[1:] & real[:-1]
+            touch[1:] += touching
+            touch[:-1] += 2 * touching
+        return Tokens(kind, cls, touch, start_, end_, np.repeat(np.arange(len(texts)), lengths), kinds)
+
+
+#: Tables that a token type looks up by itself, by the place of the token it is seen from.
+_PLACES = tuple(range(-NEAR, NEAR + 1))
+_PAIRS = ("glue", "left", "right", "skip", "middle", "before", "after")
+
+
+def pair_indices(t: Tokens, rows: np.ndarray | slice) -> dict[str, np.ndarray]:
+    """For the tables of a token with its neighbours, the entry that each of ``rows`` looks up."""
+    n = len(_CLASSES)
+    c = t.cls.astype(np.int32)
+    by = lambda k: np.roll(c, -k)[rows]  # noqa: E731  (pads stand at both ends)
+    p, o, f, pp, ff = by(-1), by(0), by(1), by(-2), by(2)
+    mix = lambda a, b, d: (a * 7919 + b * 1046 + d * 12_997) % _TRIPLES
+    return {"glue": o * 4 + t.glue[rows], "left": p * n + o, "right": o * n + f, "skip": p * n + f, "middle": mix(p, o, f), "before": mix(pp, p, o + 211), "after": mix(o, f, ff + 431)}
+
+
+def table_sizes(words: int) -> dict[str, int]:
+    n = len(_CLASSES)
+    sizes = {f"class{k:+d}": n for k in _PLACES} | {f"word{k:+d}": words for k in _PLACES} | {f"affix{k:+d}": _AFFIXES for k in (-1, 0, 1)}
+    return sizes | {"glue": 4 * n, "left": n * n, "right": n * n, "skip": n * n, "middle": _TRIPLES, "before": _TRIPLES, "after": _TRIPLES, "far_left": words, "far_right": words}
+
+
+def packed(starts: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
+    """Tokens of runs step by step: entry k has the k-th tokens of the runs that are so long, the longest run first."""
+    order = np.argsort(-lengths, kind="stable")
+    starts, lengths = starts[order], lengths[order]
+    if not len(lengths):
+        return []
+    active = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
+    return [starts[:a] + k for k, a in enumerate(active)]
 
 
-def skip_edges(tokens: list[tuple[str, int, int]], unknown: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of distant tokens that are one name token, or one with a slip: each with the one before it that is like it.
-
-    Tokens one slip apart share a form with at most one letter left out, by which they are found; of several the first seen counts."""
-    last: dict[str, int] = {}
-    order: dict[str, int] = {}
-    near: dict[str, list[str]] = {}
-    edges = []
-    for k, (token, _, _) in enumerate(tokens):
-        if unknown[k]:
-            low = token.lower()
-            other = last.get(low)
-            if other is None:
-                forms = {low, *(low[:i] + low[i + 1 :] for i in range(len(low)))}
-                if len(low) > 4:
-                    like = min((t for form in forms for t in near.get(form, ()) if one_edit(t, low)), key=order.get, default=None)
-                    other = None if like is None else last[like]
-                order[low] = len(order)
-                for form in forms:
-                    near.setdefault(form, []).append(low)
-            if other is not None and k - other > 1:
-                edges.append((other, k))
-            last[low] = k
-    return edges
+def runs_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of true entries."""
+    edge = np.diff(np.r_[False, mask, False].astype(np.int8))
+    starts = np.flatnonzero(edge == 1)
+    return starts, np.flatnonzero(edge == -1) - starts
 
 
 class SkipChainField:
-    """Log-linear weights: unary (feature x label), chain (label x label) and skip (label x label) potentials."""
+    """Log-linear weights: tables of unary potentials, a chain and a skip potential (label x label)."""
+
+    def __init__(self, tables: dict[str, np.ndarray], chain: np.ndarray, skip: np.ndarray) -> None:
+        self.tables, self.chain, self.skip = tables, chain, skip
+        self._by_type: dict[object, np.ndarray] = {}
+
+    def by_type(self, kinds: np.ndarray, place: object) -> np.ndarray:
+        """The potentials that a token type adds to the token from which it is seen at ``place``; kept until new types come."""
+        kept = self._by_type.get(place)
+        if kept is None or len(kept) != len(kinds):
+            if isinstance(place, str):
+                kept = self.tables[place][kinds[:, 1]]
+            else:
+                kept = self.tables[f"class{place:+d}"][kinds[:, 0]] + self.tables[f"word{place:+d}"][kinds[:, 1]]
+                if abs(place) <= 1:
+                    kept = kept + self.tables[f"affix{place:+d}"][kinds[:, 2]]
+            self._by_type[place] = kept
+        return kept
+
+    def unary(self, t: Tokens) -> np.ndarray:
+        score = np.zeros((len(t.type), len(LABELS)), np.float32)
+        for k in _PLACES:
+            own = self.by_type(t.kinds, k)[t.type]
+            if k > 0:
+                score[:-k] += own[k:]
+            elif k < 0:
+                score[-k:] += own[:k]
+            else:
+                score += own
+        for name, entry in pair_indices(t, slice(None)).items():
+            score += self.tables[name][entry]
+        for name, sign in (("far_left", -1), ("far_right", 1)):
+            total = np.cumsum(self.by_type(t.kinds, name)[t.type], axis=0, dtype=np.float64)
+            if len(total) > 2 * FAR + 1:  # the sum over the places NEAR + 1 to FAR away
+                middle = (total[FAR - NEAR :] - total[: NEAR - FAR]).astype(np.float32)  # row r: tokens r + 1 to r + FAR - NEAR
+                if sign < 0:
+                    score[FAR + 1 :] += middle[: len(score) - FAR - 1]
+                else:
+                    score[: len(middle) - NEAR] += middle[NEAR:]
+        return score
+
+    def beliefs(self, local: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
+        """Max-marginals of chains by max-product, forwards and backwards through all runs at once."""
+        forward, backward = np.zeros_like(local), np.zeros_like(local)
+        for last, here in zip(steps, steps[1:]):
+            prev = last[: len(here)]
+            best = ((local[prev] + forward[prev])[:, :, None] + self.chain).max(1)
+            forward[here] = best - best.max(1, keepdims=True)
+        for last, here in zip(reversed(steps[:-1]), reversed(steps)):
+            prev = last[: len(here)]
+            best = ((local[here] + backward[here])[:, None, :] + self.chain).max(2)
+            backward[prev] = best - best.max(1, keepdims=True)
+        return local + forward + backward
+
+    def label(self, unary: np.ndarray, edges: np.ndarray, steps: list[np.ndarray], rounds: int = ROUNDS) -> np.ndarray:
+        """The most likely label of each token by loopy max-product over chains and skip edges (rows of two tokens)."""
+        belief = self.beliefs(unary, steps)
+        if not len(edges):
+            return belief.argmax(1)
+        ends = np.vstack([edges, edges[:, ::-1]])  # a message in each direction
+        back = np.roll(np.arange(len(ends)), len(edges))
+        sent = np.zeros((len(ends), unary.shape[1]), np.float32)
+        for _ in range(rounds):
+            out = ((belief[ends[:, 0]] - sent[back])[:, :, None] + self.skip).max(1)
+            sent = 0.5 * sent + 0.5 * (out - out.max(1, keepdims=True))
+            local = unary.copy()
+            np.add.at(local, ends[:, 1], sent)
+            belief = self.beliefs(local, steps)
+        return belief.argmax(1)
 
-    def __init__(self, unary: np.ndarray, chain: np.ndarray, skip: np.ndarray) -> None:
-        self.unary, self.chain, self.skip = unary, chain, skip
+    def islands(self, unary: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Potentials with what certain neighbours add, and the chains of tokens whose label is open.
+
+        A token whose label can only be none, whatever its neighbours' labels, parts the chain; that is exact."""
+        swing = 2 * float(self.chain.max() - self.chain.min()) + 2 * float(np.abs(self.skip).max()) + 1e-3
+        open_ = real & (unary[:, 0] - unary[:, 1:].max(1) <= swing)
+        starts, lengths = runs_of(open_)
+        local = unary.copy()
+        ends = starts + lengths
+        before = starts[real[starts - 1]]
+        local[before] += self.chain[0]
+        after = ends[real[np.minimum(ends, len(real) - 1)]] - 1
+        local[after] += self.chain[:, 0]
+        return local, packed(starts, lengths)
 
     @staticmethod
-    def fit(rows: list[tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]], steps: int = 150, rate: float = 0.5, decay: float = 1e-3) -> SkipChainField:
-        """Maximum pseudo-likelihood: each label given its features and its neighbours' labels, by gradient ascent."""
+    def fit(t: Tokens, labels: np.ndarray, edges: np.ndarray, words: int, passes: int = 24, batches: int = 12, rate: float = 0.12, decay: float = 1e-7, keep: float = 0.5, scale: float = 0.8, segment: int = 24, thin: int = 16, tilt: float = 0.25) -> SkipChainField:
+        """Maximum likelihood of chains over segments of texts, by stochastic gradient ascent with forward-backward sums, then of the skip potential given the chains' posteriors.
+
+        Of segments without personal information one in ``thin`` is taken, with ``tilt`` of that weight: what is found too much can be checked, what is missed can't."""
+        y = len(LABELS)
+        tables = {name: np.zeros((size, y), np.float32) for name, size in table_sizes(words).items()}
+        field = SkipChainField(tables, np.zeros((y, y), np.float32), np.zeros((y, y), np.float32))
+        starts, lengths = runs_of(t.cls > 0)
+        if not len(starts):
+            return field
+        pieces = [(a + k, min(segment, n - k)) for a, n in zip(starts.tolist(), lengths.tolist()) for k in range(0, n, segment)]
+        starts, lengths = np.array([a for a, _ in pieces]), np.array([n for _, n in pieces])
+        total = np.r_[0, np.cumsum(labels > 0)]
+        has = total[starts + lengths] > total[starts]
+        thin = thin if (~has).sum() > 2000 else 1
+        rng = np.random.default_rng(3)
+        chosen = np.flatnonzero(has | (rng.random(len(starts)) < 1 / thin))
+        rng.shuffle(chosen)
+        parts = [_Batch(t, labels, starts[c], lengths[c], np.where(has[c], 1.0, float(thin) * tilt)) for c in np.array_split(chosen, min(batches, len(chosen)))]
+        mean, square = ({name: np.zeros_like(table) for name, table in tables.items()} for _ in range(2))
+        chain_mean, chain_square = np.zeros((y, y)), np.zeros((y, y))
+        updates = passes * len(parts)
+        for number in range(1, updates + 1):
+            part = parts[number % len(parts)]
+            # tables are left out by chance, so that each learns to do without the others, and a token's own form with strange neighbours
+            used = {name for name in tables if rng.random() < keep}
+            miss, pairs = part.gradient(field, used)
+            slow = rate * min(1.0, 1.5 * (updates - number + 1) / updates)
+            fix = np.sqrt(1 - 0.99**number) / (1 - 0.8**number)
+            for name, (order, entries, at) in part.grouped.items():
+                if name not in used:
+                    continue
+                step = np.add.reduceat(miss[order], at, axis=0) - decay * tables[name][entries]
+                m, v = 0.8 * mean[name][entries] + 0.2 * step, 0.99 * square[name][entries] + 0.01 * step**2
+                mean[name][entries], square[name][entries] = m, v
+                tables[name][entries] += slow * fix * m / (np.sqrt(v) + 1e-6)
+            step = pairs - decay * field.chain
+            chain_mean, chain_square = 0.8 * chain_mean + 0.2 * step, 0.99 * chain_square + 0.01 * step**2
+            field.chain = (field.chain + slow * fix * chain_mean / (np.sqrt(chain_square) + 1e-6)).astype(np.float32)
+        for table in tables.values():
+            table *= scale
+        field.skip = field._fit_skip(t, labels, edges)
+        return field
+
+    def _fit_skip(self, t: Tokens, labels: np.ndarray, edges: np.ndarray, rounds: int = 200, worth: float = 50.0) -> np.ndarray:
+        """The skip potential by pseudo-likelihood: an end's label given the other end's, where the chains leave it open.
+
+        Few texts of a sample say a name twice, so there is a prior, worth ``worth`` ends: names agree by what it takes to find a name's repeat
+        where it stands in the place of half the sample's other name-like words, but by less than what it takes to make names of two such words."""
         y = len(LABELS)
-        if not rows:
-            rows = [(np.eye(1, len(FEATURES), dtype=np.float32), np.zeros(1, int), [])]
-        x = np.concatenate([r[0] for r in rows])
-        labels = np.concatenate([r[1] for r in rows])
-        n = len(labels)
-        before, after, distant = (np.zeros((n, y), np.float32) for _ in range(3))
-        at = 0
-        for features, own, edges in rows:
-            m = len(own)
-            before[np.arange(at + 1, at + m), own[:-1]] = 1
-            after[np.arange(at, at + m - 1), own[1:]] = 1
-            for i, j in edges:
-                distant[at + i, own[j]] += 1
-                distant[at + j, own[i]] += 1
-            at += m
-        design = np.hstack([x, before, after, distant])
-        weights = np.zeros((design.shape[1], y), np.float32)
-        truth = np.eye(y, dtype=np.float32)[labels]
-        speed = np.zeros_like(weights)
-        for _ in range(steps):
-            score = design @ weights
-            score -= score.max(1, keepdims=True)
-            p = np.exp(score)
+        belief = self.beliefs(self.unary(t), packed(*runs_of(t.cls > 0)))
+        alone = np.isin(t.cls, list(_NAMELIKE)) & (labels == 0)
+        margin = belief[alone, 0] - belief[alone, 1]
+        prior = np.zeros((y, y))
+        low, middle = (max(0.0, float(np.quantile(margin, q))) if len(margin) else 1.0 for q in (0.02, 0.5))
+        prior[1, 1] = min(1 + 1.1 * middle, 1.4 * low)
+        if not len(edges):
+            return prior.astype(np.float32)
+        skip = prior.copy()
+        both = np.vstack([edges, edges[:, ::-1]])
+        known = belief[both[:, 0]] - belief[both[:, 0]].max(1, keepdims=True)
+        mine, other = labels[both[:, 0]], labels[both[:, 1]]
+        truth = np.eye(y)[mine]
+        for _ in range(rounds):
+            score = known + skip[other]
+            p = np.exp(score - score.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            step = design.T @ (truth - p) / n - decay * weights
-            speed += step**2
-            weights += rate * step / np.sqrt(speed + 1e-8)
-        f = x.shape[1]
-        chain = (weights[f : f + y] + weights[f + y : f + 2 * y].T) / 2
-        far = weights[f + 2 * y :]
-        return SkipChainField(weights[:f], chain, (far + far.T) / 2)
-
-    def label(self, features: np.ndarray, edges: list[tuple[int, int]], breaks: set[int], rounds: int = ROUNDS) -> np.ndarray:
-        """The most likely label of each token by loopy max-product; chains run through unless ``breaks`` has the token's number."""
-        unary = features @ self.unary
-        n, y = unary.shape
-        sent = {(i, j): np.zeros(y) for a, b in edges for i, j in ((a, b), (b, a))}
-        into: dict[int, list[int]] = {}
-        for a, b in edges:
-            into.setdefault(a, []).append(b)
-            into.setdefault(b, []).append(a)
-        for _ in range(rounds if edges else 1):
-            local = unary.copy()
-            for j, others in into.items():
-                for i in others:
-                    local[j] += sent[i, j]
-            forward, backward = np.zeros((n, y)), np.zeros((n, y))
-            for k in range(1, n):
-                if k not in breaks:
-                    forward[k] = ((local[k - 1] + forward[k - 1])[:, None] + self.chain).max(0)
-                    forward[k] -= forward[k].max()
-            for k in range(n - 2, -1, -1):
-                if k + 1 not in breaks:
-                    backward[k] = ((local[k + 1] + backward[k + 1])[None, :] + self.chain).max(1)
-                    backward[k] -= backward[k].max()
-            belief = local + forward + backward
-            for i, j in sent:
-                out = ((belief[i] - sent[j, i])[:, None] + self.skip).max(0)
-                sent[i, j] = 0.5 * sent[i, j] + 0.5 * (out - out.max())
-        return belief.argmax(1)
+            step = np.stack([np.bincount(other, (truth - p)[:, k], y) for k in range(y)], axis=1) - worth * (skip - prior) / 25
+            skip += 0.5 / max(1.0, len(both) / 8) * (step + step.T) / 2
+        return skip.astype(np.float32)
+
+
+class _Batch:
+    """Segments of labelled texts with the entries that their tokens look up, and the gradient of their likelihood."""
+
+    def __init__(self, t: Tokens, labels: np.ndarray, starts: np.ndarray, lengths: np.ndarray, weight: np.ndarray) -> None:
+        rows = np.concatenate([np.arange(a, a + n) for a, n in zip(starts, lengths)])
+        self.heavy = np.repeat(weight / (weight * lengths).sum(), lengths).astype(np.float32)[:, None]
+        self.steps = packed(np.r_[0, np.cumsum(lengths)[:-1]], lengths)
+        own, y = labels[rows], len(LABELS)
+        self.truth = np.eye(y, dtype=np.float32)[own]
+        self.index = pair_indices(t, rows)
+        for k in _PLACES:
+            kind = t.kinds[t.type[rows + k]]
+            self.index[f"class{k:+d}"], self.index[f"word{k:+d}"] = kind[:, 0], kind[:, 1]
+            if abs(k) <= 1:
+                self.index[f"affix{k:+d}"] = kind[:, 2]
+        self.far = {name: t.kinds[t.type[rows[:, None] + np.array([sign * k for k in range(NEAR + 1, FAR + 1)])], 1] for name, sign in (("far_left", -1), ("far_right", 1))}
+        self.grouped = {}
+        for name, entry in (self.index | {n: e.ravel() for n, e in self.far.items()}).items():
+            order = np.argsort(entry, kind="stable")
+            entries, at = np.unique(entry[order], return_index=True)
+            self.grouped[name] = (order // (1 if name in self.index else FAR - NEAR), entries, at)
+        self.pairs = np.zeros((y, y))
+        for last, here in zip(self.steps, self.steps[1:]):
+            np.add.at(self.pairs, (own[last[: len(here)]], own[here]), self.heavy[here, 0])
+
+    def gradient(self, field: SkipChainField, used: set[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Truth less expectation, of each token's labels and of pairs of neighbours' labels."""
+        score = np.zeros_like(self.truth)
+        for name, entry in self.index.items():
+            if name in used:
+                score += field.tables[name][entry]
+        for name, entry in self.far.items():
+            if name in used:
+                score += field.tables[name][entry].sum(1)
+        local = np.exp(score - score.max(1, keepdims=True))
+        moves = np.exp(field.chain)
+        forward, backward = local / local.sum(1, keepdims=True), np.ones_like(local)
+        for last, here in zip(self.steps, self.steps[1:]):
+            f = (forward[last[: len(here)]] @ moves) * local[here]
+            forward[here] = f / f.sum(1, keepdims=True)
+        expected = np.zeros_like(self.pairs)
+        for last, here in zip(reversed(self.steps[:-1]), reversed(self.steps)):
+            prev = last[: len(here)]
+            after = local[here] * backward[here]
+            b = after @ moves.T
+            expected += (forward[prev] * (self.heavy[here, 0] / (forward[prev] * b).sum(1))[:, None]).T @ after * moves
+            backward[prev] = b / b.sum(1, keepdims=True)
+        p = forward * backward
+        return (self.truth - p / p.sum(1, keepdims=True)) * self.heavy, self.pairs - expected
+
+
+_NAMELIKE = frozenset(CLASS[f"unknown_{c}"] for c in _CASES if c != "lower")
+
+
+def skip_edges(words: list[tuple[int, str]]) -> list[tuple[int, int]]:
+    """Pairs of distant places of one word, or of two one slip apart: each with the one before it that is like it.
+
+    Words one slip apart share a form with at most one letter left out, by which they are found; of several the first seen counts."""
+    last: dict[str, int] = {}
+    order: dict[str, int] = {}
+    near: dict[str, list[str]] = {}
+    edges = []
+    for k, word in words:
+        low = word.lower()
+        other = last.get(low)
+        if other is None:
+            forms = {low, *(low[:i] + low[i + 1 :] for i in range(len(low)))} if len(low) > 4 else {low}
+            if len(low) > 4:
+                like = min((t for form in forms for t in near.get(form, ()) if one_edit(t, low)), key=order.get, default=None)
+                other = None if like is None else last[like]
+            order[low] = len(order)
+            for form in forms:
+                near.setdefault(form, []).append(low)
+        if other is not None and k - other > 1:
+            edges.append((other, k))
+        last[low] = k
+    return edges
 
 
-def prepare(text: str, known: frozenset[str]):
-    """``(spans, tokens, features, skip edges, breaks)`` of a text, or None without evidence."""
-    found = spans(text, known)
-    if not found:
-        return None
-    runs = windows(text, found)
-    tokens = [t for run in runs for t in run]
-    if not tokens:
-        return None
-    breaks, at = set(), 0
-    for run in runs:
-        breaks.add(at)
-        at += len(run)
-    x = token_features(text, tokens, found, known)
-    return found, tokens, x, skip_edges(tokens, x[:, FEATURES.index("unknown")] > 0), breaks
-
-
-def silver_labels(tokens: list[tuple[str, int, int]], found: list[tuple[int, int, str]]) -> np.ndarray:
-    """Labels by the rules: of overlapping spans the first kind of e-mail, number, address and name."""
-    order = {k: i for i, k in enumerate(("email", "id_number", "phone", "address", "name"))}
-    out = np.zeros(len(tokens), int)
-    for k, (_, a, z) in enumerate(tokens):
-        kinds = [kind for s, e, kind in found if s <= a and z <= e]
-        if kinds:
-            out[k] = LABELS.index(min(kinds, key=order.get))
+def edges_of(t: Tokens, texts: list[str], among: np.ndarray | None = None) -> np.ndarray:
+    """Skip edges of name-like words, of all texts or those whose numbers are ``among``."""
+    likely = np.isin(t.cls, list(_NAMELIKE))
+    if among is not None:
+        likely &= np.isin(t.text, among)
+    places = np.flatnonzero(likely)
+    found: list[tuple[int, int]] = []
+    for part in np.split(places, np.flatnonzero(np.diff(t.text[places])) + 1) if len(places) else ():
+        if len(part) > 1:
+            text = texts[t.text[part[0]]]
+            found += skip_edges([(int(k), text[t.start[k] : t.end[k]]) for k in part])
+    return np.array(found, np.int64).reshape(-1, 2)
+
+
+def silver_labels(t: Tokens, texts: list[str], found: list[list[tuple[int, int, str]]]) -> np.ndarray:
+    """Labels by cues: of overlapping spans the first kind of e-mail, number, address and name. A family name that stands alone elsewhere in a text is a name there too."""
+    out = np.zeros(len(t.cls), np.int64)
+    edges = np.searchsorted(t.text, np.arange(len(texts) + 1))
+    for number, own in enumerate(found):
+        if not own:
+            continue
+        a, z = edges[number], edges[number + 1]
+        real = np.arange(a, z)[t.cls[a:z] > 0]
+        for kind in ("name", "address", "phone", "id_number", "email"):
+            for s, e, k in own:
+                if k == kind:
+                    out[real[(t.start[real] < e) & (t.end[real] > s)]] = LABELS.index(kind)
+        family = {texts[number][t.start[k] : t.end[k]].lower() for k in real if out[k] == 1 and t.cls[k] in _NAMELIKE}
+        for k in real:
+            if family and out[k] == 0 and t.cls[k] in _NAMELIKE and texts[number][t.start[k] : t.end[k]].lower() in family:
+                out[k] = 1
     return out
 
 
-def entities(text: str, known: frozenset[str], field: SkipChainField) -> list[tuple[int, int, str]]:
-    """``(start, end, kind)`` of personal information: runs of one label that lie in evidence of it, without touching masked text."""
-    ready = prepare(text, known)
-    if ready is None:
-        return []
-    found, tokens, x, edges, breaks = ready
-    labels = field.label(x, edges, breaks)
-    out: list[tuple[int, int, str]] = []
-    for k, (_, a, z) in enumerate(tokens):
-        if labels[k]:
-            kind = LABELS[labels[k]]
-            if out and out[-1][2] == kind and k not in breaks and labels[k - 1] == labels[k]:
-                out[-1] = (out[-1][0], z, kind)
-            else:
-                out.append((a, z, kind))
-    return [(a, z, k) for a, z, k in out if k in ("email", "phone", "id_number", "address") or len(_WORDS.findall(text[a:z])) >= 2]
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def plausible(piece: str, kind: str) -> bool:
+    """An exact check of what the field found: a name has two words, a phone and an id number enough digits and no card's check digit, an address a number and a word."""
+    digits = re.sub(r"\D", "", piece)
+    if kind == "name":
+        return len(_LETTERS.findall(piece)) >= 2
+    if kind == "email":
+        return "@" in piece or len(_LETTERS.findall(piece)) >= 4
+    if kind == "address":
+        return bool(digits) and bool(_LETTERS.search(piece))
+    return len(digits) >= 6 and not (13 <= len(digits) <= 19 and kind == "id_number" and luhn(digits)) and (kind == "id_number" or 7 <= len(digits) <= 15)
+
+
+def entities(texts: list[str], rare: list, reader: Reader, field: SkipChainField) -> list[list[tuple[int, int, str]]]:
+    """``(start, end, kind)`` of personal information in each text: runs of one label. A name alone counts where the text has it in full."""
+    t = reader.read(texts, rare)
+    unary, steps = field.islands(field.unary(t), t.cls > 0)
+    some = np.concatenate(steps) if steps else np.zeros(0, np.int64)
+    labels = np.zeros(len(t.cls), np.int64)
+    labels[some] = field.beliefs(unary, steps)[some].argmax(1)
+    # skip potentials draw labels together, so a text without any label but none has no use for messages
+    hot = np.unique(t.text[labels > 0])
+    edges = edges_of(t, texts, hot) if len(hot) else np.zeros((0, 2), np.int64)
+    if len(edges):
+        edges = edges[np.isin(edges, some).all(1)]  # what is closed is none and draws no label but that
+        touched = np.isin(t.text, t.text[edges[:, 0]])
+        labels[some] = np.where(touched[some], field.label(unary, edges, [kept for step in steps if len(kept := step[touched[step]])])[some], labels[some])
+    out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
+    places = np.flatnonzero(labels)
+    cuts = np.flatnonzero((np.diff(places) > 1) | (np.diff(labels[places]) != 0)) + 1 if len(places) else []
+    ends = (CLASS["line"], CLASS["blank"], CLASS["sign_,"], CLASS["sign_;"], CLASS["sign_:"])
+    for run in np.split(places, cuts) if len(places) else ():
+        while len(run) and t.cls[run[-1]] in ends:
+            run = run[:-1]
+        while len(run) and t.cls[run[0]] in ends:
+            run = run[1:]
+        if len(run):
+            number = int(t.text[run[0]])
+            out[number].append((int(t.start[run[0]]), int(t.end[run[-1]]), LABELS[labels[run[0]]]))
+    for number, own in enumerate(out):
+        text = texts[number]
+        whole = {w.lower() for a, z, k in own if k == "name" and plausible(text[a:z], k) for w in _LETTERS.findall(text[a:z])}
+        out[number] = [(a, z, k) for a, z, k in own if plausible(text[a:z], k) or (k == "name" and any(one_edit(w, text[a:z].lower()) for w in whole if len(w) > 2))]
+    return out
 
 
 def _count_case(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words: Counter = Counter()
-    for batch in batches:
-        for text in batch.column("text").to_pylist():
-            words.update(set(_WORDS.findall(text)))
-    low: dict[str, list[int]] = {}
-    for word, n in words.items():
-        if len(word) <= 40:
-            low.setdefault(word.lower(), [0, 0])[0 if word.islower() else 1] += n
-    yield pa.record_batch([pa.array(list(low), pa.string()), pa.array([v[0] for v in low.values()], pa.int64()), pa.array([v[1] for v in low.values()], pa.int64())], ["word", "n_low", "n_cap"])
-
-
-class _Either:
-    """The frequent everyday words with a text's own rarer ones, without a copy of the former."""
 
-    def __init__(self, frequent: frozenset[str], rare: list[str] | None) -> None:
-        self.frequent, self.rare = frequent, frozenset(rare or ())
+    def stated() -> pa.RecordBatch:
+        low: dict[str, list[int]] = {}
+        for word, n in words.items():
+            low.setdefault(word.lower(), [0, 0])[0 if word.islower() else 1] += n
+        return pa.record_batch([pa.array(list(low), pa.string()), pa.array([v[0] for v in low.values()], pa.int64()), pa.array([v[1] for v in low.values()], pa.int64())], ["word", "n_low", "n_cap"])
 
-    def __contains__(self, word: str) -> bool:
-        return word in self.frequent or word in self.rare
+    for batch in batches:
+        for text in batch.column("text").to_pylist():
+            words.update(set(_LETTERS.findall(text)))
+        if len(words) > 1_000_000:
+            yield stated()
+            words.clear()
+    yield stated()
 
 
 def everyday_words(texts: DataFrame) -> tuple[frozenset[str], DataFrame | None]:
@@ -454,16 +604,8 @@ def everyday_words(texts: DataFrame) -> tuple[frozenset[str], DataFrame | None]:
     return frozenset(r["word"] for r in frequent), words.filter(beyond).select("word")
 
 
-def asked_words(text: str, frequent: frozenset[str]) -> set[str]:
-    """Every word of a text that its labels may depend on, if it isn't frequent; none for texts without evidence, which rarer words can't give."""
-    if not spans(text, frequent):
-        return set()
-    pieces = {p.lower() for form in (_WORDS, _TOKEN, _NAME_TOKEN) for m in form.finditer(text) for t in (m.group(), m.group().rstrip(".")) for p in (t, *re.split(r"[-’']", t))}
-    return {p for p in pieces if p and p not in frequent and p not in COMMON_WORDS}
-
-
 def with_rare_words(texts: DataFrame, frequent: frozenset[str], rare: DataFrame | None) -> DataFrame:
-    """Texts with ``rare_words``, the everyday words beyond the frequent ones that their labels may depend on, by joins on the word and on the text's hash."""
+    """Texts with ``rare_words``, the everyday words in them beyond the frequent ones, by joins on the word and on the text's hash."""
     if rare is None:
         return texts.withColumn("rare_words", F.lit(None).cast("array<string>"))
     shared = texts.sparkSession.sparkContext.broadcast(frequent)
@@ -472,7 +614,8 @@ def with_rare_words(texts: DataFrame, frequent: frozenset[str], rare: DataFrame
         for batch in batches:
             keys, words = [], []
             for key, text in zip(batch.column("_key").to_pylist(), batch.column("text").to_pylist()):
-                asked = asked_words(text, shared.value)
+                low = {w.lower() for form in (_LETTERS, _TOKEN) for w in (m.group() for m in form.finditer(text)) if w[:1].isalpha()}
+                asked = [w for w in low if w not in shared.value and w not in COMMON_WORDS]
                 keys += [key] * len(asked)
                 words += asked
             yield pa.record_batch([pa.array(keys, pa.string()), pa.array(words, pa.string())], ["_key", "word"])
@@ -490,39 +633,82 @@ def texts_of(chunks: DataFrame, quarantine: DataFrame) -> DataFrame:
     return a.unionByName(b).filter(F.col("text").rlike(r"\S") & F.col("row_key").isNotNull())
 
 
-def fit_field(texts: DataFrame, frequent: frozenset[str], sample: int = SAMPLE) -> SkipChainField:
+class _Either:
+    """The frequent everyday words with a text's own rarer ones, without a copy of the former."""
+
+    def __init__(self, frequent: frozenset[str], rare: list[str] | None) -> None:
+        self.frequent, self.rare = frequent, frozenset(rare or ())
+
+    def __contains__(self, word: str) -> bool:
+        return word in self.frequent or word in self.rare
+
+
+_FOUND = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
+
+
+def _cue(shared):
+    """The spans that cues find in each text; for the sample that the field is fitted to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[{"start": a, "end": z, "kind": k} for a, z, k in spans(text, _Either(shared.value, own))] for text, own in zip(batch.column("text").to_pylist(), batch.column("rare_words").to_pylist())]
+            yield pa.record_batch([batch.column("text"), batch.column("rare_words"), pa.array(found, _FOUND)], ["text", "rare_words", "found"])
+
+    return run
+
+
+def fit_sample(texts: list[str], rare: list, found: list[list[tuple[int, int, str]]], frequent: frozenset[str]) -> tuple[dict[str, int], SkipChainField]:
+    """The vocabulary and the field of labelled texts. Words of a fifth of a thousandth of the texts, three at least, have weights of their own."""
+    seen: Counter = Counter()
+    for text in texts:
+        seen.update({m.group().lower() for m in tokens_of(text) if m.lastgroup in ("word", "plain")})
+    least = max(3, len(texts) // 5000)
+    words = sorted(w for w, n in seen.items() if n >= least and w not in _GIVENS)
+    vocabulary = {w: k + 1 for k, w in enumerate(words)}
+    reader = Reader(frequent, vocabulary)
+    t = reader.read(texts, rare, [crc32(x.encode()) % 3 for x in texts])  # 0 and 1 hide a half of the given names, 2 none
+    labels = silver_labels(t, texts, found)
+    return vocabulary, SkipChainField.fit(t, labels, edges_of(t, texts), len(vocabulary) + 1)
+
+
+def fit_field(texts: DataFrame, frequent: frozenset[str], sample: int = SAMPLE) -> tuple[dict[str, int], SkipChainField]:
     """The field fitted to about ``sample`` texts with ``rare_words`` chosen by the hash of their keys, never more than twice as many."""
     share = min(1.0, sample / max(1, texts.select("place").count()))
     # chosen by key, so that the same texts are chosen on every run; the limit only keeps the bound where chance goes beyond it
-    some = texts.filter(F.pmod(F.xxhash64("place", "row_key"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text", "rare_words").limit(2 * sample).collect()
-    rows = []
-    for r in some:
-        if ready := prepare(r["text"], _Either(frequent, r["rare_words"])):
-            found, tokens, x, edges, _ = ready
-            rows.append((x, silver_labels(tokens, found), edges))
-    return SkipChainField.fit(rows)
+    some = texts.filter(F.pmod(F.xxhash64("place", "row_key"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text", "rare_words")
+    shared = texts.sparkSession.sparkContext.broadcast(frequent)
+    rows = some.mapInArrow(_cue(shared), "text string, rare_words array<string>, found array<struct<start:int,end:int,kind:string>>").limit(2 * sample).collect()
+    rows = sorted({r["text"]: r for r in rows}.values(), key=lambda r: r["text"])
+    return fit_sample([r["text"] for r in rows], [r["rare_words"] for r in rows], [[(e["start"], e["end"], e["kind"]) for e in r["found"]] for r in rows], frequent)
+
+
+#: Characters of text whose tokens are labelled together; a longer text is labelled whole.
+_TOGETHER = 1_500_000
 
 
 def find_personal(texts: DataFrame) -> DataFrame:
     """``place, row_key, text, entities`` of texts with personal information; entities are ``(start, end, kind)`` in characters.
 
-    Repeated and late rows of a key give equal rows; null and blank texts give none; texts of any length are looked at whole."""
+    Repeated and late rows of a key give equal rows; null and blank texts give none; texts of any length are labelled whole."""
     frequent, rare = everyday_words(texts)
     texts = with_rare_words(texts, frequent, rare)
     spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast((frequent, fit_field(texts, frequent)))
+    shared = spark.sparkContext.broadcast((frequent, *fit_field(texts, frequent)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, field = shared.value
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
+        frequent, vocabulary, field = shared.value
+        reader = Reader(frequent, vocabulary)
         for batch in batches:
+            every, own = batch.column("text").to_pylist(), batch.column("rare_words").to_pylist()
+            group = np.cumsum([len(x) for x in every]) // _TOGETHER if every else np.zeros(0, int)
             rows, out = [], []
-            for k, (text, own) in enumerate(zip(batch.column("text").to_pylist(), batch.column("rare_words").to_pylist())):
-                if hits := entities(text, _Either(frequent, own), field):
-                    rows.append(k)
-                    out.append([{"start": a, "end": z, "kind": c} for a, z, c in hits])
+            for part in np.split(np.arange(len(every)), np.flatnonzero(np.diff(group)) + 1):
+                for k, hits in zip(part, entities([every[i] for i in part], [own[i] for i in part], reader, field)):
+                    if hits:
+                        rows.append(int(k))
+                        out.append([{"start": a, "end": z, "kind": c} for a, z, c in hits])
             kept = batch.select(["place", "row_key", "text"]).take(pa.array(rows, pa.int64()))
-            yield pa.record_batch([*kept.columns, pa.array(out, kind)], ["place", "row_key", "text", "entities"])
+            yield pa.record_batch([*kept.columns, pa.array(out, _FOUND)], ["place", "row_key", "text", "entities"])
 
     return texts.mapInArrow(run, "place string, row_key string, text string, entities array<struct<start:int,end:int,kind:string>>")
 

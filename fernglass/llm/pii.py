@@ -27,8 +27,8 @@ from .quality import COMMON_WORDS
 
 KINDS = ("name", "email", "phone", "id_number", "address")
 LABELS = ("none", *KINDS)
-#: Texts that the field is fitted to, a bound; frequent everyday words that are sent to every task, a bound; all other such words are joined.
-SAMPLE, KNOWN = 12_000, 60_000
+#: Texts that cues look at for the field to be fitted to, a bound, and which of those without cues are taken; frequent everyday words that are sent to every task, a bound; all other such words are joined.
+SAMPLE, WITHOUT, KNOWN = 12_000, 8, 60_000
 #: Rounds of message passing over skip edges.
 ROUNDS = 5
 #: Tokens on either side whose class and identity a token's potentials see each by itself, and beyond them as one sum.
@@ -341,10 +341,10 @@ class SkipChainField:
         return local, packed(starts, lengths)
 
     @staticmethod
-    def fit(t: Tokens, labels: np.ndarray, edges: np.ndarray, words: int, passes: int = 24, batches: int = 12, rate: float = 0.12, decay: float = 1e-7, keep: float = 0.5, scale: float = 0.8, segment: int = 24, thin: int = 16, tilt: float = 0.25) -> SkipChainField:
+    def fit(t: Tokens, labels: np.ndarray, edges: np.ndarray, words: int, passes: int = 24, batches: int = 12, rate: float = 0.12, decay: float = 1e-7, keep: float = 0.5, scale: float = 0.8, segment: int = 24, thin: int = 4, tilt: float = 1.0) -> SkipChainField:
         """Maximum likelihood of chains over segments of texts, by stochastic gradient ascent with forward-backward sums, then of the skip potential given the chains' posteriors.
 
-        Of segments without personal information one in ``thin`` is taken, with ``tilt`` of that weight: what is found too much can be checked, what is missed can't."""
+        Of segments without personal information one in ``thin`` is taken, with ``tilt`` times that weight."""
         y = len(LABELS)
         tables = {name: np.zeros((size, y), np.float32) for name, size in table_sizes(words).items()}
         field = SkipChainField(tables, np.zeros((y, y), np.float32), np.zeros((y, y), np.float32))
@@ -647,12 +647,13 @@ _FOUND = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind"
 
 
 def _cue(shared):
-    """The spans that cues find in each text; for the sample that the field is fitted to."""
+    """The spans that cues find in each text, and one in ``WITHOUT`` texts without any; for the sample that the field is fitted to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [[{"start": a, "end": z, "kind": k} for a, z, k in spans(text, _Either(shared.value, own))] for text, own in zip(batch.column("text").to_pylist(), batch.column("rare_words").to_pylist())]
-            yield pa.record_batch([batch.column("text"), batch.column("rare_words"), pa.array(found, _FOUND)], ["text", "rare_words", "found"])
+            taken = pa.array([k for k, (x, own) in enumerate(zip(batch.column("text").to_pylist(), found)) if own or crc32(x.encode()) % WITHOUT == 0], pa.int64())
+            yield pa.record_batch([batch.column("text").take(taken), batch.column("rare_words").take(taken), pa.array(found, _FOUND).take(taken)], ["text", "rare_words", "found"])
 
     return run
 
@@ -666,13 +667,13 @@ def fit_sample(texts: list[str], rare: list, found: list[list[tuple[int, int, st
     words = sorted(w for w, n in seen.items() if n >= least and w not in _GIVENS)
     vocabulary = {w: k + 1 for k, w in enumerate(words)}
     reader = Reader(frequent, vocabulary)
-    t = reader.read(texts, rare, [crc32(x.encode()) % 3 for x in texts])  # 0 and 1 hide a half of the given names, 2 none
+    t = reader.read(texts, rare, [crc32(x.encode()) // WITHOUT % 3 for x in texts])  # 0 and 1 hide a half of the given names, 2 none
     labels = silver_labels(t, texts, found)
     return vocabulary, SkipChainField.fit(t, labels, edges_of(t, texts), len(vocabulary) + 1)
 
 
 def fit_field(texts: DataFrame, frequent: frozenset[str], sample: int = SAMPLE) -> tuple[dict[str, int], SkipChainField]:
-    """The field fitted to about ``sample`` texts with ``rare_words`` chosen by the hash of their keys, never more than twice as many."""
+    """The field fitted to texts with ``rare_words``, of about ``sample`` chosen by the hash of their keys, never more than twice as many."""
     share = min(1.0, sample / max(1, texts.select("place").count()))
     # chosen by key, so that the same texts are chosen on every run; the limit only keeps the bound where chance goes beyond it
     some = texts.filter(F.pmod(F.xxhash64("place", "row_key"), F.lit(1 << 30)) < int(share * (1 << 30))).select("text", "rare_words")

@@ -1,24 +1,30 @@
-"""Linking of the spellings of names typed by people: a prefix-filtered set-similarity join on q-grams of the rare part of a
-name, verified by soft weighted token similarity, and a resolution of what goes beside it (line of trade, given name)."""
+"""Linking of the spellings of names typed by people: a prefix-filtered set-similarity join on the q-grams of the tokens of the rare
+part of a name, in any order, decided by soft token similarity in which rare tokens count more, and a resolution of what goes beside
+it (line of trade, given name)."""
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
 from .lexicon import GIVEN_NAMES, LEGAL_FORMS, SHORT_FORMS, TITLES, TRADE_WORDS
 
-#: Letters in a gram, and edits between a spelling and the form it is a slip of.
-Q, EDITS = 4, 1
-#: Least soft similarity of the rare tokens.
-SOFT = 0.75
+#: Letters in a gram; letters of a rare part from which two slips in it are looked for instead of one.
+Q, TWO_SLIPS = 4, 10
+#: Least soft similarity of the rare tokens; what a first letter that differs takes off a slip's similarity; how like a slip is between tokens that are both written often.
+SOFT, FIRST_LETTER, BOTH_USUAL = 0.75, 0.25, 0.4
+#: Spellings that have a token, from which it is usual, and the share of those that have the other token.
+USUAL, USUAL_SHARE = 4, 0.2
+#: Pairs of the table of nicknames, which every task has whole; more raise.
+NICKNAMES = 100_000
 
 _TOKEN = regex.compile(r"\p{L}+(?:[’'`]\p{L}+)*")
 
@@ -122,85 +128,114 @@ def _parse_all(nicknames: tuple[tuple[str, str], ...]):
     return run
 
 
-def grams(core: str, q: int = Q) -> list[str]:
-    """The set of q-grams of a core with its ends marked, so that an edit touches at most q + 1 of them."""
-    padded = "^" * (q - 1) + core + "$" * (q - 1)
-    return sorted({padded[i : i + q] for i in range(len(padded) - q + 1)})
+def grams(word: Column, q: int = Q) -> Column:
+    """The q-grams of a word with its ends marked, so that an edit touches at most q + 1 of them."""
+    padded = F.concat(F.lit("^" * (q - 1)), word, F.lit("$" * (q - 1)))
+    return F.transform(F.sequence(F.lit(1), F.length(word) + q - 1), lambda i: F.substring(padded, i, q))
 
 
-def cut_forms(tokens: list[str], least: int = 3, most: int = 3) -> list[str]:
-    """The cores that result if one token of a name of several is abbreviated to its start, by up to ``most`` letters."""
-    if len(tokens) < 2:
-        return []
-    return sorted({"".join([*tokens[:i], t[:n], *tokens[i + 1 :]]) for i, t in enumerate(tokens) for n in range(max(least, len(t) - most), len(t))})
+def cut_forms(tokens: Column, least: int = 3) -> Column:
+    """The cores that result if one token of a name of several is abbreviated to its start."""
 
+    def shortened(token: Column, at: Column) -> Column:
+        lengths = F.when(F.length(token) > least, F.sequence(F.lit(least), F.length(token) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(lengths, lambda n: F.concat_ws("", F.slice(tokens, F.lit(1), at), F.substring(token, F.lit(1), n), F.slice(tokens, at + 2, F.size(tokens))))
 
-def soft_similarity(a: list[str], b: list[str], weight_a: list[float], weight_b: list[float]) -> float:
-    """The mean over both sides of how well each token is met on the other, tokens counting by weight; tokens that were run together are compared as one."""
-    from difflib import SequenceMatcher
+    return F.when(F.size(tokens) > 1, F.array_distinct(F.flatten(F.transform(tokens, shortened)))).otherwise(F.array().cast("array<string>"))
 
-    alike = lambda x, y: 1.0 if x == y else 1 - 1 / max(len(x), len(y)) if one_edit(x, y) else SequenceMatcher(None, x, y, False).ratio()
-    whole = alike("".join(a), "".join(b))
-    if len(a) != len(b):
-        return whole
-    side = lambda x, y, w: sum(k * max(alike(t, u) for u in y) for t, k in zip(x, w)) / (sum(w) or 1)
-    return max(whole, (side(a, b, weight_a) + side(b, a, weight_b)) / 2)
+
+def slip_similarity(a: str, b: str, n_a: int = 1, n_b: int = 1) -> float:
+    """How like two tokens are: 1 if equal, less for one slip by its share of the letters, 0 else.
+
+    People seldom mistype a first letter. Two tokens that are both usual (``n_a`` and ``n_b`` spellings have them) are two names rather than one and its slip."""
+    if a == b:
+        return 1.0
+    if min(len(a), len(b)) < 3 or not one_edit(a, b):
+        return 0.0
+    if min(n_a, n_b) >= USUAL and min(n_a, n_b) >= USUAL_SHARE * max(n_a, n_b):
+        return BOTH_USUAL
+    replaced = len(a) == len(b) and a[0] != b[0] and a[1:] == b[1:]
+    return 1 - 1 / max(len(a), len(b)) - FIRST_LETTER * replaced
 
 
-def _verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        ok = [
-            one_edit(a, b) and soft_similarity(list(s), list(t), list(v), list(w)) >= SOFT
-            for a, b, s, t, v, w in zip(f["a"], f["b"], f["a_tokens"], f["b_tokens"], f["a_weights"], f["b_weights"])
-        ]
-        yield f.loc[ok, ["a", "b"]]
+def soft_similarity(a: list[str], b: list[str], n_a: list[int], n_b: list[int], total: int) -> float:
+    """The mean over both sides of how well each token is met by one of the other side, each used once; a token counts by the logarithm of how rare it is.
+
+    Tokens that are written as one on a side are compared as one, in order."""
+    if len(a) != len(b):
+        return slip_similarity("".join(a), "".join(b), min(n_a), min(n_b))
+    weight_a, weight_b = ([math.log((total + 1) / n) + 0.01 for n in counts] for counts in (n_a, n_b))
+    scored = sorted(((slip_similarity(x, y, n, m), -i, -j) for i, (x, n) in enumerate(zip(a, n_a)) for j, (y, m) in enumerate(zip(b, n_b))), reverse=True)
+    met_a, met_b = [0.0] * len(a), [0.0] * len(b)
+    free_a, free_b = set(range(len(a))), set(range(len(b)))
+    for value, i, j in scored:
+        if -i in free_a and -j in free_b:
+            free_a.remove(-i)
+            free_b.remove(-j)
+            met_a[-i] = met_b[-j] = value
+    side = lambda met, weight: sum(m * w for m, w in zip(met, weight)) / sum(weight)
+    return (side(met_a, weight_a) + side(met_b, weight_b)) / 2
+
+
+def _verify(total: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            ok = [soft_similarity(list(s), list(t), list(v), list(w), total) >= SOFT for s, t, v, w in zip(f["a_tokens"], f["b_tokens"], f["a_counts"], f["b_counts"])]
+            yield f.loc[ok, ["a", "b"]]
+
+    return run
 
 
 def _similar_cores(parsed: DataFrame) -> DataFrame:
-    """``a, b`` in both orders: cores within one edit whose tokens are alike, by a prefix-filtered join on grams."""
+    """``a, b`` in both orders: cores whose tokens are alike in any order, or alike if written as one, by prefix-filtered joins on grams."""
     total = parsed.count()
     tokens = parsed.select("merchant", F.explode("tokens").alias("token")).distinct().groupBy("token").agg(F.count("*").alias("n"))
     cores = parsed.groupBy("core").agg(F.min("tokens").alias("tokens"))
-    weights = cores.select("core", F.posexplode("tokens").alias("at", "token")).join(tokens, "token")
-    weights = weights.groupBy("core").agg(F.array_sort(F.collect_list(F.struct("at", F.log(F.lit(total + 1) / F.col("n")).alias("w")))).alias("s"))
-    cores = cores.join(weights, "core").select("core", "tokens", F.col("s.w").alias("weights"))
-    cut_up = F.udf(grams, "array<string>")
-    every = parsed.select("core").distinct().select("core", F.explode(cut_up("core")).alias("gram"))
-    counts = every.groupBy("gram").agg(F.count("*").alias("n"))
-    # one edit leaves all but q + 1 grams, so two similar cores share one of their q + 2 rarest
-    ordered = every.join(counts, "gram").groupBy("core").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "gram"))), 1, EDITS * (Q + 1) + 1).alias("p"))
-    prefix = ordered.select("core", F.explode("p.gram").alias("gram"))
-    pairs = prefix.select(F.col("core").alias("a"), "gram").join(prefix.select(F.col("core").alias("b"), "gram"), "gram")
-    pairs = pairs.filter((F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= EDITS)).select("a", "b").distinct()
-    side = lambda p: cores.select(F.col("core").alias(p), F.col("tokens").alias(f"{p}_tokens"), F.col("weights").alias(f"{p}_weights"))
-    checked = pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_verify, "a string, b string")
+    counts = cores.select("core", F.posexplode("tokens").alias("at", "token")).join(tokens, "token")
+    counts = counts.groupBy("core").agg(F.array_sort(F.collect_list(F.struct("at", F.col("n").cast("int").alias("n")))).alias("s"))
+    cores = cut(cores.join(counts, "core").select("core", "tokens", F.col("s.n").alias("counts")))
+    # a core is met by the grams of its tokens, whatever their order, and by those of its tokens written as one
+    apart, together = F.array_distinct(F.flatten(F.transform("tokens", lambda t: grams(t)))), F.array_distinct(grams(F.concat_ws("", "tokens")))
+    forms = F.array(F.struct(F.lit(0).alias("form"), apart.alias("grams")), F.struct(F.lit(1).alias("form"), together.alias("grams")))
+    every = cores.select("core", F.explode(F.when(F.size("tokens") > 1, forms).otherwise(F.slice(forms, 2, 1))).alias("f")).select("core", "f.form", F.explode("f.grams").alias("gram"))
+    shared = every.groupBy("form", "gram").agg(F.count("*").alias("n"))
+    # one edit leaves all but q + 1 grams, so similar cores share one of their e (q + 1) + 1 rarest for e edits
+    edits = F.when(F.length("core") >= TWO_SLIPS, 2).otherwise(1)
+    ordered = every.join(shared, ["form", "gram"]).groupBy("core", "form").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("p"))
+    prefix = ordered.select("core", "form", edits.alias("edits"), F.explode(F.slice("p", 1, edits * (Q + 1) + 1)).alias("g")).select("core", "form", "edits", F.col("g.gram").alias("gram"))
+    side = lambda p: prefix.select(F.col("core").alias(p), "form", "gram", F.col("edits").alias(f"{p}_edits"))
+    pairs = side("a").join(side("b"), ["form", "gram"])
+    pairs = pairs.filter((F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= F.greatest("a_edits", "b_edits"))).select("a", "b").distinct()
+    tokens_of = lambda p: cores.select(F.col("core").alias(p), F.col("tokens").alias(f"{p}_tokens"), F.col("counts").alias(f"{p}_counts"))
+    checked = pairs.join(tokens_of("a"), "a").join(tokens_of("b"), "b").mapInPandas(_verify(total), "a string, b string")
     # an abbreviated token is met by an equality join on the abbreviations of the others
-    shortened = F.udf(cut_forms, "array<string>")
-    forms = cores.select(F.col("core").alias("b"), F.explode(shortened("tokens")).alias("a"))
-    cut_off = forms.join(cores.select(F.col("core").alias("a")), "a").select("a", "b")
+    short = cores.select(F.col("core").alias("b"), F.explode(cut_forms(F.col("tokens"))).alias("a"))
+    cut_off = short.join(cores.select(F.col("core").alias("a")), "a").select("a", "b")
     return checked.unionByName(checked.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(cut_off).distinct()
 
 
-def _roots(parsed: DataFrame, rounds: int = 3) -> DataFrame:
-    """``core, root``: each core hangs on its most used similar core that is more used than itself; roots are found by pointer jumping."""
+def _roots(parsed: DataFrame) -> DataFrame:
+    """``core, root``: each core hangs on its most used similar core that is more used than itself; roots are found by pointer jumping until none moves."""
     used = parsed.groupBy("core").agg(F.struct(F.sum("n_rows").alias("n_rows"), F.count("*").alias("n")).alias("use"))
     links = _similar_cores(parsed).join(used.select(F.col("core").alias("a"), F.col("use").alias("a_use")), "a").join(used.select(F.col("core").alias("b"), F.col("use").alias("b_use")), "b")
     up = links.filter(F.struct("b_use", "b") > F.struct("a_use", "a")).groupBy("a").agg(F.max(F.struct("b_use", "b")).alias("best"))
     roots = used.select("core").join(up.select(F.col("a").alias("core"), F.col("best.b").alias("up")), "core", "left").select("core", F.coalesce("up", "core").alias("root"))
     roots = cut(roots)  # each round reads it twice
-    for _ in range(rounds):
+    while True:  # a chain of n links takes log2(n) rounds
         step = roots.select(F.col("core").alias("root"), F.col("root").alias("next"))
-        roots = cut(roots.join(step, "root").select("core", F.col("next").alias("root")))
-    return roots
+        roots = cut(roots.join(step, "root").select("core", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
+        moved = roots.filter("moved").limit(1).count()
+        roots = roots.drop("moved")
+        if not moved:
+            return roots
 
 
 def _assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         out = []
-        for _, row in frame.iterrows():
-            for index, label in enumerate(resolve([(tuple(s["trade"]), s["given"], s["initial"], s["n"]) for s in row["sides"]])):
-                s = row["sides"][index]
-                out.append((row["root"], "|".join(s["trade"]), s["given"], s["initial"], label))
+        for root, sides in zip(frame["root"], frame["sides"]):
+            for s, label in zip(sides, resolve([(tuple(s["trade"]), s["given"], s["initial"], s["n"]) for s in sides])):
+                out.append((root, "|".join(s["trade"]), s["given"], s["initial"], label))
         yield pd.DataFrame(out, columns=["root", "trades", "given", "initial", "label"])
 
 
@@ -245,9 +280,11 @@ def link_names(ledger: DataFrame, nicknames: DataFrame) -> DataFrame:
     """``merchant, entity``: each distinct spelling, exactly as stored, with the entity that it belongs to.
 
     Null, blank and ``?`` spellings, and ones without a letter, are left out. ``entity`` is the rare part of the most used
-    spelling and what tells its entities apart. ``nicknames`` (``given, nickname``) is a dimension of given names, read to
-    the driver; null entries are skipped. Other columns are left out; empty tables give no rows."""
-    pairs = nicknames.select("given", "nickname").dropna().distinct().limit(20_000).collect()
+    spelling and what tells its entities apart. ``nicknames`` (``given, nickname``) is a dimension of given names, of which more
+    than ``NICKNAMES`` pairs raise; null entries are skipped. Other columns are left out; empty tables give no rows."""
+    pairs = nicknames.select("given", "nickname").dropna().distinct().limit(NICKNAMES + 1).collect()
+    if len(pairs) > NICKNAMES:
+        raise ValueError(f"more than {NICKNAMES} nicknames: every task has the table whole, so it must be a dimension")
     table = tuple(sorted((r["nickname"].strip().lower(), r["given"].strip().lower()) for r in pairs))
     strings = ledger.select("merchant").filter(F.col("merchant").rlike(r"\p{L}")).groupBy("merchant").agg(F.count("*").alias("n_rows"))
     schema = "merchant string, n_rows long, tokens array<string>, core string, trade array<string>, given string, initial string"
@@ -263,8 +300,14 @@ def link_names(ledger: DataFrame, nicknames: DataFrame) -> DataFrame:
     return found.select("merchant", F.concat_ws(" / ", "root", "label").alias("entity"))
 
 
+#: Spellings of an entity that one task pairs with all others of it.
+PAIRED_AT_ONCE = 1000
+
+
 def same_entity_pairs(links: DataFrame) -> DataFrame:
-    """``merchant_a, merchant_b``: the pairs of spellings of one entity, the smaller one first."""
-    a = links.select(F.col("merchant").alias("merchant_a"), "entity")
-    b = links.select(F.col("merchant").alias("merchant_b"), "entity")
-    return a.join(b, "entity").filter("merchant_a < merchant_b").select("merchant_a", "merchant_b")
+    """``merchant_a, merchant_b``: the pairs of spellings of one entity, the smaller one first. An entity with many spellings is many tasks."""
+    parts = links.groupBy("entity").agg(F.ceil(F.count("*") / PAIRED_AT_ONCE).cast("int").alias("_parts"))
+    sized = links.join(parts, "entity")
+    a = sized.select(F.col("merchant").alias("merchant_a"), "entity", F.pmod(F.xxhash64("merchant"), F.col("_parts")).cast("int").alias("_part"))
+    b = sized.select(F.col("merchant").alias("merchant_b"), "entity", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+    return a.join(b, ["entity", "_part"]).filter("merchant_a < merchant_b").select("merchant_a", "merchant_b")

@@ -1,3 +1,4 @@
+from collections import Counter
 from itertools import combinations
 from random import Random
 
@@ -5,7 +6,9 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from fernglass.llm.names import _roots, grams, link_names, one_edit, parse, resolve, same_entity_pairs, soft_similarity
+from pyspark.sql import functions as F
+
+from fernglass.llm.names import SOFT, _roots, _similar_cores, cut_forms, grams, link_names, one_edit, parse, resolve, same_entity_pairs, soft_similarity
 
 NICK = [("Robert", "Bob"), ("Katherine", "Kathy"), (None, "X"), ("Robert", "Bob")]
 GROUPS = [
@@ -41,25 +44,69 @@ def test_one_edit_against_a_table(a, b):
     assert one_edit(a, b) == (b in near)
 
 
+def py_grams(word, q=4):
+    padded = "^" * (q - 1) + word + "$" * (q - 1)
+    return sorted({padded[i : i + q] for i in range(len(padded) - q + 1)})
+
+
 @given(st.text("abcdef", min_size=3, max_size=14), st.integers(0, 13), st.sampled_from("xdis"))
 def test_an_edit_leaves_a_rare_gram(a, i, how):
     i = min(i, len(a) - 1)
     b = a[:i] + "z" + a[i:] if how == "x" else a[:i] + a[i + 1 :] if how == "d" else a[:i] + "z" + a[i + 1 :] if how == "s" else a[:i] + a[i : i + 2][::-1] + a[i + 2 :]
     if len(b) >= 3:
         order = lambda g: sorted(g, key=lambda x: hash((x, 7)))[:6]
-        assert set(order(grams(a))) & set(order(grams(b)))
+        assert set(order(py_grams(a))) & set(order(py_grams(b)))
+
+
+def test_grams_and_short_forms(spark):
+    r = spark.createDataFrame([(["vedfaf", "miv"],), (["one"],), ([],)], "t array<string>").select(cut_forms(F.col("t")).alias("c"), F.transform("t", lambda t: grams(t)).alias("g")).collect()
+    assert set(r[0]["c"]) == {"vedmiv", "vedfmiv", "vedfamiv"} and r[1]["c"] == [] and r[2]["c"] == [] and sorted(set(r[0]["g"][1])) == py_grams("miv")
+
+
+def test_similarity_counts_rare_tokens_more():
+    assert soft_similarity(["veldhoven", "quistgaard"], ["quistgaard", "veldhoven"], [1, 1], [1, 1], 100) == 1
+    assert soft_similarity(["hansen"], ["jansen"], [3, ], [3], 100) < SOFT and soft_similarity(["mann"], ["hann"], [1], [1], 100) < SOFT
+    assert soft_similarity(["hansen"], ["hanses"], [1], [30], 100) >= SOFT and soft_similarity(["hansen"], ["hanses"], [20], [30], 100) < SOFT
+    # the rare token decides: the usual one is of little weight
+    assert soft_similarity(["rare", "usual"], ["rare", "other"], [1, 90], [1, 80], 100) >= SOFT > soft_similarity(["rare", "usual"], ["else", "usual"], [1, 90], [1, 90], 100)
+
+
+def test_other_orders_link_and_other_firms_do_not(spark):
+    names = ["Veldhoven Quistgaard", "Quistgaard Veldhoven", "Oluwaseun Adebayo", "Adebayo, Oluwaseun", "Hansen Bakery", "Jansen Bakery", "Mann Garage", "Hann Garage", "Tromvik Baldersen Cafe", "Tromvki Baldresen Cafe"]
+    got = {r["merchant"]: r["entity"] for r in link_names(frame(spark, names), spark.createDataFrame(NICK, "given string, nickname string")).collect()}
+    same = lambda a, b: got[a] == got[b]
+    assert [same(a, b) for a, b in zip(names[::2], names[1::2])] == [True, True, False, False, True]
+
+
+def test_roots_of_long_chains(spark):
+    # each spelling is one slip from the next and less used, so the last hangs on the first over many links
+    words, word = [], list("abcdefghijkl")
+    for k in range(12):
+        words.append("".join(word))
+        word[k] = "z"
+    rows = [(w, 100 - n, [w], w, [], "", "") for n, w in enumerate(words)]
+    parsed = spark.createDataFrame(rows, "merchant string, n_rows long, tokens array<string>, core string, trade array<string>, given string, initial string")
+    roots = {r["core"]: r["root"] for r in _roots(parsed).collect()}
+    assert len(roots) == 12 and len(set(roots.values())) <= 2
 
 
 def test_similar_cores_against_all_pairs(spark):
     rng = Random(5)
-    words = sorted({"".join(rng.choice("abkt") for _ in range(rng.randint(5, 8))) for _ in range(150)})
-    rows = [(w, 1 + n % 9, [w], w, [], "", "") for n, w in enumerate(words)]
+    word = lambda n: "".join(rng.choice("abkt") for _ in range(n))
+    lists = sorted({tuple(word(rng.randint(4, 7)) for _ in range(rng.randint(1, 2))) for _ in range(120)})
+    lists += [t[::-1] for t in lists if len(t) == 2 and t[0] != t[1]][:20]
+    rows = [(" ".join(t), 1 + n % 9, list(t), "".join(t), [], "", "") for n, t in enumerate(lists)]
     parsed = spark.createDataFrame(rows, "merchant string, n_rows long, tokens array<string>, core string, trade array<string>, given string, initial string")
-    from fernglass.llm.names import _similar_cores
-
-    want = {p for a, b in combinations(words, 2) if one_edit(a, b) and soft_similarity([a], [b], [1], [1]) >= 0.75 for p in ((a, b), (b, a))}
-    assert {tuple(r) for r in _similar_cores(parsed).collect()} == want
-    assert _roots(parsed).count() == len(words)
+    by = {}
+    for t in lists:
+        by["".join(t)] = min(by.get("".join(t), list(t)), list(t))
+    count = Counter(x for t in lists for x in set(t))
+    n = lambda t: [count[x] for x in t]
+    want = {p for a, b in combinations(sorted(by), 2) if soft_similarity(by[a], by[b], n(by[a]), n(by[b]), len(rows)) >= SOFT for p in ((a, b), (b, a))}
+    got = {tuple(r) for r in _similar_cores(parsed).collect()}
+    short = {("".join([*t[:i], x[:k], *t[i + 1 :]]), c) for c, t in by.items() if len(t) > 1 for i, x in enumerate(t) for k in range(3, len(x))}
+
+    assert got - short <= want and {(a, b) for a, b in want if abs(len(a) - len(b)) <= (2 if max(len(a), len(b)) >= 10 else 1)} <= got
 
 
 @pytest.mark.parametrize("name, want", [("Dr. K. Tigvom", (["tigvom"], [], "", "k", True)), ("Mkt - Abc Def GmbH 12", (["abc", "def"], ["market"], "", "", False)), ("Stat'y Abc", (["abc"], ["stationery"], "", "", False)), ("Bob Abc", (["abc"], [], "robert", "", False)), ("The Ltd", (["the", "ltd"], [], "", "", False))])

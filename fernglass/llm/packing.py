@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 CAPACITY = 2048
-#: Length classes, and documents of a pattern: of the settings tried (128x4, 256x4, 256x3, 512x3, 512x2) the one that wastes least.
-CLASSES, DEPTH = 512, 2
+#: Length classes, and the most documents of a pattern.
+CLASSES, DEPTH = 48, 6
 
 
 def patterns(classes: int, depth: int) -> np.ndarray:
@@ -34,21 +34,24 @@ def patterns(classes: int, depth: int) -> np.ndarray:
     return np.array(found, np.int32).reshape(-1, depth)
 
 
-def fit(shapes: np.ndarray, target: np.ndarray, most_steps: int = 3000) -> np.ndarray:
-    """Repeat counts x >= 0 of the patterns that least-squares fit ``target`` (items by class), by the active-set method."""
+def fit(shapes: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Repeat counts x >= 0 of the patterns that least-squares fit ``target`` (items by class), by the active-set method, until no pattern would better the fit."""
     rows = np.zeros(len(shapes))
     active: list[int] = []
     values = np.zeros(0)
     column = lambda j: np.bincount(shapes[j], minlength=len(target))[: len(target)] * (np.arange(len(target)) > 0)
     matrix = np.zeros((len(target), 0))
     weight = np.arange(len(target)) > 0
-    for _ in range(most_steps):
+    last = np.inf
+    while True:
         miss = (target - (matrix @ values if active else 0)) * weight
         gain = miss[shapes].sum(1) - (shapes == 0).sum(1) * miss[0]
         gain[active] = -np.inf
-        j = int(np.argmax(gain))
-        if gain[j] <= 1e-6 * max(1.0, float(target.max())) or len(active) >= len(target):
+        j = int(np.argmax(gain)) if len(gain) else -1
+        error = float(miss @ miss)
+        if j < 0 or gain[j] <= 1e-6 * max(1.0, float(target.max())) or len(active) >= weight.sum() or error >= last * (1 - 1e-12):
             break
+        last = error if active else np.inf
         active.append(j)
         values = np.append(values, 0.0)
         matrix = np.column_stack([matrix, column(j)])
@@ -70,83 +73,123 @@ def fit(shapes: np.ndarray, target: np.ndarray, most_steps: int = 3000) -> np.nd
     return rows
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, classes: int = CLASSES, depth: int = DEPTH) -> tuple[list[tuple[int, int, int]], int]:
-    """``([(size, first rank, first container)], containers)``: the item of a size with rank r, of the last entry whose first rank
+class _Plan:
+    """Items by size that are still to be placed, and where those placed went."""
+
+    def __init__(self, histogram: dict[int, int], capacity: int) -> None:
+        self.capacity, self.containers = capacity, 0
+        self.left = np.zeros(capacity + 1, np.int64)
+        for size, n in histogram.items():
+            if size > 0:
+                self.left[size] = n
+        self.taken = np.zeros(capacity + 1, np.int64)
+        self.out: list[tuple[int, int, int]] = []
+
+    def place(self, size: int, count: int, first: int) -> None:
+        self.out.append((size, int(self.taken[size]), first))
+        self.taken[size] += count
+        self.left[size] -= count
+
+    def fill(self, bounds: list[tuple[int, int]], repeat: int) -> int:
+        """Fill up to ``repeat`` containers to the last token with a size from each of the ranges ``bounds``, as many at once as the sizes allow; how many were filled.
+
+        The first sizes are the most plentiful of their ranges; the last two are the pair that fills what is left and of which there are most,
+        the very last one of any range if its own has none."""
+        done = 0
+        while done < repeat:
+            need: dict[int, int] = {}
+            space = self.capacity
+            for low, high in bounds[:-2]:
+                free = self.left[low:high] // np.array([need.get(s, 0) + 1 for s in range(low, high)])
+                size = low + int(np.argmax(free))
+                if not free.max() or size > space:
+                    return done
+                need[size] = need.get(size, 0) + 1
+                space -= size
+            spare = self.left.copy()
+            for size, n in need.items():
+                spare[size] -= n
+            pair = None
+            for (low, high), (least, most) in ((bounds[-2:] if len(bounds) > 1 else [bounds[0], (0, 1)]), (bounds[-2] if len(bounds) > 1 else bounds[0], (0, self.capacity + 1))):
+                a = np.arange(low, min(high, space + 1))
+                b = space - a
+                ready = np.where(a == b, spare[a] // 2, np.minimum(spare[a], np.where(b > 0, spare[b], spare[a]))) * ((b >= least) & (b < most))
+                if len(a) and ready.max() > 0:
+                    pair = int(a[np.argmax(ready)])
+                    break
+            if pair is None:
+                return done
+            for size in (pair, space - pair):
+                if size:
+                    need[size] = need.get(size, 0) + 1
+            n = min([repeat - done, *(int(self.left[s]) // k for s, k in need.items())])
+            if n <= 0:
+                return done
+            for size, k in need.items():
+                for _ in range(k):
+                    self.place(size, n, self.containers)
+            self.containers += n
+            done += n
+        return done
+
+    def best_fit(self) -> None:
+        """What is left, the largest size first, each into the least space that holds it; containers that are alike are one group."""
+        free: dict[int, list[list[int]]] = {}
+        for size in np.flatnonzero(self.left)[::-1].tolist():
+            while self.left[size]:
+                space = min((f for f in free if f >= size and free[f]), default=None)
+                if space is None:  # a new container for as many of this size as one can hold
+                    n = int(self.left[size])
+                    hold = min(self.capacity // size, n)
+                    rows = n // hold
+                    for _ in range(hold):
+                        self.place(size, rows, self.containers)
+                    free.setdefault(self.capacity - hold * size, []).append([self.containers, rows])
+                    self.containers += rows
+                else:
+                    first, count = free[space].pop()
+                    n = min(count, int(self.left[size]))
+                    self.place(size, n, first)
+                    if count > n:
+                        free[space].append([first + n, count - n])
+                    if space > size:
+                        free.setdefault(space - size, []).append([first, n])
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, classes: int = CLASSES, depth: int = DEPTH) -> tuple[list[tuple[int, int, int]], int, int]:
+    """``([(size, first rank, first container)], containers, items placed by patterns)``: the item of a size with rank r, of the last entry whose first rank
     is r or less, goes to container ``first container + r - first rank``; a first container of -1 means the zeroth container for all.
 
-    Sizes are rounded up to classes, patterns of up to ``depth`` classes that fill a container are fitted by non-negative least
-    squares, and repeat counts are rounded down. What that leaves is packed by best fit, the largest size first, into the
-    space that is left in pattern containers and into new ones. Containers that are alike are treated as one group."""
+    Sizes are rounded to the nearest class. Patterns of up to ``depth`` classes that fill a container are fitted by non-negative least squares to the histogram of
+    classes; counts are rounded down, and each pattern is made of sizes of its classes that fill the container to the last token. That is
+    done anew with what is left while it places items. The rest is packed by best fit."""
+    p = _Plan(histogram, capacity)
     unit = capacity / classes
-    sizes = sorted((s for s in histogram if s > 0), reverse=True)
-    left = {s: histogram[s] for s in sizes}
-    taken = {s: 0 for s in sizes}
-    out: list[tuple[int, int, int]] = []
-    containers = 0
-    by_class: dict[int, list[int]] = {}
-    for s in sizes:
-        by_class.setdefault(math.ceil(s / unit), []).append(s)
-    target = np.zeros(classes + 1)
-    for c, members in by_class.items():
-        target[c] = sum(left[s] for s in members)
-    groups: list[list[int]] = []  # [free space, first container, containers]
-
-    def place(size: int, count: int, first: int) -> None:
-        out.append((size, taken[size], first))
-        taken[size] += count
-        left[size] -= count
-
+    edge = [min(capacity + 1, max(1, math.ceil((c - 0.5) * unit))) for c in range(classes + 2)]
+    class_of = np.zeros(capacity + 1, np.int64)
+    for c in range(1, classes + 1):
+        class_of[edge[c] : edge[c + 1] if c < classes else capacity + 1] = c
+    bounds = [(edge[c], edge[c + 1] if c < classes else capacity + 1) for c in range(classes + 1)]
     shapes = patterns(classes, depth)
-    present = target > 0
-    present[0] = True
-    shapes = shapes[present[shapes].all(1)]
-    if len(shapes):
-        counts = np.floor(fit(shapes, target) + 1e-6).astype(int)
-        for j in np.flatnonzero(counts):
-            # a fit may ask for a little more of a class than there is
-            need = {c: int((shapes[j] == c).sum()) for c in set(shapes[j].tolist()) if c}
-            repeat = min([int(counts[j]), *(int(sum(left[s] for s in by_class[c])) // n for c, n in need.items())])
-            if repeat <= 0:
-                continue
-            runs = [[capacity, containers, repeat]]
-            containers += repeat
-            for c in (c for c in shapes[j].tolist() if c):
-                after = []
-                for free, first, count in runs:
-                    while count:
-                        size = next(s for s in by_class[c] if left[s])
-                        n = min(count, left[size])
-                        place(size, n, first)
-                        after.append([free - size, first, n])
-                        first, count = first + n, count - n
-                runs = after
-            groups += [g for g in runs if g[0] > 0]
-    free: dict[int, list[list[int]]] = {}
-    for space, first, count in groups:
-        free.setdefault(space, []).append([first, count])
-    for size in sizes:
-        while left[size]:
-            space = min((f for f in free if f >= size and free[f]), default=None)
-            if space is None:  # a new container for as many of this size as one can hold
-                n = left[size]
-                fill = min(capacity // size, n)
-                rows = n // fill
-                for _ in range(fill):
-                    place(size, rows, containers)
-                free.setdefault(capacity - fill * size, []).append([containers, rows])
-                containers += rows
-            else:
-                first, count = free[space].pop()
-                n = min(count, left[size])
-                place(size, n, first)
-                if count > n:
-                    free[space].append([first + n, count - n])
-                if space > size:
-                    free.setdefault(space - size, []).append([first, n])
+    total = int(p.left.sum())
+    while p.left.any():
+        target = np.bincount(class_of, p.left, classes + 1)
+        present = target > 0
+        present[0] = True
+        able = shapes[present[shapes].all(1)]
+        counts = np.floor(fit(able, np.where(np.arange(classes + 1) > 0, target, 0)) + 1e-6).astype(np.int64) if len(able) else np.zeros(0, np.int64)
+        made = 0
+        # patterns of few, large classes first: small sizes are what can make up for them
+        for j in sorted(np.flatnonzero(counts).tolist(), key=lambda j: int((able[j] > 0).sum())):
+            made += p.fill([bounds[c] for c in able[j].tolist() if c], int(counts[j]))
+        if not made:
+            break
+    by_patterns = total - int(p.left.sum())
+    p.best_fit()
     if histogram.get(0):
-        out.append((0, 0, -1))
-        containers = max(containers, 1)
-    return out, containers
+        p.out.append((0, 0, -1))
+        p.containers = max(p.containers, 1)
+    return p.out, p.containers, by_patterns
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, classes: int = CLASSES, depth: int = DEPTH) -> DataFrame:
@@ -170,7 +213,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, classes: int = CLASSES, dep
     before = Window.partitionBy("n_tokens").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("n_tokens", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     histogram = {int(r[0]): int(r[1]) for r in counts.groupBy("n_tokens").agg(F.sum("_n")).collect()}  # at most capacity + 1 rows
-    entries, _ = plan(histogram, capacity, classes, depth)
+    entries, _, _ = plan(histogram, capacity, classes, depth)
     table = spark.createDataFrame(entries or [(-1, 0, 0)], "n_tokens long, first long, container long")
     table = table.groupBy("n_tokens").agg(F.array_sort(F.collect_list(F.struct("first", "container"))).alias("_plan"))
     ranked = rows.withColumn("_in", F.row_number().over(Window.partitionBy("n_tokens", "_bucket").orderBy("doc_id", "piece")) - 1)

@@ -4,11 +4,12 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from fernglass.llm.packing import fit, pack, patterns, plan
+from fernglass.llm.packing import _Plan, fit, pack, patterns, plan
 
 
 def check(histogram, capacity, **how):
-    entries, n = plan(histogram, capacity, **how)
+    entries, n, by_patterns = plan(histogram, capacity, **how)
+    assert by_patterns <= sum(c for s, c in histogram.items() if s)
     by = defaultdict(list)
     for size, first, container in entries:
         by[size].append((first, container))
@@ -48,7 +49,20 @@ def test_little_space_is_wasted():
     rng = np.random.default_rng(0)
     sizes = np.clip(rng.lognormal(5.5, 1, 20_000).astype(int), 1, 2048)
     histogram = dict(zip(*(a.tolist() for a in np.unique(sizes, return_counts=True))))
-    assert check(histogram, 2048) <= 1.005 * sizes.sum() / 2048
+    n = check(histogram, 2048)
+    alone = _Plan(histogram, 2048)
+    alone.best_fit()
+    # patterns place nine in ten items, and no more containers are used than best fit alone takes
+    assert n <= alone.containers and n <= 1.0005 * sizes.sum() / 2048 + 1
+    assert plan(histogram)[2] >= 0.9 * len(sizes)
+
+
+def test_counts_of_millions_are_planned_in_groups():
+    rng = np.random.default_rng(1)
+    histogram = {int(s): int(c) for s, c in zip(range(1, 2049), rng.integers(0, 5_000_000, 2048))}
+    entries, n, by_patterns = plan(histogram)
+    total = sum(s * c for s, c in histogram.items())
+    assert len(entries) < 60_000 and n <= 1.02 * total / 2048 and by_patterns > 0
 
 
 def test_items_are_whole_unless_too_large(spark):

@@ -42,25 +42,37 @@ _STREET_START = frozenset("rue avenue boulevard bd place chemin impasse allée a
 _STREET_TAIL = tuple("straße strasse weg allee platz gasse hof ring damm ufer wiek wijk straat laan gracht kade plein dijk singel steeg pad".split())
 _AT_DOT = frozenset("at dot arroba ät punkt punto point punt".split())
 
-_TOKEN = re.compile(
-    r"(?P<word>[^\W\d_]+(?:['’\-][^\W\d_]+)*(?![\w@+]|[.\-'][\w.\-]*@|-\d))"
-    r"|(?P<mail>[\w.+'\-]*\w@\w[\w\-]*(?:-\n\w+)?(?:\.\n?\w[\w\-]*)+)"
-    r"|(?P<code>(?=[A-Za-z]{1,5}-?\d|\d+-?[A-Za-z]\b)(?<![\w])[A-Za-z]{0,5}-?\d[\dA-Za-z]*(?:-[\dA-Za-z]+)*\b)"
-    r"|(?P<number>(?:\+ ?|\()?\d+(?:(?:[ .\-/\n]|\) ?|\)-| ?\(|-\()\d+)*)"
-    r"|(?P<plain>[^\W\d_]+(?:['’\-][^\W\d_]+)*)|(?P<line>\n[\s]*)|(?P<sign>[^\w\s]|_)"
-)
-#: The same without mail addresses, which only texts with their sign have: the look ahead of every word for it is dear.
-_TOKEN_BARE = re.compile(
-    r"(?P<word>[^\W\d_]+(?:['’\-][^\W\d_]+)*(?![\w]|-\d))"
-    r"|(?P<mail>(?!))"
-    r"|(?P<code>(?=[A-Za-z]{1,5}-?\d|\d+-?[A-Za-z]\b)(?<![\w])[A-Za-z]{0,5}-?\d[\dA-Za-z]*(?:-[\dA-Za-z]+)*\b)"
-    r"|(?P<number>(?:\+ ?|\()?\d+(?:(?:[ .\-/\n]|\) ?|\)-| ?\(|-\()\d+)*)"
-    r"|(?P<plain>[^\W\d_]+(?:['’\-][^\W\d_]+)*)|(?P<line>\n[\s]*)|(?P<sign>[^\w\s]|_)"
-)
-
-
-def tokens_of(text: str) -> list[re.Match]:
-    return list((_TOKEN if "@" in text else _TOKEN_BARE).finditer(text))
+_PARTS = (
+    r"[^\W\d_]+(?:['’\-][^\W\d_]+)*(?!{after}|-\d)",  # a word
+    r"(?=[A-Za-z]{{1,5}}-?\d|\d+-?[A-Za-z]\b)(?<![\w])[A-Za-z]{{0,5}}-?\d[\dA-Za-z]*(?:-[\dA-Za-z]+)*\b",  # letters with digits
+    r"(?:\+ ?|\()?\d+(?:(?:[ .\-/\n]|\) ?|\)-| ?\(|-\()\d+)*",  # groups of digits
+    r"[^\W\d_]+(?:['’\-][^\W\d_]+)*",
+    r"\n\s*",
+    r"[^\w\s]|_",
+)
+_MAIL = r"[\w.+'\-]*\w@\w[\w\-]*(?:-\n\w+)?(?:\.\n?\w[\w\-]*)+"
+#: A token with the white space before it, so that tokens end to end are the text. The look ahead for mail addresses is dear, so only texts with their sign have it.
+_TOKEN = re.compile(r"[^\S\n]*(?:" + "|".join([_PARTS[0].format(after=r"[\w@+]|[.\-'][\w.\-]*@"), _MAIL, *(p.format() for p in _PARTS[1:])]) + ")")
+_TOKEN_BARE = re.compile(r"[^\S\n]*(?:" + "|".join(p.format(after=r"\w") for p in _PARTS) + ")")
+
+
+def tokens_of(text: str) -> list[str]:
+    """The tokens of a text, each with the white space before it."""
+    return (_TOKEN if "@" in text else _TOKEN_BARE).findall(text)
+
+
+_BEFORE = re.compile(r"^[^\S\n]+")
+
+
+def kind_of(token: str) -> str:
+    """What kind of token one without white space before it is: line, mail, word, number, code or sign."""
+    if token[0] == "\n":
+        return "line"
+    if "@" in token and len(token) > 1:
+        return "mail"
+    if any(map(str.isalpha, token)):
+        return "code" if any(map(str.isdecimal, token)) else "word"
+    return "number" if any(map(str.isdecimal, token)) else "word" if token[0].isalnum() else "sign"
 
 
 _CASES = ("lower", "capital", "upper", "mixed")
@@ -151,12 +163,12 @@ class Reader:
 
     def __init__(self, frequent: frozenset[str], vocabulary: dict[str, int]) -> None:
         self.frequent, self.vocabulary = frequent, vocabulary
-        self.kept: dict[str, int] = {}
+        self.kept: dict[str, int] = {}  # twice the type, and one more for white space before it
         self.types: dict[tuple[int, int, int], int] = {(0, 0, 0): 0}
 
     def look(self, token: str, kind: str, everyday: bool = False, hidden: bool = False) -> int:
         word = affix = 0
-        if kind in ("word", "plain"):
+        if kind == "word":
             low = token.lower()
             name = word_class(token, everyday or low in self.frequent, hidden)
             affix = crc32(low[-3:].encode()) % (_AFFIXES - 1) + 1 if name.startswith("unknown") else 0
@@ -173,47 +185,55 @@ class Reader:
     def read(self, texts: list[str], rare: list, hide: list[int] | None = None) -> Tokens:
         """``rare`` has a text's everyday words that are not among the frequent ones; ``hide`` has the half (0 or 1) of the given names hidden from a text."""
         types: list[int] = []
-        start: list[int] = []
-        end: list[int] = []
+        sizes: list[int] = []
         lengths = []
         kept = self.kept
         if len(kept) > 400_000:
             kept.clear()
         blank = [0] * FAR
         for number, text in enumerate(texts):
-            found = tokens_of(text)
-            words = [m.group() for m in found]
+            words = tokens_of(text)
             own = list(map(kept.get, words))
             if None in own:
                 for k, value in enumerate(own):
                     if value is None:
-                        own[k] = self.look(words[k], found[k].lastgroup)
+                        bare = _BEFORE.sub("", words[k])
+                        own[k] = 2 * self.look(bare, kind_of(bare)) + (bare != words[k])
                         if len(words[k]) <= 64:
                             kept[words[k]] = own[k]
-            if rare[number]:
-                known = frozenset(rare[number])
-                own = [self.look(w, "word", True) if w.lower() in known else t for w, t in zip(words, own)]
-            if hide is not None:
-                own = [self.look(w, "word", False, True) if w.lower() in _GIVENS and crc32(w.lower().encode()) % 2 == hide[number] else t for w, t in zip(words, own)]
+            if rare[number] or hide is not None:
+                known = frozenset(rare[number] or ())
+                for k, word in enumerate(words):
+                    low = word.strip().lower()
+                    if low in known or (hide is not None and low in _GIVENS and crc32(low.encode()) % 2 == hide[number]):
+                        own[k] = 2 * self.look(word.strip(), "word", low in known, low in _GIVENS) + own[k] % 2
             types += blank
             types += own
             types += blank
-            for places, at in ((start, 0), (end, 1)):
-                places += blank
-                places += [m.span()[at] for m in found]
-                places += blank
+            sizes += blank
+            sizes += map(len, words)
+            sizes += blank
             lengths.append(len(own) + 2 * FAR)
-        kind = np.array(types, np.int32)
-        start_, end_ = np.array(start, np.int64), np.array(end, np.int64)
+        coded = np.array(types, np.int32)
+        kind, apart = coded >> 1, coded & 1
         kinds = np.array(list(self.types), np.int32).reshape(-1, 3)
         cls = kinds[kind, 0]
         real = cls > 0
         touch = np.zeros(len(cls), np.int32)
         if len(cls) > 1:
-            touching = (start_[1:] == end_[:-1]) & real[1:] & real[:-1]
+            touching = (apart[1:] == 0) & real[1:] & real[:-1]
             touch[1:] += touching
             touch[:-1] += 2 * touching
-        return Tokens(kind, cls, touch, start_, end_, np.repeat(np.arange(len(texts)), lengths), kinds)
+        total = np.r_[0, np.cumsum(np.array(sizes, np.int64))]
+        owner = np.repeat(np.arange(len(texts)), lengths)
+        first = total[np.r_[0, np.cumsum(lengths)[:-1]].astype(np.int64)] if len(texts) else np.zeros(0, np.int64)
+        return Tokens(kind, cls, touch, total[:-1] - first[owner], total[1:] - first[owner], owner, kinds)
+
+    @staticmethod
+    def piece(t: Tokens, texts: list[str], k: int) -> tuple[int, int]:
+        """Where the token at place k stands in its text, without the white space before it."""
+        text, start, end = texts[t.text[k]], int(t.start[k]), int(t.end[k])
+        return end - len(_BEFORE.sub("", text[start:end])), end
 
 
 #: Tables that a token type looks up by itself, by the place of the token it is seen from.
@@ -328,8 +348,8 @@ class SkipChainField:
     def islands(self, unary: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         """Potentials with what certain neighbours add, and the chains of tokens whose label is open.
 
-        A token whose label can only be none, whatever its neighbours' labels, parts the chain; that is exact."""
-        swing = 2 * float(self.chain.max() - self.chain.min()) + 2 * float(np.abs(self.skip).max()) + 1e-3
+        A token whose label can only be none, whatever its neighbours' labels, parts the chain; that is exact where no skip edge is."""
+        swing = 2 * float(self.chain.max() - self.chain.min()) + 1e-3
         open_ = real & (unary[:, 0] - unary[:, 1:].max(1) <= swing)
         starts, lengths = runs_of(open_)
         local = unary.copy()
@@ -502,7 +522,7 @@ def edges_of(t: Tokens, texts: list[str], among: np.ndarray | None = None) -> np
     for part in np.split(places, np.flatnonzero(np.diff(t.text[places])) + 1) if len(places) else ():
         if len(part) > 1:
             text = texts[t.text[part[0]]]
-            found += skip_edges([(int(k), text[t.start[k] : t.end[k]]) for k in part])
+            found += skip_edges([(int(k), text[t.start[k] : t.end[k]].strip()) for k in part])
     return np.array(found, np.int64).reshape(-1, 2)
 
 
@@ -515,13 +535,15 @@ def silver_labels(t: Tokens, texts: list[str], found: list[list[tuple[int, int,
             continue
         a, z = edges[number], edges[number + 1]
         real = np.arange(a, z)[t.cls[a:z] > 0]
+        starts = np.array([Reader.piece(t, texts, k)[0] if t.cls[k] else 0 for k in range(a, z)])
         for kind in ("name", "address", "phone", "id_number", "email"):
             for s, e, k in own:
                 if k == kind:
-                    out[real[(t.start[real] < e) & (t.end[real] > s)]] = LABELS.index(kind)
-        family = {texts[number][t.start[k] : t.end[k]].lower() for k in real if out[k] == 1 and t.cls[k] in _NAMELIKE}
+                    out[real[(starts[real - a] < e) & (t.end[real] > s)]] = LABELS.index(kind)
+        said = lambda k: texts[number][t.start[k] : t.end[k]].strip().lower()
+        family = {said(k) for k in real if out[k] == 1 and t.cls[k] in _NAMELIKE}
         for k in real:
-            if family and out[k] == 0 and t.cls[k] in _NAMELIKE and texts[number][t.start[k] : t.end[k]].lower() in family:
+            if family and out[k] == 0 and t.cls[k] in _NAMELIKE and said(k) in family:
                 out[k] = 1
     return out
 
@@ -544,17 +566,22 @@ def plausible(piece: str, kind: str) -> bool:
 def entities(texts: list[str], rare: list, reader: Reader, field: SkipChainField) -> list[list[tuple[int, int, str]]]:
     """``(start, end, kind)`` of personal information in each text: runs of one label. A name alone counts where the text has it in full."""
     t = reader.read(texts, rare)
-    unary, steps = field.islands(field.unary(t), t.cls > 0)
+    unary, real = field.unary(t), t.cls > 0
+    local, steps = field.islands(unary, real)
     some = np.concatenate(steps) if steps else np.zeros(0, np.int64)
     labels = np.zeros(len(t.cls), np.int64)
-    labels[some] = field.beliefs(unary, steps)[some].argmax(1)
-    # skip potentials draw labels together, so a text without any label but none has no use for messages
-    hot = np.unique(t.text[labels > 0])
+    labels[some] = field.beliefs(local, steps)[some].argmax(1)
+    # skip potentials only draw towards kinds, so only texts of which an edge has an end with one have a use for messages
+    hot = np.unique(t.text[(labels > 0) & np.isin(t.cls, list(_NAMELIKE))])
     edges = edges_of(t, texts, hot) if len(hot) else np.zeros((0, 2), np.int64)
     if len(edges):
-        edges = edges[np.isin(edges, some).all(1)]  # what is closed is none and draws no label but that
-        touched = np.isin(t.text, t.text[edges[:, 0]])
-        labels[some] = np.where(touched[some], field.label(unary, edges, [kept for step in steps if len(kept := step[touched[step]])])[some], labels[some])
+        ready = np.unique(t.text[edges[(labels[edges] > 0).any(1), 0]])
+        touched = np.flatnonzero(real & np.isin(t.text, ready))
+        edges = np.searchsorted(touched, edges[np.isin(t.text[edges[:, 0]], ready)])
+        if len(edges):
+            apart = np.r_[True, np.diff(t.text[touched]) > 0]
+            starts = np.flatnonzero(apart)
+            labels[touched] = field.label(unary[touched], edges, packed(starts, np.diff(np.r_[starts, len(touched)])))
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
     places = np.flatnonzero(labels)
     cuts = np.flatnonzero((np.diff(places) > 1) | (np.diff(labels[places]) != 0)) + 1 if len(places) else []
@@ -565,8 +592,7 @@ def entities(texts: list[str], rare: list, reader: Reader, field: SkipChainField
         while len(run) and t.cls[run[0]] in ends:
             run = run[1:]
         if len(run):
-            number = int(t.text[run[0]])
-            out[number].append((int(t.start[run[0]]), int(t.end[run[-1]]), LABELS[labels[run[0]]]))
+            out[int(t.text[run[0]])].append((Reader.piece(t, texts, run[0])[0], int(t.end[run[-1]]), LABELS[labels[run[0]]]))
     for number, own in enumerate(out):
         text = texts[number]
         whole = {w.lower() for a, z, k in own if k == "name" and plausible(text[a:z], k) for w in _LETTERS.findall(text[a:z])}
@@ -614,7 +640,7 @@ def with_rare_words(texts: DataFrame, frequent: frozenset[str], rare: DataFrame
         for batch in batches:
             keys, words = [], []
             for key, text in zip(batch.column("_key").to_pylist(), batch.column("text").to_pylist()):
-                low = {w.lower() for form in (_LETTERS, _TOKEN) for w in (m.group() for m in form.finditer(text)) if w[:1].isalpha()}
+                low = {w.strip().lower() for w in (*_LETTERS.findall(text), *tokens_of(text)) if w.strip()[:1].isalpha()}
                 asked = [w for w in low if w not in shared.value and w not in COMMON_WORDS]
                 keys += [key] * len(asked)
                 words += asked
@@ -662,7 +688,7 @@ def fit_sample(texts: list[str], rare: list, found: list[list[tuple[int, int, st
     """The vocabulary and the field of labelled texts. Words of a fifth of a thousandth of the texts, three at least, have weights of their own."""
     seen: Counter = Counter()
     for text in texts:
-        seen.update({m.group().lower() for m in tokens_of(text) if m.lastgroup in ("word", "plain")})
+        seen.update({w for token in tokens_of(text) if (w := token.strip().lower()) and kind_of(w) == "word"})
     least = max(3, len(texts) // 5000)
     words = sorted(w for w, n in seen.items() if n >= least and w not in _GIVENS)
     vocabulary = {w: k + 1 for k, w in enumerate(words)}

@@ -1,8 +1,9 @@
 """Text quality statistics of documents, and whether a document is prose, a list, a table or junk.
 
-Huge texts are cut into parts. Each part states counts that add up (its words, characters, symbols, lines by form) and the state at
-its borders: the unfinished line before its first and after its last line break, which only the merge can count. The counts of a
-document are sums; the border lines are joined in order and counted once. Ratios and the form follow from the sums by rules."""
+Huge texts are cut into parts at line ends, and at white space within lines that are longer than a part. Parts of one text are rows of
+their own, spread over tasks. Each states counts that add up (its words, characters, symbols, lines by form) and, where a line goes on
+over its borders, the state of that line as counts, which the merge adds up in order before it judges the line. Ratios and the form
+follow from the sums by rules."""
 
 from __future__ import annotations
 
@@ -16,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of a text that are counted at once.
+#: Characters of a text that are counted at once; only a line longer than that is judged by the sums of its parts.
 PART = 65_536
 
 #: Frequent function words of English, German, French, Spanish and Dutch.
@@ -67,111 +68,192 @@ def unreadable(word: str) -> bool:
     return len(word) >= 3 and (not _VOWELS.search(word) or bool(_CLUSTER.search(word)))
 
 
-def line_form(line: str, tokens: list[str], common: int) -> str:
-    """The form of one line that is not blank; ``tokens`` are what white space parts in it, ``common`` how many are common words."""
-    if common >= 2 and common >= 0.15 * len(tokens) and "|" not in line and "\t" not in line and "  " not in line.strip() and not _ITEM.match(line):
+#: What the form of a line depends on, each from the line (with ``words_`` and the like, which are not handed on), worked out when it is first asked for.
+_STATE = {
+    "visible": lambda s: sum(map(len, s.tokens_)),
+    "words": lambda s: len(s.words_),
+    "alphabetic": lambda s: len(s.alphabetic_),
+    "odd": lambda s: len(_ODD.findall(s.line_)) + len(_MIXED.findall(s.line_)),
+    "symbols": lambda s: len(_SYMBOL.findall(s.line_)),
+    "unreadable": lambda s: sum(map(unreadable, s.alphabetic_)),
+    "navigation": lambda s: sum(w.lower() in NAVIGATION for w in s.words_),
+    "gaps": lambda s: len(_GAPS.findall(s.bare_)),
+    "bars": lambda s: s.line_.count("|"),
+    "marks": lambda s: len(_DELIMITED.findall(s.line_)),
+    "spaced_marks": lambda s: s.line_.count(", ") + s.line_.count("; "),
+    "filled": lambda s: bool(_FILL.search(s.line_)),
+    "rest": lambda s: len(_WORD.sub("", s.line_).replace(" ", "")),
+    "hexes": lambda s: bool(_HEX.search(s.line_)),
+    "long": lambda s: len(s.long_.group()) if s.long_ else 0,
+    "long_upper": lambda s: bool(s.long_) and not s.long_.group().islower(),
+    "longest": lambda s: max(map(len, s.words_), default=0),
+    "prose_sign": lambda s: "|" not in s.line_ and "\t" not in s.line_ and "  " not in s.bare_,
+    "rule": lambda s: "|" in s.line_ or "+-" in s.line_,
+    "first_bar": lambda s: s.bare_[:1] == "|",
+    "item": lambda s: s.starts_ and bool(_ITEM.match(s.line_)),
+    "ends": lambda s: s.line_.rstrip(_CLOSING)[-1:] in _ENDS,
+    "bare_": lambda s: s.line_.strip(),
+    "words_": lambda s: _WORD.findall(s.line_),
+    "alphabetic_": lambda s: [w for w in s.words_ if w[0].isalpha()],
+    "long_": lambda s: _LONG.search(s.line_),
+}
+#: What is handed on of a line's part, and how parts are joined if not by their sum.
+_HANDED = ("tokens", "common", *(n for n in _STATE if not n.endswith("_")))
+_JOINED = dict.fromkeys(("filled", "hexes", "long", "long_upper", "longest", "rule"), max) | {"prose_sign": min, "item": lambda v: v[0], "first_bar": lambda v: v[0], "ends": lambda v: v[-1]}
+
+
+class LineState:
+    """What the form of a line depends on. The states of a line's parts add up: counts by sums, findings by or, lengths by the greater."""
+
+    def __init__(self, line: str, tokens: list[str], common: int, starts: bool = True) -> None:
+        self.line_, self.tokens_, self.tokens, self.common, self.starts_ = line, tokens, len(tokens), common, starts
+
+    def __getattr__(self, name: str):
+        value = self.__dict__[name] = _STATE[name](self)
+        return value
+
+    def values(self) -> list[int]:
+        return [int(getattr(self, n)) for n in _HANDED]
+
+    @classmethod
+    def joined(cls, parts: list[list[int]]) -> LineState:
+        """The state of a line from the values of its parts in order."""
+        out = cls("", [], 0)
+        out.__dict__ |= {name: _JOINED.get(name, sum)(values) for name, values in zip(_HANDED, zip(*parts))}
+        return out
+
+
+def form_of(s: LineState) -> str:
+    """The form of a line that is not blank."""
+    n = s.words
+    if s.common >= 2 and s.common >= 0.15 * s.tokens and s.prose_sign and not s.item:
         return "prose"
-    words = _WORD.findall(line)
-    n = len(words)
-    visible = sum(map(len, tokens))
-    alphabetic = [w for w in words if w[0].isalpha()]
-    odd = len(_ODD.findall(line)) + len(_MIXED.findall(line))
-    symbols = len(_SYMBOL.findall(line))
-    if _FILL.search(line) and len(_WORD.sub("", line).replace(" ", "")) > 0.8 * visible:
-        if "|" in line or "+-" in line or visible < 8:  # a rule under a table's head
+    if s.filled and s.rest > 0.8 * s.visible:
+        if s.rule or s.visible < 8:  # a rule under a table's head
             return "table"
         return "junk"
-    if _HEX.search(line) or odd > 0.2 * visible or (n and (m := _LONG.search(line)) and len(m.group()) > 0.6 * visible and not m.group().islower()):
+    if s.hexes or s.odd > 0.2 * s.visible or (n and s.long > 0.6 * s.visible and s.long_upper):
         return "junk"
-    if n >= 4 and sum(w.lower() in NAVIGATION for w in words) > 0.7 * n:
+    if n >= 4 and s.navigation > 0.7 * n:
         return "junk"
-    if symbols > 0.3 * visible and len(tokens) >= 5 and max(map(len, words), default=0) <= 3 and "|" not in line.strip()[:1]:
+    if s.symbols > 0.3 * s.visible and s.tokens >= 5 and s.longest <= 3 and not s.first_bar:
         return "junk"
-    if not alphabetic:
+    if not s.alphabetic:
         return "number" if n else "junk"
-    cells = max(len(_GAPS.findall(line.strip())), line.count("|"))
-    if cells >= 2 or (cells == 1 and n <= 6 and common <= 1):
+    cells = max(s.gaps, s.bars)
+    if cells >= 2 or (cells == 1 and n <= 6 and s.common <= 1):
         return "table"
-    marks = len(_DELIMITED.findall(line))
-    if marks >= 2 and marks >= 0.25 * n and common <= 0.2 * n and line.count(", ") + line.count("; ") < marks:
+    if s.marks >= 2 and s.marks >= 0.25 * n and s.common <= 0.2 * n and s.spaced_marks < s.marks:
         return "table"
-    if _ITEM.match(line) and (n <= 12 or line.rstrip(_CLOSING)[-1:] not in _ENDS) and common <= max(1, 0.3 * n):
+    if s.item and (n <= 12 or not s.ends) and s.common <= max(1, 0.3 * n):
         return "list"
-    if common >= max(1, 0.12 * n):
+    if s.common >= max(1, 0.12 * n):
         return "prose"
-    if n >= 3 and sum(map(unreadable, alphabetic)) >= 0.3 * len(alphabetic):
+    if n >= 3 and s.unreadable >= 0.3 * s.alphabetic:
         return "junk"
-    return "list" if n <= 8 and line.rstrip(_CLOSING)[-1:] not in _ENDS else "prose"
+    return "list" if n <= 8 and not s.ends else "prose"
+
+
+def line_form(line: str, tokens: list[str], common: int) -> str:
+    """The form of one line that is not blank; ``tokens`` are what white space parts in it, ``common`` how many are common words."""
+    if common >= 2 and common >= 0.15 * len(tokens) and "|" not in line and "\t" not in line and "  " not in line.strip() and not _ITEM.match(line):
+        return "prose"  # the most frequent case, without the rest of the state
+    return form_of(LineState(line, tokens, common))
 
 
-def part_counts(text: str, tally: Counter) -> None:
-    """Add the counts of a text of whole lines to ``tally``."""
+def _count_line(line: str, tokens: list[str]) -> tuple[int, int, int, int]:
+    """Words, symbols, common words and visible characters of a line."""
+    visible = sum(map(len, tokens))
+    plain, marked = [], []
+    for token in tokens:
+        (plain if token.isalnum() else marked).append(token)
+    usual = sum(map(COMMON_WORDS.__contains__, map(str.lower, plain)))
+    words, symbols = len(plain), 0
+    if marked:
+        bare = [t for m in marked if (t := m.strip(_MARKS))]
+        usual += sum(map(COMMON_WORDS.__contains__, map(str.lower, bare)))
+        words += len(bare)
+        symbols = len(_SYMBOL.findall(" ".join(marked)))
+    return words, symbols, usual, visible
+
+
+def part_counts(text: str, tally: Counter, goes_on: bool = False, open_: bool = False) -> list[list[int]]:
+    """Add the counts of a part of a text to ``tally``. Where its first line goes on from the part before, or its last one into the next,
+    that line's form is left to the merge: ``[[first, last], state...]`` of such lines are returned, one or two."""
     words = symbols = common = seen = lines = ended = 0
-    for line in text.split("\n"):
+    states: list[list[int]] = []
+    every = text.split("\n")
+    for number, line in enumerate(every):
         tokens = line.split()
-        if not tokens:
+        first, last = goes_on and number == 0, open_ and number == len(every) - 1
+        if not tokens and not first and not last:
+            continue
+        more = _count_line(line, tokens)
+        words, symbols, common, seen = words + more[0], symbols + more[1], common + more[2], seen + more[3]
+        if first or last:
+            states.append([int(first), int(last), *LineState(line, tokens, more[2], starts=not first).values()])
             continue
-        visible = sum(map(len, tokens))
-        plain, marked = [], []
-        for token in tokens:
-            (plain if token.isalnum() else marked).append(token)
-        usual = sum(map(COMMON_WORDS.__contains__, map(str.lower, plain)))
-        if marked:
-            signs = len(_SYMBOL.findall(" ".join(marked)))
-            bare = [t for m in marked if (t := m.strip(_MARKS))]
-            usual += sum(map(COMMON_WORDS.__contains__, map(str.lower, bare)))
-            words += len(bare)
-            symbols += signs
-        form = line_form(line, tokens, usual)
-        words += len(plain)
-        common += usual
-        seen += visible
+        form = line_form(line, tokens, more[2])
         lines += 1
         ended += line.rstrip(_CLOSING)[-1:] in _ENDS
-        tally["c_" + form] += visible
+        tally["c_" + form] += more[3]
         tally["l_" + form] += 1
     for name, value in zip(_COUNTS, (words, seen - symbols, symbols, seen, lines, ended, common)):
         tally[name] += value
+    return states
 
 
-def _count(part: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "_key", "_part", "_parts", "_head", "_tail", *_COUNTS]
-        for batch in batches:
-            columns: list[list] = [[] for _ in names]
-            for doc, key, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "_key", "_text"))):
-                parts = max(1, -(-len(text) // part))
-                for p in range(parts):
-                    own, tally = text if parts == 1 else text[p * part : (p + 1) * part], Counter()
-                    head = tail = None
-                    if parts > 1:  # the lines at the borders are whole only after the merge; a part without a line break is all head
-                        head, broken, rest = own.partition("\n")
-                        own, _, last = rest.rpartition("\n")
-                        tail = last if broken else None
-                    part_counts(own, tally)
-                    for column, value in zip(columns, (doc, key, p, parts, head, tail, *(tally[c] for c in _COUNTS))):
-                        column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), *[pa.int64()] * len(_COUNTS)]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], names)
-
-    return run
-
-
-def _add_borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents with the counts of their border lines added; most have none."""
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["doc_id", "_key", "_part", "_states", *_COUNTS]
     for batch in batches:
-        own = {c: batch.column(c).to_pylist() for c in _COUNTS} if batch.column("_borders").null_count < len(batch) else None
+        columns: list[list] = [[] for _ in names]
+        for doc, key, part, text, goes_on, open_ in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "_key", "_part", "_text", "_goes_on", "_open"))):
+            tally: Counter = Counter()
+            states = part_counts(text, tally, goes_on, open_)
+            for column, value in zip(columns, (doc, key, part, states or None, *(tally[c] for c in _COUNTS))):
+                column.append(value)
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.list_(pa.int64())), *[pa.int64()] * len(_COUNTS)]
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], names)
+
+
+def _add_open_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with the lines that went over borders judged by their added states and counted; most have none."""
+    for batch in batches:
+        own = {c: batch.column(c).to_pylist() for c in _COUNTS} if batch.column("_lines").null_count < len(batch) else None
         if own:
-            for k, text in enumerate(batch.column("_borders").to_pylist()):
-                if text:
-                    tally: Counter = Counter()
-                    part_counts(text, tally)
-                    for c, n in tally.items():
-                        own[c][k] += n
+            for k, parts in enumerate(batch.column("_lines").to_pylist()):
+                line: list[list[int]] = []
+                for _, states in sorted((p["_part"], p["_states"]) for p in parts or ()):
+                    for state in states:
+                        line.append(state[2:])
+                        if not state[1]:  # the line ends here
+                            _count_open(line, own, k)
+                            line = []
+                if line:
+                    _count_open(line, own, k)
         counts = [pa.array(own[c], pa.int64()) if own else batch.column(c) for c in _COUNTS]
         yield pa.record_batch([batch.column("doc_id"), batch.column("_key"), *counts], ["doc_id", "_key", *_COUNTS])
 
 
+def _count_open(parts: list[list[int]], own: dict[str, list[int]], k: int) -> None:
+    state = LineState.joined(parts)
+    if state.visible:
+        form = form_of(state)
+        for name, n in (("lines", 1), ("ended_lines", int(state.ends)), ("c_" + form, state.visible), ("l_" + form, 1)):
+            own[name][k] += n
+
+
+def _in_parts(rows: DataFrame, part: int) -> DataFrame:
+    """``doc_id, _key, _part, _text, _goes_on, _open`` of texts over ``part`` characters: cut at the last line end within ``part``, else at the last white
+    space, else there. The cut is made where the text is read, and the parts of a text then go to tasks of their own."""
+    pieces = F.regexp_extract_all("_text", F.lit(rf"(?s).{{1,{part - 1}}}\n|.{{1,{part}}}(?=\s)|.{{1,{part}}}"), F.lit(0))
+    rows = rows.select("doc_id", "_key", pieces.alias("_pieces"))
+    ends = lambda x: x.endswith(F.lit("\n"))
+    marked = F.transform("_pieces", lambda x, i: F.struct(x.alias("_text"), F.when(i == 0, False).otherwise(~ends(F.get("_pieces", i - 1))).alias("_goes_on"), (~ends(x) & (i < F.size("_pieces") - 1)).alias("_open")))
+    parts = rows.select("doc_id", "_key", F.posexplode(marked).alias("_part", "p")).select("doc_id", "_key", "_part", "p.*")
+    return parts.repartition(F.col("_key"), F.col("_part"))
+
+
 def text_statistics(documents: DataFrame, part: int = PART) -> DataFrame:
     """``doc_id, word_count, mean_word_length, symbol_ratio, ended_line_share, common_word_share, form`` of each text that is not null or blank.
 
@@ -181,14 +263,14 @@ def text_statistics(documents: DataFrame, part: int = PART) -> DataFrame:
     rows = documents.select("doc_id", F.col("text").alias("_text")).filter(F.col("_text").rlike(r"[^\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"))
     rows = rows.withColumn("_key", F.xxhash64("_text"))
     kinds = ", ".join(f"{c} long" for c in _COUNTS)
-    counted = rows.mapInArrow(_count(part), f"doc_id long, _key long, _part long, _parts long, _head string, _tail string, {kinds}")
-    once = counted.groupBy("doc_id", "_key", "_part").agg(F.any_value("_parts").alias("_parts"), F.any_value("_head").alias("_head"), F.any_value("_tail").alias("_tail"), *(F.any_value(c).alias(c) for c in _COUNTS))
-    # a tail runs into the next part's head; a part without a line break only hands its text on
-    ends = F.concat(F.coalesce("_head", F.lit("")), F.when(F.col("_tail").isNotNull(), F.concat(F.lit("\n"), F.col("_tail"))).otherwise(""))
-    border = F.when(F.col("_parts") > 1, F.struct("_part", ends.alias("e")))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(border)), lambda x: x["e"]), "")
-    sums = once.groupBy("doc_id", "_key").agg(*(F.sum(c).alias(c) for c in _COUNTS), F.when(F.max("_parts") > 1, joined).alias("_borders"))
-    return _judge(sums.mapInArrow(_add_borders, f"doc_id long, _key long, {kinds}"))
+    large = F.length("_text") > part
+    whole = rows.filter(~large).select("doc_id", "_key", F.lit(0).alias("_part"), "_text", F.lit(False).alias("_goes_on"), F.lit(False).alias("_open"))
+    counted = whole.unionByName(_in_parts(rows.filter(large), part)).mapInArrow(_count, f"doc_id long, _key long, _part int, _states array<array<long>>, {kinds}")
+    once = counted.groupBy("doc_id", "_key", "_part").agg(F.any_value("_states").alias("_states"), *(F.any_value(c).alias(c) for c in _COUNTS))
+    lines = F.collect_list(F.when(F.col("_states").isNotNull(), F.struct("_part", "_states")))
+    sums = once.groupBy("doc_id", "_key").agg(*(F.sum(c).alias(c) for c in _COUNTS), lines.alias("_lines"))
+    sums = sums.withColumn("_lines", F.when(F.size("_lines") > 0, F.col("_lines")))
+    return _judge(sums.mapInArrow(_add_open_lines, f"doc_id long, _key long, {kinds}"))
 
 
 def _judge(counts: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
-from fernglass.llm.quality import text_statistics
+from fernglass.llm.quality import _in_parts, text_statistics
 
 PROSE = "It is better to check the pump twice than to restart it at once. The reason for this is simple."
 CASES = {
@@ -30,13 +31,23 @@ def test_statistics(spark):
     assert (got[4]["word_count"], got[4]["mean_word_length"], got[4]["symbol_ratio"]) == (0, 0.0, 1.0)
 
 
-@pytest.mark.parametrize("part", [7, 40, 64])
+@pytest.mark.parametrize("part", [30, 40, 64, 100])
 def test_parts_make_no_difference(spark, part):
-    texts = ["\n".join([PROSE] * 9), "- bolt\n- nut, 3 mm\n" * 20, "no line break at all " * 9, "a\n\n\nb\n", "x" * 200, "| a | b |\n" * 9 + PROSE]
+    texts = ["\n".join([PROSE] * 9), "- bolt\n- nut, 3 mm\n" * 20, "no line break at all " * 9, "a\n\n\nb\n", "| a | b |\n" * 9 + PROSE, "- " + PROSE * 4 + "\n- b", "5.840 3.982 7.544 0.224 " * 20, "bolt\n\n" * 40, PROSE + " " * 300 + PROSE]
     whole, cut = run(spark, texts), run(spark, texts, part=part)
     assert {k: tuple(v) for k, v in whole.items()} == {k: tuple(v) for k, v in cut.items()}
 
 
+def test_a_huge_line_is_many_parts(spark):
+    rows = spark.createDataFrame([(1, PROSE * 3000), (2, "x" * 200_000)], "doc_id long, text string")
+    large = rows.select("doc_id", F.col("text").alias("_text"), F.xxhash64("text").alias("_key"))
+    parts = _in_parts(large, 65_536)
+    assert parts.count() >= 8 and parts.agg(F.sum(F.length("_text"))).first()[0] == len(PROSE) * 3000 + 200_000
+    assert parts.agg(F.max(F.length("_text"))).first()[0] <= 65_536
+    got = {r["doc_id"]: r for r in text_statistics(rows).collect()}
+    assert got[1]["form"] == "prose" and got[1]["word_count"] == len((PROSE * 3000).split()) and got[2]["form"] in ("junk", "list")
+
+
 def test_repeats_and_empty_tables(spark):
     rows = spark.createDataFrame([(1, PROSE), (1, PROSE), (None, PROSE), (2, "- a\n- b")], "doc_id long, text string")
     assert sorted((r["doc_id"] or 0, r["form"]) for r in text_statistics(rows).collect()) == [(0, "prose"), (1, "prose"), (2, "list")]

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from ..session import cut
 from .lexicon import GIVEN_NAMES, LEGAL_FORMS, SHORT_FORMS, TITLES, TRADE_WORDS
 
-#: Letters in a gram; letters of a rare part from which two slips in it are looked for instead of one.
-Q, TWO_SLIPS = 4, 10
+#: Letters in a gram; slips for which a common rare gram is certain; and by how many letters more or less two spellings may differ.
+Q, EDITS, LETTERS = 4, 1, 2
 #: Least soft similarity of the rare tokens; what a first letter that differs takes off a slip's similarity; how like a slip is between tokens that are both written often.
 SOFT, FIRST_LETTER, BOTH_USUAL = 0.75, 0.25, 0.4
 #: Spellings that have a token, from which it is usual, and the share of those that have the other token.
@@ -199,13 +199,12 @@ def _similar_cores(parsed: DataFrame) -> DataFrame:
     forms = F.array(F.struct(F.lit(0).alias("form"), apart.alias("grams")), F.struct(F.lit(1).alias("form"), together.alias("grams")))
     every = cores.select("core", F.explode(F.when(F.size("tokens") > 1, forms).otherwise(F.slice(forms, 2, 1))).alias("f")).select("core", "f.form", F.explode("f.grams").alias("gram"))
     shared = every.groupBy("form", "gram").agg(F.count("*").alias("n"))
-    # one edit leaves all but q + 1 grams, so similar cores share one of their e (q + 1) + 1 rarest for e edits
-    edits = F.when(F.length("core") >= TWO_SLIPS, 2).otherwise(1)
+    # one slip leaves all but q + 1 grams, so cores one slip apart share one of their q + 2 rarest; two slips in two tokens mostly leave one of these as well
     ordered = every.join(shared, ["form", "gram"]).groupBy("core", "form").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("p"))
-    prefix = ordered.select("core", "form", edits.alias("edits"), F.explode(F.slice("p", 1, edits * (Q + 1) + 1)).alias("g")).select("core", "form", "edits", F.col("g.gram").alias("gram"))
-    side = lambda p: prefix.select(F.col("core").alias(p), "form", "gram", F.col("edits").alias(f"{p}_edits"))
+    prefix = ordered.select("core", "form", F.explode(F.slice("p", 1, EDITS * (Q + 1) + 1)).alias("g")).select("core", "form", F.col("g.gram").alias("gram"))
+    side = lambda p: prefix.select(F.col("core").alias(p), "form", "gram")
     pairs = side("a").join(side("b"), ["form", "gram"])
-    pairs = pairs.filter((F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= F.greatest("a_edits", "b_edits"))).select("a", "b").distinct()
+    pairs = pairs.filter((F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= LETTERS)).select("a", "b").distinct()
     tokens_of = lambda p: cores.select(F.col("core").alias(p), F.col("tokens").alias(f"{p}_tokens"), F.col("counts").alias(f"{p}_counts"))
     checked = pairs.join(tokens_of("a"), "a").join(tokens_of("b"), "b").mapInPandas(_verify(total), "a string, b string")
     # an abbreviated token is met by an equality join on the abbreviations of the others

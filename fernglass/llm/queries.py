@@ -29,7 +29,7 @@ QUERIES: dict[str, Query] = {
     "p1_pieces": lambda s, d: split_oversized(table(s, d, "chunks")),
     "p2_found": lambda s, d: similar_pairs(most_similar(table(s, d, "chunks"))),
     "p2_neighbours": lambda s, d: most_similar(table(s, d, "chunks")),
-    "p4_found": lambda s, d: find_noise(table(s, d, "chunks"), table(s, d, "documents")).select("chunk_id", "noise").distinct(),
+    "p4_found": lambda s, d: find_noise(table(s, d, "chunks"), table(s, d, "documents"), repairs=False).select("chunk_id", "noise").distinct(),
     "p4_repaired": lambda s, d: repair_scans(table(s, d, "chunks"), table(s, d, "documents")),
     "p5_found": lambda s, d: personal_kinds(_pii_texts(s, d)),
     "p5_redacted": lambda s, d: redact(_pii_texts(s, d)),

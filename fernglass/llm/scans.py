@@ -2,7 +2,7 @@
 
 A frequency lexicon is counted over the whole corpus. Words of wrapped text that the lexicon hardly has are joined with it through
 a symmetric-delete index over shapes, in which characters that readers confuse are one. A weighted edit distance with confusion
-pairs, and the word pair with the word before, pick the repair."""
+pairs finds the repairs that cost least, and counts of the word with the word before it over the corpus pick one."""
 
 from __future__ import annotations
 
@@ -32,10 +32,12 @@ CUT_MARKS = "-­‐‑¬"
 CONFUSED, OTHER, MOST = 0.3, 1.1, 0.95
 #: Least count of a word to repair to, and how many times more frequent than the word read it must be.
 LEAST, TIMES = 4, 20
-#: Frequent words that are known without a join, a bound on what is sent to every task; all other words are joined.
+#: Frequent words that are known without a join, a bound on what is sent to every task; all other words are joined, to the same end.
 KNOWN = 40_000
-#: Cells of the sketch of word pairs.
-PAIR_CELLS = 1 << 20
+#: Letters beyond which a run of them is no word: it has no repair.
+WORD_LETTERS = 64
+#: Word pairs that a task gathers before it states their counts.
+PAIRS_AT_ONCE = 2_000_000
 
 _WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
 _STRIP = ".,;:?()[]{}<>\"“”„«»‘’'…*_#=+~–—"
@@ -80,7 +82,7 @@ def reading_cost(read: str, word: str) -> float:
         z += 1
     read, word = read[a : len(read) - z], word[a : len(word) - z]
     n, m = len(read), len(word)
-    if max(n, m) > 16 or abs(n - m) > 3:
+    if abs(n - m) > 2 * MOST / CONFUSED:  # a confusion changes the length by two at most
         return 9.0
     cost = {(0, 0): 0.0}
     for i in range(n + 1):
@@ -102,29 +104,56 @@ def _code(word: str) -> int:
     return zlib.crc32(word.encode())
 
 
-def pair_cell(first: str, second: str) -> int:
-    return (_code(first) * 31 + _code(second)) % PAIR_CELLS
+def pair_code(first: str, second: str) -> int:
+    return _code(first) - (1 << 31) << 32 | _code(second)
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words of a partition with their counts in all and in unwrapped texts, and the cells of the word-pair sketch as rows of word ''."""
+    """Words of a partition with their counts in all and in unwrapped texts."""
     every, clean = Counter(), Counter()
-    pairs = np.zeros(PAIR_CELLS, np.int64)
+
+    def stated() -> pa.RecordBatch:
+        words = [w for w in every if len(w) <= WORD_LETTERS]
+        return pa.record_batch([pa.array(words, pa.string()), pa.array([every[w] for w in words], pa.int64()), pa.array([clean[w] for w in words], pa.int64())], ["word", "n", "n_clean"])
+
     for batch in batches:
         for text, wrapped in zip(batch.column("text").to_pylist(), batch.column("_wrapped").to_pylist()):
             words = _WORD.findall(text.lower())
-            if not words:
-                continue
-            codes = np.fromiter(map(_code, words), np.int64, len(words))
-            np.add.at(pairs, (codes[:-1] * 31 + codes[1:]) % PAIR_CELLS, 1)
             words += [part for w in words if "-" in w for part in w.split("-")]
             every.update(words)
             if not wrapped:
                 clean.update(words)
-    kept = [(w, n, clean[w]) for w, n in every.items() if len(w) <= 60]
-    yield pa.record_batch([pa.array([w for w, _, _ in kept], pa.string()), pa.array([-1] * len(kept), pa.int64()), pa.array([n for _, n, _ in kept], pa.int64()), pa.array([c for _, _, c in kept], pa.int64())], ["word", "cell", "n", "n_clean"])
-    cells = np.flatnonzero(pairs)
-    yield pa.record_batch([pa.array([""] * len(cells), pa.string()), pa.array(cells), pa.array(pairs[cells]), pa.array(np.zeros(len(cells), np.int64))], ["word", "cell", "n", "n_clean"])
+        if len(every) > PAIRS_AT_ONCE:
+            yield stated()
+            every.clear()
+            clean.clear()
+    yield stated()
+
+
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Codes of neighbouring words of a partition with their counts."""
+    codes, counts, waiting, held = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+
+    def gathered() -> tuple[np.ndarray, np.ndarray]:
+        own = np.concatenate([codes, *waiting])
+        order = np.argsort(own, kind="stable")
+        weight = np.concatenate([counts, np.ones(len(own) - len(codes), np.int64)])[order]
+        found, at = np.unique(own[order], return_index=True)
+        return found, np.add.reduceat(weight, at) if len(at) else weight
+
+    for batch in batches:
+        for text in batch.column("text").to_pylist():
+            words = np.fromiter(map(_code, _WORD.findall(text.lower())), np.int64)
+            waiting.append((words[:-1] - (1 << 31) << 32) | words[1:])
+            held += len(waiting[-1])
+        if held > PAIRS_AT_ONCE:
+            codes, counts = gathered()
+            waiting, held = [], 0
+            if len(codes) > PAIRS_AT_ONCE:
+                yield pa.record_batch([pa.array(codes), pa.array(counts)], ["code", "n"])
+                codes, counts = codes[:0], counts[:0]
+    codes, counts = gathered()
+    yield pa.record_batch([pa.array(codes), pa.array(counts)], ["code", "n"])
 
 
 def header_key(line: str) -> tuple[str, bool]:
@@ -140,8 +169,8 @@ def header_key(line: str) -> tuple[str, bool]:
     return re.sub(r"\W+", " ", shape(bare.lower())).strip(), numbered
 
 
-def _items(known: frozenset[str]):
-    """What may be noise in a text: ``(chunk_id, doc_id, kind, a, b)``; kinds are word, cut, page and head."""
+def _items(known: frozenset[str], contexts: bool):
+    """What may be noise in a text: ``(chunk_id, doc_id, kind, a, b)``; kinds are word, cut, page and head. A word is stated once, or with ``contexts`` once after each word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,7 +205,7 @@ def _items(known: frozenset[str]):
                         address = "@" in line.split()[-1] and "." in rest.split()[0]
                         if a and b and b.group(1)[0].islower() and not address:
                             out.append((chunk, doc, "cut", a.group().lower(), b.group(1).lower(), line[-1]))
-                seen: set[str] = set()
+                seen: set[object] = set()
                 before, halved = "", False
                 for k in solid:
                     if k in taken or header_key(lines[k])[0]:
@@ -190,8 +219,9 @@ def _items(known: frozenset[str]):
                             before = ""
                             continue
                         for part in low.split("-"):
-                            if part not in known and part not in seen and 3 <= len(part) <= 40 and sum(map(str.isalpha, part)) >= 2 and sum(map(str.isdigit, part)) <= 2 and "." not in part and "/" not in part:
-                                seen.add(part)
+                            once = (part, before) if contexts else part
+                            if part not in known and once not in seen and 3 <= len(part) <= WORD_LETTERS and sum(map(str.isalpha, part)) >= 2 and sum(map(str.isdigit, part)) <= 2 and "." not in part and "/" not in part:
+                                seen.add(once)
                                 out.append((chunk, doc, "word", part, before, ""))
                         before = low
             columns = list(zip(*out)) if out else [()] * 6
@@ -208,49 +238,61 @@ def _verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield f[["read", "word", "cost", "n_word"]]
 
 
-def corpus_lexicon(chunks: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """``word, n, n_clean`` over all texts, and the word-pair sketch (``PAIR_CELLS`` counts, whatever the corpus)."""
+def corpus_lexicon(chunks: DataFrame) -> DataFrame:
+    """``word, n, n_clean`` over all texts."""
     texts = chunks.select("text").filter(F.col("text").isNotNull()).withColumn("_wrapped", F.col("text").rlike(_WRAPPED))
-    counted = cut(texts.mapInArrow(_count_words, "word string, cell long, n long, n_clean long").groupBy("word", "cell").agg(F.sum("n").alias("n"), F.sum("n_clean").alias("n_clean")))
-    cells = counted.filter("cell >= 0").select("cell", "n").toPandas()
-    sketch = np.zeros(PAIR_CELLS, np.int32)
-    sketch[cells["cell"].to_numpy()] = np.minimum(cells["n"].to_numpy(), 2**31 - 1)
-    return counted.filter("cell < 0").select("word", "n", "n_clean"), sketch
+    return cut(texts.mapInArrow(_count_words, "word string, n long, n_clean long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_clean").alias("n_clean")))
+
+
+def chosen_repairs(words: DataFrame, repairs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``words`` (``a``, after the word ``b``) with ``repair``: of the words that cost the least the one that follows ``b`` most often in the corpus, then the most frequent.
+
+    Only pairs that some choice depends on are joined with the corpus' counts."""
+    code = F.pandas_udf(lambda b, w: pd.Series([pair_code(x, y) for x, y in zip(b, w)]), "long")
+    joined = words.join(repairs.withColumnRenamed("read", "a"), "a")
+    sure = joined.filter(F.size("options") == 1).withColumn("repair", F.col("options")[0]["word"]).drop("options")
+    open_ = joined.filter(F.size("options") > 1)
+    asked = open_.select("b", F.explode("options").alias("o")).select("b", "o.word", "o.rare").distinct().withColumn("code", code("b", "word"))
+    texts = chunks.select("text").filter(F.col("text").isNotNull())
+    counts = texts.mapInArrow(_count_pairs, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    counts = asked.join(counts, "code", "left").select("b", "word", F.coalesce("n", F.lit(0)).alias("n"))
+    each = open_.withColumn("o", F.explode("options")).withColumn("word", F.col("o.word")).join(counts, ["b", "word"])
+    order = F.struct(-F.col("n"), F.col("o.rare"), "word")
+    best = each.groupBy(*words.columns).agg(F.min_by("word", order).alias("repair"))
+    return sure.select(*words.columns, "repair").unionByName(best)
 
 
-def find_noise(chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    """``chunk_id, noise, piece, repair``: each piece of noise in chunks read from scanned pages; noise is hyphen, misread, header or page_number.
+def find_noise(chunks: DataFrame, documents: DataFrame, repairs: bool = True) -> DataFrame:
+    """``chunk_id, noise, piece, after, repair``: each piece of noise in chunks read from scanned pages; noise is hyphen, misread, header or page_number.
 
     A document counts as scanned if its extractor is a character reader, or if its own text shows it: cut or misread words.
     Repeated and late rows of a chunk are one; null and empty texts have no noise. ``repair`` is the text to put for
-    ``piece`` ('' to drop a line). Names of other columns do not matter."""
-    lexicon, sketch = corpus_lexicon(chunks)
+    ``piece`` ('' to drop a line), of a misread word where it stands after the word ``after``; without ``repairs`` misread words are found but none is chosen.
+    Names of other columns do not matter."""
+    lexicon = corpus_lexicon(chunks)
     spark = chunks.sparkSession
-    known = frozenset(r[0] for r in lexicon.filter(f"n_clean >= {LEAST * TIMES}").coalesce(32).orderBy(F.desc("n_clean"), "word").limit(KNOWN).select("word").collect())
+    doubtful = F.expr("n_clean <= 1 or n_clean * 50 < n")  # a word that scans have much more often than other texts may be a slip of theirs
+    known = frozenset(r[0] for r in lexicon.filter(F.expr(f"n_clean >= {LEAST * TIMES}") & ~doubtful).coalesce(32).orderBy(F.desc("n_clean"), "word").limit(KNOWN).select("word").collect())
     texts = chunks.select("chunk_id", "doc_id", "text").filter(F.col("text").contains("\n") & F.col("chunk_id").isNotNull())
     texts = texts.withColumn("_wrapped", F.col("text").rlike(_WRAPPED))
-    items = cut(texts.mapInArrow(_items(known), "chunk_id string, doc_id long, kind string, a string, b string, c string").distinct())
+    items = cut(texts.mapInArrow(_items(known, repairs), "chunk_id string, doc_id long, kind string, a string, b string, c string").distinct())
 
-    words = items.filter("kind = 'word'")
+    words = items.filter("kind = 'word'").select("chunk_id", "doc_id", "a", "b")
     reads = words.select(F.col("a").alias("read")).distinct().join(lexicon.select(F.col("word").alias("read"), "n", "n_clean"), "read", "left")
-    reads = reads.select("read", F.coalesce("n", F.lit(1)).alias("n"), F.coalesce("n_clean", F.lit(0)).alias("n_clean")).filter("n_clean <= 1 or n_clean * 50 < n")
-    keys = F.udf(delete_keys, "array<string>")
+    reads = reads.select("read", F.coalesce("n", F.lit(1)).alias("n"), F.coalesce("n_clean", F.lit(0)).alias("n_clean")).filter(doubtful)
+    keys = F.pandas_udf(lambda words: words.map(delete_keys), "array<string>")
     left = reads.select("read", "n", F.explode(keys("read")).alias("key"))
     right = lexicon.filter(f"n_clean >= {LEAST} and length(word) >= 3 and not word like '%-%'").select("word", F.col("n_clean").alias("n_word"), F.explode(keys("word")).alias("key"))
     candidates = left.join(right, "key").filter(f"read <> word and n_word >= {TIMES} * n").select("read", "word", "n_word").distinct()
-    repairs = candidates.mapInPandas(_verify, "read string, word string, cost double, n_word long")
-    repairs = repairs.groupBy("read").agg(F.array_sort(F.collect_list(F.struct("cost", (-F.col("n_word")).alias("rare"), "word"))).alias("options"))
-    # all that cost the least, whatever their number, as the word before decides among them
-    repairs = repairs.withColumn("options", F.filter("options", lambda o: o["cost"] == F.col("options")[0]["cost"]))
-    shared = spark.sparkContext.broadcast(sketch)
-
-    @F.pandas_udf("string")
-    def choose(before: pd.Series, options: pd.Series) -> pd.Series:
-        """The cheapest word; of words that cost the same, the one that follows the word before most often, then the most frequent."""
-        best = lambda b, o: min(o, key=lambda x: (x["cost"], -int(shared.value[pair_cell(b, x["word"])]) if b else 0, x["rare"], x["word"]))["word"]
-        return pd.Series([best(b, list(o)) for b, o in zip(before, options)])
-
-    misread = words.join(repairs.withColumnRenamed("read", "a"), "a").select("chunk_id", "doc_id", F.lit("misread").alias("noise"), F.col("a").alias("piece"), choose("b", "options").alias("repair"))
+    options = candidates.mapInPandas(_verify, "read string, word string, cost double, n_word long")
+    if repairs:
+        options = options.groupBy("read").agg(F.array_sort(F.collect_list(F.struct("cost", (-F.col("n_word")).alias("rare"), "word"))).alias("options"))
+        # all that cost the least, whatever their number, as the word before decides among them
+        options = options.withColumn("options", F.filter("options", lambda o: o["cost"] == F.col("options")[0]["cost"]))
+        found = chosen_repairs(words, options, chunks)
+    else:
+        found = words.join(options.select(F.col("read").alias("a")).distinct(), "a").withColumn("repair", F.lit(None).cast("string"))
+    misread = found.select("chunk_id", "doc_id", F.lit("misread").alias("noise"), F.col("a").alias("piece"), F.col("b").alias("after"), "repair")
 
     cuts = items.filter("kind = 'cut'").withColumn("left", F.element_at(F.split("a", "-"), -1))
     cuts = cuts.withColumn("joined", F.concat("left", "b")).withColumn("compound", F.concat_ws("-", "left", "b"))
@@ -260,14 +302,14 @@ def find_noise(chunks: DataFrame, documents: DataFrame) -> DataFrame:
         cuts = cuts.join(counts.select(F.col("word").alias(c), F.col("n_clean").alias(f"n_{c}")), c, "left").fillna(0, [f"n_{c}"])
     whole = (F.col("c") != "-") & (F.col("c") != "‐") & (F.col("c") != "‑") & (F.col("n_compound") <= F.col("n_joined"))
     is_word = (F.col("n_joined") > F.col("n_compound")) | whole | ((F.col("n_compound") == 0) & ((F.col("n_left") <= 1) | (F.col("n_b") <= 1)))
-    hyphen = cuts.filter(is_word).select("chunk_id", "doc_id", F.lit("hyphen").alias("noise"), F.concat("a", "c").alias("piece"), F.col("b").alias("repair"))
+    hyphen = cuts.filter(is_word).select("chunk_id", "doc_id", F.lit("hyphen").alias("noise"), F.concat("a", "c").alias("piece"), F.lit("").alias("after"), F.col("b").alias("repair"))
 
     heads = items.filter("kind = 'head'")
     repeated = heads.groupBy("doc_id", "a").agg(F.count_distinct("chunk_id", "c").alias("n")).filter("n > 1").select("doc_id", "a")
     heads = heads.join(repeated, ["doc_id", "a"])
-    header = heads.select("chunk_id", "doc_id", F.lit("header").alias("noise"), F.col("c").alias("piece"), F.lit("").alias("repair"))
-    numbered = heads.filter("b = 'n'").select("chunk_id", "doc_id", F.lit("page_number").alias("noise"), F.col("c").alias("piece"), F.lit("").alias("repair"))
-    page = items.filter("kind = 'page'").select("chunk_id", "doc_id", F.lit("page_number").alias("noise"), F.col("a").alias("piece"), F.lit("").alias("repair"))
+    header = heads.select("chunk_id", "doc_id", F.lit("header").alias("noise"), F.col("c").alias("piece"), F.lit("").alias("after"), F.lit("").alias("repair"))
+    numbered = heads.filter("b = 'n'").select("chunk_id", "doc_id", F.lit("page_number").alias("noise"), F.col("c").alias("piece"), F.lit("").alias("after"), F.lit("").alias("repair"))
+    page = items.filter("kind = 'page'").select("chunk_id", "doc_id", F.lit("page_number").alias("noise"), F.col("a").alias("piece"), F.lit("").alias("after"), F.lit("").alias("repair"))
 
     noise = misread.unionByName(hyphen).unionByName(header).unionByName(numbered).unionByName(page)
     noise = cut(noise)
@@ -276,40 +318,64 @@ def find_noise(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     by_reader = by_reader.groupBy("doc_id").agg(F.max("reader").alias("reader"), F.max("other").alias("other"), F.max("unsaid").alias("unsaid"))
     evidence = noise.groupBy("doc_id").agg(F.count_if(F.col("noise").isin("hyphen", "misread")).alias("slips"), F.count_distinct("noise").alias("kinds"), F.count_distinct(F.when(F.col("noise").isin("header", "page_number"), F.col("chunk_id"))).alias("marked"))
     scanned = evidence.join(by_reader, "doc_id", "left").filter("reader or (not coalesce(other, false) and ((slips >= 1 and (kinds >= 2 or slips >= 2 or coalesce(unsaid, true))) or marked >= 3))").select("doc_id")
-    return noise.join(scanned, "doc_id", "left_semi").select("chunk_id", "noise", "piece", "repair").distinct()
+    return noise.join(scanned, "doc_id", "left_semi").select("chunk_id", "noise", "piece", "after", "repair").distinct()
+
+
+_OWN_LINE = re.compile(r"^\s*(?:[-*+•‣◦▪●○]\s|\[[ xX]?\]\s|\(?\d{1,3}[.)]\s|#{1,6}\s|\|)|\S(?: {3,}|\t)\S|.\|.*\|")
+
+
+def _cased(word: str, like: str) -> str:
+    return word.upper() if like.isupper() and len(like) > 1 else word.capitalize() if like[:1].isupper() else word
 
 
 def _rewrite(text: str, noise: list[dict]) -> str:
-    """A text without its noise, as paragraphs; blank lines part paragraphs, other line ends are spaces."""
+    """A text without its noise, as paragraphs; blank lines part paragraphs, other line ends are spaces but about items of lists and rows of tables."""
     drop = {n["piece"] for n in noise if n["repair"] == "" and n["noise"] in ("header", "page_number")}
-    words = {n["piece"]: n["repair"] for n in noise if n["noise"] == "misread"}
+    after = {(n["after"], n["piece"]): n["repair"] for n in noise if n["noise"] == "misread"}
+    words = {piece: repair for (_, piece), repair in sorted(after.items())}
     ends = {n["piece"] for n in noise if n["noise"] == "hyphen"}
     lines = [line for line in text.split("\n") if line.strip() not in drop]
-    paragraphs, current, glue = [], "", False
-    for line in lines:
+    blocks: list[tuple[str, bool]] = []  # (text, stands on a line of its own)
+    current, glue = "", False
+
+    def close() -> None:
+        nonlocal current
+        if current:
+            blocks.append((current, False))
+        current = ""
+
+    for number, line in enumerate(lines):
         if not line.strip():
-            if current and not glue:
-                paragraphs.append(current)
-                current = ""
+            if not glue:
+                close()
+                blocks.append(("", False))
             continue
         piece = line.strip()
+        if not glue and _OWN_LINE.search(line):
+            close()
+            blocks.append((piece, True))
+            continue
         current += piece if glue or not current else " " + piece
         tail = re.search(r"[\w€@|¢$!-]+$", current[:-1]) if current[-1] in CUT_MARKS else None
-        glue = bool(tail) and current[-1] in CUT_MARKS
-        if tail and tail.group().lower() + current[-1] in ends:
+        glue = bool(tail) and any(x.strip() for x in lines[number + 1 :])
+        if glue and tail.group().lower() + current[-1] in ends:
             current = current[:-1]
-    if current:
-        paragraphs.append(current)
-    out = "\n\n".join(paragraphs)
+    close()
+    out = ""
+    for k, (piece, own) in enumerate(blocks):
+        if piece:
+            out += ("" if not out else "\n" if own and blocks[k - 1][1] else "\n\n") + piece
     if words:
+        before = ""
 
         def mend(m: re.Match) -> str:
+            nonlocal before
             token = m.group()
             lead = token[: len(token) - len(token.lstrip(_STRIP))]
             body = token.strip(_STRIP)
             rest = token[len(lead) + len(body) :]
-            parts = [words.get(p.lower(), None) for p in body.split("-")]
-            fixed = [(f.capitalize() if p[:1].isupper() else f) if f else p for f, p in zip(parts, body.split("-"))]
+            read, before = before, body.lower()
+            fixed = [_cased(repair, p) if (repair := after.get((read, p.lower()), words.get(p.lower()))) else p for p in body.split("-")]
             return lead + "-".join(fixed) + rest
 
         out = re.sub(r"\S+", mend, out)
@@ -318,7 +384,7 @@ def _rewrite(text: str, noise: list[dict]) -> str:
 
 def repair_scans(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """``chunk_id, text``: the repaired text of every chunk that has noise of scanned pages, as continuous paragraphs."""
-    noise = find_noise(chunks, documents).groupBy("chunk_id").agg(F.collect_list(F.struct("noise", "piece", "repair")).alias("noise"))
+    noise = find_noise(chunks, documents).groupBy("chunk_id").agg(F.collect_list(F.struct("noise", "piece", "after", "repair")).alias("noise"))
     texts = chunks.select("chunk_id", "text").filter(F.col("text").isNotNull()).groupBy("chunk_id").agg(F.max("text").alias("text"))
 
     @F.pandas_udf("string")

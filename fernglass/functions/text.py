@@ -33,7 +33,7 @@ REDACTIONS = (
     ("secret", r"(?Ui)\b((?:password|passwd|secret|api_?key|token)\s*[:=]\s*)\S{8,}", "$1"),
 )
 #: Fixed value: the name space of point ids.
-POINT_NAMESPACE = "6f1a9c2e5b744e8a9d310c7f2ab48e15"
+POINT_NAMESPACE = "6f1a9c2e-5b74-4e8a-9d31-0c7f2ab48e15"
 #: Version decoration at the end of a file's stem, and what looks like a date in a path.
 VERSION_END = r"(?i)(?:[._\-\s(]|^)(?:v|ver|rev|r|draft|final|copy)?\s*\d{0,3}\)?$"
 DATE_LIKE = r"\d{4}[-_]?\d{2}(?:[-_]?\d{2})?"

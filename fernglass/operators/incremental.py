@@ -4,9 +4,11 @@ one whole new target version or none."""
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -65,56 +67,183 @@ def pending_documents(documents: DataFrame, log: DataFrame, runs: DataFrame) ->
     return source.join(done, ["doc_id", "committed_hash"], "left_anti").select("doc_id").distinct()
 
 
-class VersionedTarget:
-    """A table of versions ``v=<run>`` under one folder, of which a pointer file names the published one.
+class ConflictError(RuntimeError):
+    """Another run published from the same base, or holds the lock."""
+
+
+#: Layers of a version before it is written anew as one, and versions that are kept for readers that still have them open.
+LAYERS, VERSIONS = 8, 3
 
-    ``publish`` writes the whole next version beside the current one and then replaces the pointer in one rename, so that a
-    crash before the rename leaves the old version and a crash after it the new one; what a failed run left is overwritten."""
+
+class _Folder:
+    """Files under a folder of any file system that Spark reaches."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder.rstrip("/")
         jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+        self.spark, self.folder, self._path = spark, folder.rstrip("/"), jvm.org.apache.hadoop.fs.Path
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs = self._path(self.folder).getFileSystem(conf)
+        self._context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), conf)
         self._rename = jvm.org.apache.hadoop.fs.Options.Rename
 
-    def current(self) -> str | None:
-        """The published version's folder, or None."""
-        pointer = self._path(f"{self.folder}/CURRENT")
-        if not self._fs.exists(pointer):
-            return None
-        line = self.spark.read.text(f"{self.folder}/CURRENT").first()
-        return f"{self.folder}/{json.loads(line[0])['version']}" if line else None
+    def at(self, name: str):
+        return self._path(f"{self.folder}/{name}")
 
-    def read(self) -> DataFrame | None:
-        """The published rows, or None before the first run."""
-        return None if (at := self.current()) is None else self.spark.read.parquet(at)
+    def names(self, inside: str = "") -> list[str]:
+        path = self.at(inside) if inside else self._path(self.folder)
+        return sorted(f.getPath().getName() for f in self._fs.listStatus(path)) if self._fs.exists(path) else []
+
+    def text(self, name: str) -> str:
+        stream = self._fs.open(self.at(name))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
 
-    def publish(self, rows: DataFrame, run_id: str) -> None:
-        version = f"v={run_id}-{uuid.uuid4().hex[:8]}"
-        rows.write.mode("overwrite").parquet(f"{self.folder}/{version}")
-        temporary = self._path(f"{self.folder}/.{version}.pointer")
+    def put_new(self, name: str, text: str) -> None:
+        """Write a file that must not be there yet: all of it under another name, then one rename that fails where the name is taken."""
+        temporary = self.at(f".{uuid.uuid4().hex}")
         out = self._fs.create(temporary, True)
-        out.write(bytearray(json.dumps({"version": version, "run_id": run_id}).encode()))
+        out.write(bytearray(text.encode()))
         out.close()
         option = self.spark.sparkContext._gateway.new_array(self._rename, 1)
-        option[0] = self._rename.OVERWRITE
-        self._context.rename(temporary, self._path(f"{self.folder}/CURRENT"), option)
+        option[0] = self._rename.NONE
+        try:
+            self._fs.mkdirs(self.at(name).getParent())
+            self._context.rename(temporary, self.at(name), option)
+        except Py4JJavaError as error:
+            self._fs.delete(temporary, False)
+            raise ConflictError(f"{name} is there already") from error
+
+    def drop(self, name: str) -> None:
+        self._fs.delete(self.at(name), True)
+
+
+class WriterLock:
+    """One writer at a time: a file that one creates and the others find. Contention raises after ``wait`` seconds; a lock older than ``abandoned`` is taken over."""
+
+    def __init__(self, spark: SparkSession, folder: str, wait: float = 0.0, abandoned: float = 24 * 3600.0) -> None:
+        self.files, self.wait, self.abandoned, self.mine = _Folder(spark, folder), wait, abandoned, uuid.uuid4().hex
+
+    def __enter__(self) -> WriterLock:
+        until = time.monotonic() + self.wait
+        while True:
+            try:
+                self.files.put_new("LOCK", json.dumps({"holder": self.mine, "since": time.time()}))
+                return self
+            except ConflictError:
+                try:
+                    since = json.loads(self.files.text("LOCK"))["since"]
+                except (Py4JJavaError, ValueError, KeyError):
+                    since = time.time()  # it went just now, or isn't whole yet
+                if time.time() - since > self.abandoned:
+                    self.files.drop("LOCK")
+                elif time.monotonic() >= until:
+                    raise
+                else:
+                    time.sleep(min(0.2, max(0.0, until - time.monotonic())))
+
+    def __exit__(self, *_: object) -> None:
+        if json.loads(self.files.text("LOCK"))["holder"] == self.mine:
+            self.files.drop("LOCK")
+
+
+class VersionedTarget:
+    """A table of versions under one folder. A version is a small file that names layers: a whole table, and after it what each run changed.
+
+    A run writes the rows it adds or replaces and the keys whose older rows they take the place of, then one version file; nothing else is written again.
+    The version file's number is one more than that of the version the run started from, and is created by a rename that fails if it is
+    there: of two runs from one base the second raises and changes nothing. A crash before the rename leaves the old version, after it the
+    new one. After ``LAYERS`` layers a version is written as one again, and versions but the last ``VERSIONS`` go with the layers that only they have."""
+
+    def __init__(self, spark: SparkSession, folder: str, key: str = "doc_id") -> None:
+        self.spark, self.folder, self.key = spark, folder.rstrip("/"), key
+        self.files = _Folder(spark, folder)
+
+    def number(self) -> int:
+        """The number of the published version, 0 before the first."""
+        return max((int(n[:-5]) for n in self.files.names("versions") if n.endswith(".json") and n[:-5].isdigit()), default=0)
+
+    def current(self) -> dict | None:
+        """The published version, or None: its number, run and layers."""
+        number = self.number()
+        return json.loads(self.files.text(f"versions/{number:012d}.json")) if number else None
+
+    def read(self) -> DataFrame | None:
+        """The published rows, or None before the first run."""
+        version = self.current()
+        return None if version is None else self._rows(version["layers"])
+
+    def _rows(self, layers: list[str]) -> DataFrame:
+        load = lambda layer, part: self.spark.read.parquet(f"{self.folder}/{layer}/{part}")
+        out, gone = load(layers[-1], "rows"), None
+        for older, newer in zip(reversed(layers[:-1]), reversed(layers)):
+            gone = load(newer, "gone") if gone is None else gone.unionByName(load(newer, "gone"))
+            out = out.unionByName(load(older, "rows").join(gone, self.key, "left_anti"), allowMissingColumns=True)
+        return out
+
+    def publish(self, rows: DataFrame, run_id: str, base: int | None = None) -> None:
+        """A version that has ``rows`` and nothing else."""
+        base = self.number() if base is None else base
+        layer = f"layers/{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.folder}/{layer}/rows")
+        rows.select(self.key).limit(0).write.parquet(f"{self.folder}/{layer}/gone")
+        self._commit(base, run_id, [layer])
+
+    def apply(self, rows: DataFrame, gone: DataFrame, run_id: str, base: int | None = None) -> bool:
+        """A version with ``rows`` added, after the rows of the keys ``gone`` have left; whether there was anything to change."""
+        base = self.number() if base is None else base
+        if not base:
+            self.publish(rows, run_id, base)
+            return True
+        layer = f"layers/{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.folder}/{layer}/rows")
+        gone.select(self.key).distinct().write.parquet(f"{self.folder}/{layer}/gone")
+        written = [self.spark.read.parquet(f"{self.folder}/{layer}/{part}").limit(1).count() for part in ("rows", "gone")]
+        if not any(written):
+            self.files.drop(layer)
+            return False
+        layers = [*json.loads(self.files.text(f"versions/{base:012d}.json"))["layers"], layer]
+        if len(layers) > LAYERS:
+            self.publish(self._rows(layers), run_id, base)
+            self.files.drop(layer)
+        else:
+            self._commit(base, run_id, layers)
+        return True
+
+    def _commit(self, base: int, run_id: str, layers: list[str]) -> None:
+        self.files.put_new(f"versions/{base + 1:012d}.json", json.dumps({"version": base + 1, "run_id": run_id, "layers": layers}))
+        self._prune()
+
+    def _prune(self) -> None:
+        """Drop versions but the last ones and, of layers that no version names, those that older versions had: a run under way keeps what it writes."""
+        names = [n for n in self.files.names("versions") if n.endswith(".json")]
+        named = lambda some: {x for n in some for x in json.loads(self.files.text(f"versions/{n}"))["layers"]}
+        old, kept = names[:-VERSIONS], named(names[-VERSIONS:])
+        for layer in sorted(named(old) - kept):
+            self.files.drop(layer)
+        for name in old:
+            self.files.drop(f"versions/{name}")
+
+
+def one_per_key(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """The first row of each key by ``order``; rows without a key are left out."""
+    window = Window.partitionBy(key).orderBy(*order)
+    return rows.filter(F.col(key).isNotNull()).withColumn("_row", F.row_number().over(window)).filter("_row = 1").drop("_row")
 
 
 def process_changes(target: VersionedTarget, source: DataFrame, transform: Callable[[DataFrame], DataFrame], run_id: str, key: str = "doc_id", version: str = "content_hash") -> None:
-    """One run: ``transform`` the source rows whose (key, version) the target lacks, and publish them with the unchanged rest.
+    """One run: ``transform`` the source rows whose (key, version) the target lacks, and publish them in place of their keys' rows; only changes are written.
 
     ``transform`` must keep ``key`` and ``version``. Rows whose key left the source leave the target; rows with a null or blank
-    version are processed every run. Running it twice with the same source changes nothing."""
-    keyed = source.withColumn("_version", version_key(F.col(version))).filter(F.col(key).isNotNull())
-    keyed = keyed.withColumn("_row", F.row_number().over(Window.partitionBy(key).orderBy(F.desc_nulls_last("_version")))).filter("_row = 1").drop("_row")
+    version are processed every run. Running it twice with the same source changes nothing; of two runs at once one raises ``ConflictError``."""
+    keyed = one_per_key(source.withColumn("_version", version_key(F.col(version))), key, [F.desc_nulls_last("_version")])
+    base = target.number()
     before = target.read()
     if before is None:
-        target.publish(transform(keyed.drop("_version")), run_id)
+        target.publish(transform(keyed.drop("_version")), run_id, base)
         return
-    have = before.withColumn("_version", version_key(F.col(version)))
-    fresh = keyed.join(have.select(key, "_version").distinct(), [key, "_version"], "left_anti").drop("_version")
-    kept = have.join(keyed.select(key, "_version"), [key, "_version"], "left_semi").drop("_version")
-    target.publish(kept.unionByName(transform(fresh), allowMissingColumns=True), run_id)
+    have = before.select(key, version_key(F.col(version)).alias("_version"))
+    fresh = keyed.join(have.distinct(), [key, "_version"], "left_anti").drop("_version")
+    gone = have.join(keyed.select(key, "_version"), [key, "_version"], "left_anti").select(key)
+    target.apply(transform(fresh), gone, run_id, base)

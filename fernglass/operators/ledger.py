@@ -63,8 +63,8 @@ def repeated_receipts(ledger: DataFrame, documents: DataFrame) -> DataFrame:
     named = per_doc.join(documents.select("doc_id", "uri").filter("uri is not null").distinct(), "doc_id")
     other = named.select(*group, F.col("_key").alias("_other_key"), F.col("doc_id").alias("_other"), F.col("_first").alias("_other_first"), "uri")
     rows = keyed.select("id", "doc_id", *group, "_key")
-    equal = rows.filter("_key <> ''").join(other, [*group], "inner").filter("_key = _other_key or _other_key = ''")
-    blank = rows.filter("_key = ''").join(other, [*group], "inner")
+    equal = rows.filter("_key <> ''").withColumn("_other_key", F.explode(F.array("_key", F.lit("")))).join(other, [*group, "_other_key"])
+    blank = rows.filter("_key = ''").join(other, [*group]).select(*equal.columns)
     pairs = equal.unionByName(blank).filter("doc_id <> _other and _other_first < id")
     return pairs.groupBy("id").agg(F.array_join(F.sort_array(F.collect_set("uri")), ", ").alias("duplicate_of"))
 
@@ -106,6 +106,6 @@ def correct(ledger: DataFrame, changes: DataFrame, today: Column, now: str) -> D
 
 
 def running_total(ledger: DataFrame) -> DataFrame:
-    """``month, total_cents, change_cents``: each month beside the month before."""
+    """``month, total_cents, change_cents``: each month beside the month before, of which there are as many as months in a century or two, whatever the rows."""
     months = ledger.groupBy(month_of(F.col("txn_date")).alias("month")).agg(F.sum("amount_cents").alias("total_cents"))
     return months.withColumn("change_cents", F.col("total_cents") - F.lag("total_cents").over(Window.orderBy("month")))

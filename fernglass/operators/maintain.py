@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import uuid5
+from ..session import cut
 
 TOMBSTONED = ("retracted",)
 
@@ -127,11 +128,17 @@ def mark_for_reembedding(documents: DataFrame, source_id: str | None = None) ->
 def append_log(log: DataFrame, entries: DataFrame, order: list[str], allowed: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """The log with entries that get the next ids in ``order``; a value outside ``allowed`` raises when rows are computed.
 
-    Entries of one append are what one run says, so numbering them is one task's work."""
+    Entries are sorted in ranges; each range counts, and an entry's id is the top id, the entries of the ranges before and its place in its own,
+    so that no task has more than a range of them."""
     for column, values in (allowed or {}).items():
         entries = entries.withColumn(column, F.when(F.col(column).isin(*values), F.col(column)).otherwise(F.raise_error(F.concat(F.lit(f"unknown {column}: "), F.coalesce(F.col(column), F.lit("null")))).cast("string")))
-    top = log.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    numbered = entries.withColumn("id", F.row_number().over(Window.orderBy(*order))).crossJoin(top).withColumn("id", F.col("id") + F.col("_top")).drop("_top")
+    parts = int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(entries.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()))
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_count"))
+    before = counts.select("_range", F.coalesce(F.sum("_count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row for each range
+    top = log.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top")).first()[0]
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    numbered = ranged.withColumn("_place", place).join(F.broadcast(before), "_range").withColumn("id", F.col("_place") + F.col("_before") + F.lit(top)).drop("_range", "_place", "_before")
     return log.unionByName(numbered, allowMissingColumns=True)
 
 

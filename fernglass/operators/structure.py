@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import structure as S
-from ..functions.text import dated, normalised_stem, parent_folder
+from ..functions.text import dated, normalised_stem, parent_folder, stripped
 
 CHUNK = "doc_id long, chunk_index long, text string, token_count long, heading_path array<string>, lines array<long>, pages array<long>"
 #: Fixed value: how alike two stems are that are worth mentioning.
@@ -131,7 +131,8 @@ def unsupported_numbers(readings: DataFrame) -> DataFrame:
 def similar_names(documents: DataFrame, least: float = SIMILAR) -> DataFrame:
     """``uri_a, uri_b``: active documents of one source and folder whose undated names are alike without version decoration.
 
-    Equal stems are one until the end. Two stems can be this alike only if they share many letter pairs, so they meet on the rarest pairs of
+    Files of one stem are a class: each is paired with its representative, the first path, and representatives of alike stems with each other, so that
+    a folder of like names gives as many rows as files and no link is lost. Two stems can be this alike only if they share many letter pairs, so they meet on the rarest pairs of
     each (a prefix filter), and the ratio of matching blocks decides."""
     rows = documents.filter((F.col("lifecycle") == "active") & ~dated(F.col("uri"))).select("source_id", "uri", parent_folder(F.col("uri")).alias("folder"), normalised_stem(F.col("uri")).alias("stem")).filter("stem <> ''").distinct()
     stems = rows.select("source_id", "folder", "stem").distinct()
@@ -155,7 +156,55 @@ def similar_names(documents: DataFrame, least: float = SIMILAR) -> DataFrame:
         return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
 
     alike = met.filter(ratio("stem", "other") >= least).select(*key, F.col("stem").alias("sa"), F.col("other").alias("sb"))
-    same = stems.select(*key, F.col("stem").alias("sa"), F.col("stem").alias("sb"))
-    a = rows.select(*key, F.col("stem").alias("sa"), F.col("uri").alias("ua"))
-    b = rows.select(*key, F.col("stem").alias("sb"), F.col("uri").alias("ub"))
-    return alike.unionByName(same).join(a, [*key, "sa"]).join(b, [*key, "sb"]).filter("ua <> ub").select(F.least("ua", "ub").alias("uri_a"), F.greatest("ua", "ub").alias("uri_b")).distinct()
+    first = rows.groupBy(*key, "stem").agg(F.min("uri").alias("_first"))
+    a, b = (first.select(*key, F.col("stem").alias(f"s{x}"), F.col("_first").alias(f"u{x}")) for x in "ab")
+    members = rows.join(first, [*key, "stem"]).filter("uri <> _first").select(F.col("_first").alias("uri_a"), F.col("uri").alias("uri_b"))
+    linked = alike.join(a, [*key, "sa"]).join(b, [*key, "sb"]).filter("ua <> ub").select(F.least("ua", "ub").alias("uri_a"), F.greatest("ua", "ub").alias("uri_b"))
+    return linked.unionByName(members).distinct()
+
+
+def font_headings(runs: DataFrame) -> DataFrame:
+    """``doc_id, page, number, heading, level`` of text runs ``doc_id, page, top, size, text`` in order of ``number``; level 1 is the largest type.
+
+    Runs side by side on one line are joined. Body type is the size with most characters, ties the first met. Sizes at least two points above it that head
+    at least three short lines with letters are levels; in a long document a size that spans few pages shares the level of the next smaller one. Blank runs
+    and null texts don't count; a document without heads has no rows."""
+    rows = runs.select("doc_id", "page", "number", "top", "size", stripped(F.col("text")).alias("text")).filter("text <> ''")
+    order = Window.partitionBy("doc_id").orderBy("page", "number")
+    same = lambda c: F.col(c).eqNullSafe(F.lag(c).over(order))
+    rows = rows.withColumn("_new", F.when(same("page") & same("top") & same("size"), 0).otherwise(1)).withColumn("_line", F.sum("_new").over(order))
+    lines = rows.groupBy("doc_id", "_line").agg(F.first("page").alias("page"), F.min("number").alias("number"), F.first("size").alias("size"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", "text"))), lambda x: x["text"]), " ").alias("heading"))
+    weights = rows.groupBy("doc_id", "size").agg(F.sum(F.length("text")).alias("n"), F.min(F.struct("page", "number")).alias("met"))
+    body = weights.groupBy("doc_id").agg(F.min_by("size", F.struct(-F.col("n"), "met")).alias("_body"))
+    last = rows.groupBy("doc_id").agg(F.max("page").alias("_last"))
+    letters = F.length(F.regexp_replace("heading", r"(?U)[^\p{L}]", ""))
+    heads = lines.join(body, "doc_id").filter((F.col("size") >= F.col("_body") + S.HEADING_POINTS) & (F.length("heading") <= S.HEADING_CHARS) & (letters >= S.HEADING_LETTERS))
+    sizes = heads.groupBy("doc_id", "size").agg(F.count("*").alias("uses"), (F.max("page") - F.min("page")).alias("span")).filter(F.col("uses") >= S.HEADING_USES).join(last, "doc_id")
+    sizes = sizes.withColumn("_wide", (F.col("_last") < S.LONG_DOCUMENT) | (F.col("span") >= F.col("_last") * S.LEAST_SPAN))
+    every = Window.partitionBy("doc_id")
+    sizes = sizes.withColumn("_wide", F.col("_wide") | ~F.max("_wide").over(every))  # where none spans enough, all count
+    down = Window.partitionBy("doc_id").orderBy(F.desc("size"))
+    above, wide = F.sum(F.col("_wide").cast("int")).over(down.rowsBetween(Window.unboundedPreceding, -1)), F.sum(F.col("_wide").cast("int")).over(every)
+    levels = sizes.select("doc_id", "size", (F.least(F.coalesce(above, F.lit(0)), wide - 1) + 1).cast("int").alias("level"))
+    return heads.join(levels, ["doc_id", "size"]).select("doc_id", "page", "number", "heading", "level")
+
+
+def heading_strip(texts: DataFrame) -> DataFrame:
+    """``texts`` with ``plain``, the text without heading marks, and ``headings``, its headings ``title, level`` in order; a null text has none."""
+    mark = r"^(#{1,6})\s+(.*?)\s*#*\s*$"
+    lines = F.split(F.col("text"), r"\r\n|\n|\r", -1)
+    level = lambda x: F.length(F.regexp_extract(x, mark, 1))
+    title = lambda x: F.regexp_extract(x, mark, 2)
+    heads = F.filter(F.transform(lines, lambda x: F.struct(title(x).alias("title"), level(x).alias("level"))), lambda h: h["title"] != "")
+    plain = F.array_join(F.transform(lines, lambda x: F.when(title(x) != "", title(x)).otherwise(x)), "\n")
+    return texts.withColumns({"plain": plain, "headings": heads})
+
+
+def page_set(spec: Column) -> Column:
+    """The pages of a specification such as ``3,5-7`` in order, null for ``all``; anything else raises when rows are computed."""
+    parts = F.filter(F.transform(F.split(F.lower(F.trim(spec)), ","), lambda p: F.trim(p)), lambda p: p != "")
+    low, high = (lambda p: F.regexp_extract(p, r"^(\d+)", 1).cast("int")), (lambda p: F.regexp_extract(p, r"(\d+)-?$", 1).cast("int"))
+    wrong = F.filter(parts, lambda p: ~p.rlike(r"^\d+(-\d*)?$") | (low(p) < 1) | (high(p) < low(p)))
+    pages = F.array_sort(F.array_distinct(F.flatten(F.transform(parts, lambda p: F.sequence(low(p), high(p))))))
+    fault = F.raise_error(F.concat(F.lit("no page or range: "), F.coalesce(F.get(wrong, 0), F.lit("(none)")))).cast("array<int>")
+    return F.when(F.lower(F.trim(spec)) == "all", F.lit(None).cast("array<int>")).when((F.size(wrong) > 0) | (F.size(parts) == 0), fault).otherwise(pages)

@@ -5,9 +5,12 @@ from __future__ import annotations
 import fnmatch
 import os
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from urllib.parse import quote, unquote
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,16 +104,38 @@ def wanted(path: Column, source: Source) -> Column:
     return hit
 
 
+def _content(path: str) -> bytes:
+    """The bytes of a file named as a listing names it."""
+    if path.startswith("file:"):
+        with open(re.sub("^file:/+", "/", path), "rb") as file:
+            return file.read()
+    system, inside = pyarrow.fs.FileSystem.from_uri(quote(path, safe=":/@"))
+    with system.open_input_stream(unquote(inside)) as stream:
+        return stream.read()
+
+
 def scan_files(spark: SparkSession, source: Source) -> tuple[DataFrame, bool]:
-    """``(files, complete)``: ``rel_uri, mtime, size_bytes, content`` of a source; a root that can't be listed is empty and incomplete."""
+    """``(files, complete)``: ``rel_uri, mtime, size_bytes, content`` of a source; a root that can't be listed is empty and incomplete.
+
+    The listing is filtered before any content is read: files that are left out are not opened, and the content of one that is too large is null."""
     empty = spark.createDataFrame([], "rel_uri string, mtime double, size_bytes long, content binary")
     if not source.path or (source.path.startswith("/") and not os.path.isdir(source.path)):
         return empty, False
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(source.path)
     root = source.path.rstrip("/") + "/"
     relative = F.regexp_replace(F.col("path"), "^.*?" + re.escape(root), "")
-    rows = files.select(relative.alias("rel_uri"), (F.unix_millis("modificationTime") / 1000).alias("mtime"), F.col("length").alias("size_bytes"), "content")
-    return rows.filter(wanted(F.col("rel_uri"), source)), True
+    listed = files.select("path", relative.alias("rel_uri"), (F.unix_millis("modificationTime") / 1000).alias("mtime"), F.col("length").alias("size_bytes"))
+    listed = listed.filter(wanted(F.col("rel_uri"), source))
+    small = F.col("size_bytes") <= LARGEST
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, path in enumerate(batch.column("path").to_pylist()):  # one file of at most LARGEST bytes at a time
+                row = batch.slice(k, 1)
+                yield pa.record_batch([row.column("rel_uri"), row.column("mtime"), row.column("size_bytes"), pa.array([_content(path)], pa.binary())], ["rel_uri", "mtime", "size_bytes", "content"])
+
+    opened = listed.filter(small).mapInArrow(read, "rel_uri string, mtime double, size_bytes long, content binary")
+    return opened.unionByName(listed.filter(~small).select("rel_uri", "mtime", "size_bytes", F.lit(None).cast("binary").alias("content"))), True
 
 
 #: Extractors by name: a predicate on the suffix and a mapping of files to documents. ``register`` adds to it.

@@ -1,8 +1,9 @@
+import json
 import datetime as dt
 
 import pytest
 
-from fernglass.operators.incremental import VersionedTarget, committed_versions, instant, pending_documents, process_changes, succeeded_runs
+from fernglass.operators.incremental import LAYERS, VERSIONS, ConflictError, VersionedTarget, WriterLock, committed_versions, instant, pending_documents, process_changes, succeeded_runs
 from pyspark.sql import functions as F
 
 DOCS = "doc_id long, content_hash string, mtime double, last_seen_run string, lifecycle string, status string"
@@ -99,3 +100,45 @@ def test_a_failed_run_changes_nothing(spark, tmp_path):
     with pytest.raises(Exception):
         process_changes(target, spark.createDataFrame([(1, "b")], "doc_id long, content_hash string"), lambda d: d.withColumn("x", F.raise_error(F.lit("crash")).cast("string")), "run2")
     assert [tuple(r) for r in target.read().collect()] == [(1, "a")]
+
+
+def test_only_changes_are_written_and_layers_are_put_together(spark, tmp_path):
+    target = VersionedTarget(spark, str(tmp_path))
+    rows = lambda *r: spark.createDataFrame(list(r), "doc_id long, content_hash string")
+    process_changes(target, rows(*((n, "a") for n in range(50))), lambda d: d, "r0")
+    state = {n: "a" for n in range(50)}
+    for k in range(1, 11):
+        state[k] = f"v{k}"
+        state.pop(k + 20)
+        process_changes(target, rows(*state.items()), lambda d: d, f"r{k}")
+        if k == 1:
+            newest = target.current()["layers"][-1]
+            assert spark.read.parquet(f"{tmp_path}/{newest}/rows").count() == 1 and spark.read.parquet(f"{tmp_path}/{newest}/gone").count() == 2
+    assert {r["doc_id"]: r["content_hash"] for r in target.read().collect()} == state
+    assert len(target.current()["layers"]) < LAYERS and target.number() == 11
+    versions = [p.name for p in (tmp_path / "versions").iterdir() if p.suffix == ".json"]
+    named = {x for v in versions for x in json.loads((tmp_path / "versions" / v).read_text())["layers"]}
+    assert len(versions) == VERSIONS and {f"layers/{p.name}" for p in (tmp_path / "layers").iterdir()} == named
+    process_changes(target, rows(*state.items()), lambda d: d, "again")
+    assert target.number() == 11
+
+
+def test_of_two_runs_from_one_base_the_second_raises(spark, tmp_path):
+    target = VersionedTarget(spark, str(tmp_path))
+    rows = spark.createDataFrame([(1, "a")], "doc_id long, content_hash string")
+    target.publish(rows, "r1")
+    base = target.number()
+    target.apply(rows.withColumn("content_hash", F.lit("b")), rows, "r2", base)
+    with pytest.raises(ConflictError):
+        target.apply(rows.withColumn("content_hash", F.lit("c")), rows, "r3", base)
+    assert [tuple(r) for r in target.read().collect()] == [(1, "b")]
+
+
+def test_one_writer_at_a_time(spark, tmp_path):
+    with WriterLock(spark, str(tmp_path)):
+        with pytest.raises(ConflictError), WriterLock(spark, str(tmp_path), wait=0.3):
+            pass
+        with WriterLock(spark, str(tmp_path), abandoned=-1):
+            pass
+        (tmp_path / "LOCK").write_text('{"holder": "another", "since": 9e18}')
+    assert (tmp_path / "LOCK").exists()  # another's lock is left alone

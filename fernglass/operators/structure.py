@@ -40,6 +40,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def strategy_of(extractor: Column) -> Column:
+    """How a document is cut; names of extractors are inexact, and any other, or none, means plain text."""
     return F.when(F.lower(extractor).contains("markdown"), "markdown").when(F.lower(extractor).contains("transcript"), "blocks").otherwise("text")
 
 

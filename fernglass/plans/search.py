@@ -8,16 +8,23 @@ from ..operators import search as S
 from ..sources.tables import table
 from .state import _chunks
 
-#: Questions of the retrieval queries; a stated query set against all rows.
-QUESTIONS = ((1, "temporary valve pressure"), (2, "invoice reminder passport"), (3, "die pumpe prüfung"), (4, "order reference drain"), (5, "zzz nothing"))
+def _questions(s, d):
+    """The title of every document whose id is divisible by 20, as a question to all chunks."""
+    return table(s, d, "documents").filter("doc_id % 20 = 0 and title is not null").select(F.col("doc_id").alias("query_id"), F.col("title").alias("text"))
 
 
-def _questions(spark):
-    return spark.createDataFrame(list(QUESTIONS), "query_id long, text string")
+def _chunk_vectors(s, d):
+    """Chunks with their vectors; repeated and late rows of a chunk have one text and one vector."""
+    return table(s, d, "chunks").select(F.col("chunk_id").alias("item_id"), "doc_id", "chunk_index", "text", "vector").dropDuplicates(["item_id"])
+
+
+def _first_vectors(s, d):
+    """The vectors of the first chunks of those documents, as questions too."""
+    return _chunk_vectors(s, d).filter("doc_id % 20 = 0 and chunk_index = 0").select(F.col("doc_id").alias("query_id"), "vector")
 
 
 def _items(s, d):
-    return _chunks(s, d).filter("text is not null").select(F.col("chunk_id").alias("item_id"), "text")
+    return table(s, d, "chunks").filter("text is not null").select(F.col("chunk_id").alias("item_id"), "text").distinct()
 
 
 def _vectors(s, d):
@@ -30,12 +37,12 @@ def _vector_queries(s, d):
 
 
 def _hits(s, d):
-    found = S.bm25(_questions(s), _items(s, d), 10)
-    return found.join(_chunks(s, d).select(F.col("chunk_id").alias("item_id"), "doc_id", "chunk_index", "text"), "item_id").join(table(s, d, "documents").select("doc_id", "uri"), "doc_id")
+    found = S.bm25(_questions(s, d), _items(s, d), 10)
+    return found.join(_chunk_vectors(s, d).drop("vector"), "item_id").join(table(s, d, "documents").select("doc_id", "uri"), "doc_id")
 
 
 _TERMS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
-_QUESTIONS_SQL = "q AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in QUESTIONS) + ") v(query_id, text)), asked AS (SELECT DISTINCT query_id, unnest(" + _TERMS + ") AS term FROM q)"
+_QUESTIONS_SQL = "q AS (SELECT doc_id AS query_id, title AS text FROM documents WHERE doc_id % 20 = 0 AND title IS NOT NULL), asked AS (SELECT DISTINCT query_id, unnest(" + _TERMS + ") AS term FROM q)"
 _BM25 = f"""
     WITH {_QUESTIONS_SQL},
     items AS (SELECT DISTINCT chunk_id AS item_id, text FROM chunks WHERE text IS NOT NULL),
@@ -52,27 +59,37 @@ _DENSE = """
     WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
     scored AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, a.label AS ql, b.label AS il, round(list_cosine_similarity(a.e, b.e), 6) AS score FROM v a, v b WHERE a.vec_id % 20 = 0)"""
 _FUSED = """,
-    fused AS (SELECT query_id, item_id, a.rank AS ra, b.rank AS rb, round(coalesce(1.0 / ({0} + a.rank - 1), 0) + coalesce(1.0 / ({0} + b.rank - 1), 0), 9) AS score FROM a FULL JOIN b USING (query_id, item_id))
-    SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ra NULLS LAST, rb NULLS LAST, item_id) AS rank FROM fused QUALIFY rank <= {1}"""
+    fused AS (SELECT query_id, item_id, a.rank AS ra, b.rank AS rb, a.score AS sa, b.score AS sb, round(coalesce(1.0 / ({0} + a.rank - 1), 0) + coalesce(1.0 / ({0} + b.rank - 1), 0), 9) AS score FROM a FULL JOIN b USING (query_id, item_id))
+    SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY fused.score DESC, ra NULLS LAST, rb NULLS LAST, item_id) AS rank FROM fused QUALIFY rank <= {1}"""
+
+
+def _hybrid(s, d, constant, k, every_term=False):
+    """Dense and keyword hits of the same questions over the same chunks, fused."""
+    depth, chunks = (40 if constant == S.FUSE_OPEN else k), _chunk_vectors(s, d)
+    near = S.dense_topk(_first_vectors(s, d), chunks.select("item_id", "vector"), depth)
+    words = S.bm25(_questions(s, d), _items(s, d), depth, every_term=every_term)
+    return near, words, S.fuse(near, words, constant, k)
+
+
+def _shown(s, d):
+    near, words, fused = _hybrid(s, d, S.FUSE_VAULT, 5, every_term=True)
+    return S.shown_scores(fused, near, words)
 
 
-def _hybrid(s, d, constant, k):
-    vectors, asked = _vectors(s, d), _vector_queries(s, d)
-    near = S.dense_topk(asked.select("query_id", "vector"), vectors, 40 if constant == S.FUSE_OPEN else k)
-    same = S.dense_topk(asked.select("query_id", "vector", "label"), vectors, 40 if constant == S.FUSE_OPEN else k, ["label"])
-    return S.fuse(near, same, constant, k)
+_NEAR = """, v AS (
+        SELECT DISTINCT ON (chunk_id) chunk_id, doc_id, chunk_index, list_transform(vector, lambda x: CAST(x AS DOUBLE)) AS e FROM chunks
+        WHERE len(vector) > 0 AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    near AS (SELECT a.doc_id AS query_id, b.chunk_id AS item_id, round(coalesce(CASE WHEN len(list_filter(a.e, lambda x: x <> 0)) > 0 AND len(list_filter(b.e, lambda x: x <> 0)) > 0 THEN list_cosine_similarity(a.e, b.e) END, 0), 6) AS score
+             FROM v a JOIN v b ON len(a.e) = len(b.e) WHERE a.doc_id % 20 = 0 AND a.chunk_index = 0)"""
 
 
-def _fused_sql(constant, k, branch):
-    return (
-        _DENSE
-        + ", a AS ("
-        + _RANKED.format("scored", branch)
-        + "), b AS ("
-        + _RANKED.format("(SELECT * FROM scored WHERE ql = il)", branch)
-        + ")"
-        + _FUSED.format(constant, k)
-    )
+def _fused_sql(constant, k, branch, every_term=False, shown=False):
+    words = "(SELECT s.* FROM scored s JOIN needed USING (query_id) WHERE terms = n_terms)" if every_term else "scored"
+    fused = _BM25 + _NEAR + ", a AS (" + _RANKED.format("near", branch) + "), b AS (" + _RANKED.format(words, branch) + ")" + _FUSED.format(constant, k)
+    if shown:
+        head, tail = fused.rsplit("SELECT query_id, item_id, score, row_number()", 1)
+        fused = head + "SELECT query_id, item_id, coalesce(sa, sb) AS score, row_number()" + tail
+    return fused
 
 
 def _answers(s, d):
@@ -94,11 +111,11 @@ def _eval(s, d):
 QUERIES = {
     "dense_topk": lambda s, d: S.dense_topk(_vector_queries(s, d).select("query_id", "vector"), _vectors(s, d), 10),
     "dense_topk_filtered": lambda s, d: S.dense_topk(_vector_queries(s, d).select("query_id", "vector", "label"), _vectors(s, d), 5, ["label"]),
-    "bm25_topk": lambda s, d: S.bm25(_questions(s), _items(s, d), 10),
-    "keyword_and_topk": lambda s, d: S.bm25(_questions(s), _items(s, d), 10, every_term=True),
-    "rrf_open": lambda s, d: _hybrid(s, d, S.FUSE_OPEN, 10),
-    "rrf_vault": lambda s, d: _hybrid(s, d, S.FUSE_VAULT, 5),
-    "context_window": lambda s, d: S.with_context(_hits(s, d), _chunks(s, d), 1, 1).select("query_id", "doc_id", "hit_index", "chunk_index").distinct(),
+    "bm25_topk": lambda s, d: S.bm25(_questions(s, d), _items(s, d), 10),
+    "keyword_and_topk": lambda s, d: S.bm25(_questions(s, d), _items(s, d), 10, every_term=True),
+    "rrf_open": lambda s, d: _hybrid(s, d, S.FUSE_OPEN, 10)[2],
+    "rrf_vault": _shown,
+    "context_window": lambda s, d: S.with_context(_hits(s, d).select("query_id", "doc_id", "chunk_index").distinct(), _chunk_vectors(s, d), 1, 1),
     "hit_at_k_mrr": _eval,
     "postings": lambda s, d: S.postings(_items(s, d)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")),
 }
@@ -108,11 +125,12 @@ ORACLES = {
     "bm25_topk": _BM25 + " " + _RANKED.format("scored", 10),
     "keyword_and_topk": _BM25 + " " + _RANKED.format("(SELECT s.* FROM scored s JOIN needed USING (query_id) WHERE terms = n_terms)", 10),
     "rrf_open": _fused_sql(2, 10, 40),
-    "rrf_vault": _fused_sql(60, 5, 5),
+    "rrf_vault": _fused_sql(60, 5, 5, every_term=True, shown=True),
     "context_window": _BM25
     + ", hits AS ("
     + _RANKED.format("scored", 10)
-    + """), c AS (SELECT DISTINCT chunk_id, doc_id, chunk_index FROM chunks)
-        SELECT DISTINCT h.query_id, c.doc_id, c.chunk_index AS hit_index, n.chunk_index FROM hits h JOIN c ON h.item_id = c.chunk_id JOIN documents d ON d.doc_id = c.doc_id JOIN c n ON n.doc_id = c.doc_id AND n.chunk_index BETWEEN c.chunk_index - 1 AND c.chunk_index + 1""",
+    + """), c AS (SELECT DISTINCT chunk_id, doc_id, chunk_index, text FROM chunks),
+        hit AS (SELECT DISTINCT h.query_id, c.doc_id, c.chunk_index FROM hits h JOIN c ON h.item_id = c.chunk_id JOIN documents d ON d.doc_id = c.doc_id)
+        SELECT h.query_id, h.doc_id, h.chunk_index AS hit_index, n.chunk_index, n.text FROM hit h JOIN c n ON n.doc_id = h.doc_id AND n.chunk_index BETWEEN h.chunk_index - 1 AND h.chunk_index + 1""",
     "postings": "WITH i AS (SELECT DISTINCT chunk_id, text FROM chunks WHERE text IS NOT NULL), t AS (SELECT chunk_id, unnest(" + _TERMS + ") AS term FROM i) SELECT term, count(DISTINCT chunk_id) AS df, count(*) AS cf FROM t GROUP BY 1",
 }

@@ -42,25 +42,25 @@ def _contents(s, d):
     return lines.select("source_id", F.array_join(made, "\n").alias("text"), F.lit(100_000).alias("page_count"))
 
 
-_LEDGER = "WITH r AS (SELECT DISTINCT * FROM ledger WHERE txn_date IS NOT NULL AND merchant IS NOT NULL AND amount_cents IS NOT NULL)"
+_LEDGER = "WITH r AS (SELECT DISTINCT * FROM ledger)"
 
 QUERIES = {
-    "chunk_text": lambda s, d: S.chunk_documents(_docs(s, d).filter("extractor = 'text'")),
-    "chunk_markdown": lambda s, d: S.chunk_documents(_docs(s, d).filter("extractor = 'markdown'")),
-    "chunk_blocks": lambda s, d: S.chunk_documents(_docs(s, d).filter("extractor = 'cc-transcript'")),
+    "chunk_text": lambda s, d: S.chunk_documents(_docs(s, d).filter(S.strategy_of(F.col("extractor")) == "text")),
+    "chunk_markdown": lambda s, d: S.chunk_documents(_docs(s, d).filter(S.strategy_of(F.col("extractor")) == "markdown")),
+    "chunk_blocks": lambda s, d: S.chunk_documents(_docs(s, d).filter(S.strategy_of(F.col("extractor")) == "blocks")),
     "chunk_totals": lambda s, d: S.chunk_documents(_docs(s, d)).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("token_count").alias("most"), F.max("chunk_index").alias("last")).filter("most <= 480 and last = n - 1").select("doc_id"),
     "markdown_sections": lambda s, d: S.markdown_sections(_docs(s, d)),
     "pipe_tables": lambda s, d: S.pipe_tables(_docs(s, d)),
     "contents_page": lambda s, d: S.contents_pages(_contents(s, d)).select("source_id"),
     "page_spec": lambda s, d: S.page_islands(_pages(s, d)),
-    "unsupported_numbers": lambda s, d: S.unsupported_numbers(table(s, d, "chunks").select("chunk_id", F.col("text").alias("markdown"), F.col("locator").alias("layer")).filter("markdown is not null and layer is not null").distinct()).select("chunk_id", F.size("missing").alias("n_missing")),
+    "unsupported_numbers": lambda s, d: S.unsupported_numbers(table(s, d, "chunks").select("chunk_id", F.col("text").alias("markdown"), F.col("locator").alias("layer")).filter("markdown is not null and layer is not null").distinct()).select("chunk_id", F.array_join("missing", " ").alias("missing")),
     "similar_names": lambda s, d: S.similar_names(_docs(s, d)),
     "transcript_turns": lambda s, d: transcript_blocks(_lines(s, d)).select("path", "line", "kind", F.length("text").alias("n_chars")),
     "transcript_facts": lambda s, d: transcript_facts(_lines(s, d)).select("path", "title", "first_ts", "last_ts"),
     "receipt_validate": lambda s, d: validate_readings(_readings(s, d), F.lit("2026-12-31").cast("date")).select("id", "txn_date", "amount_cents", "currency", "needs_review"),
     "receipt_text": lambda s, d: _readings(s, d).select("id", receipt_text(F.from_json("reading", READING)).alias("text")),
     "event_windows": lambda s, d: windowed_counts(table(s, d, "events")),
-    "approvals": lambda s, d: approvals_batch(table(s, d, "events").select((F.col("user_id") % 100).cast("string").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.when(F.col("event_id") % 3 == 0, "request").when(F.col("event_id") % 3 == 1, "approve").otherwise("redeem").alias("action"))),
+    "approvals": lambda s, d: approvals_batch(table(s, d, "events").select((F.col("user_id")).cast("string").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.when(F.col("event_id") % 3 == 0, "request").when(F.col("event_id") % 3 == 1, "approve").otherwise("redeem").alias("action"))),
 }
 ORACLES = {
     "chunk_totals": r"SELECT doc_id FROM documents WHERE regexp_matches(text, '\S')",
@@ -73,12 +73,13 @@ ORACLES = {
         WITH c AS (SELECT DISTINCT chunk_id, text, locator FROM chunks WHERE text IS NOT NULL AND locator IS NOT NULL),
         n AS (SELECT chunk_id, regexp_extract_all(text, '[0-9]+(?:[.,][0-9]+)*') AS m, regexp_extract_all(locator, '[0-9]+(?:[.,][0-9]+)*') AS h FROM c),
         f AS (SELECT chunk_id, m, list_concat(h, list_transform(h, lambda x: regexp_replace(x, '[^0-9]', '', 'g'))) AS h FROM n)
-        SELECT chunk_id, CAST(len(list_distinct(list_filter(m, lambda x: NOT list_contains(h, x) AND NOT list_contains(h, regexp_replace(x, '[^0-9]', '', 'g'))))) AS INT) AS n_missing FROM f""",
+        SELECT chunk_id, array_to_string(list_transform(list_filter(range(1, len(m) + 1), lambda i: list_position(m, m[i]) = i AND NOT list_contains(h, m[i]) AND NOT list_contains(h, regexp_replace(m[i], '[^0-9]', '', 'g'))), lambda i: m[i]), ' ') AS missing FROM f""",
     "transcript_turns": r"""
         SELECT source_id AS path, doc_id * 2 AS line, CASE WHEN doc_id % 2 = 0 THEN 'user' ELSE 'assistant' END AS kind,
                CAST(length(CASE WHEN doc_id % 2 = 0 THEN 'user: ' ELSE 'assistant: ' END || regexp_replace(text, '^\s+|\s+$', '', 'g')) AS INT) AS n_chars
         FROM documents WHERE regexp_matches(text, '\S') AND doc_id % 7 <> 0""",
     "transcript_facts": "SELECT source_id AS path, arg_max(title, doc_id) FILTER (title <> '') AS title, min('t' || lpad(doc_id::VARCHAR, 9, '0')) AS first_ts, max('t' || lpad(doc_id::VARCHAR, 9, '0')) AS last_ts FROM documents WHERE text IS NOT NULL GROUP BY 1",
-    "receipt_validate": _LEDGER + " SELECT id, txn_date, abs(amount_cents) AS amount_cents, 'USD' AS currency, 0 AS needs_review FROM r",
+    "receipt_validate": _LEDGER + """ SELECT id, coalesce(txn_date, '2026-01-01') AS txn_date, coalesce(amount_cents, 0) AS amount_cents, 'USD' AS currency,
+        CASE WHEN txn_date IS NULL OR amount_cents IS NULL OR amount_cents < 0 THEN 1 ELSE 0 END AS needs_review FROM r""",
     "event_windows": "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
 }

@@ -41,7 +41,7 @@ DATE_LIKE = r"\d{4}[-_]?\d{2}(?:[-_]?\d{2})?"
 
 def stripped(text: Column) -> Column:
     """The text without white space of any kind at its ends."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
 
 
 def document_key(source: Column, uri: Column) -> Column:
@@ -51,7 +51,7 @@ def document_key(source: Column, uri: Column) -> Column:
 
 def uuid5(name: Column, namespace: str = POINT_NAMESPACE) -> Column:
     """The name-based UUID (version 5) of a text: a SHA-1 with version and variant bits set."""
-    digest = F.sha1(F.concat(F.unhex(F.lit(namespace)), name.cast("binary")))
+    digest = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), name.cast("binary")))
     variant = F.substring(F.lit("89ab"), 1, 4)
     nibble = F.conv(F.substring(digest, 17, 1), 16, 10).cast("int") % 4
     digit = F.substring(variant, nibble + 1, F.lit(1))
@@ -89,8 +89,8 @@ def findings(text: Column) -> Column:
     item = lambda rule, detail: F.struct(F.lit(rule).alias("rule"), detail.alias("detail"))
     found = [F.when(digits.isNotNull(), item("card_number", F.concat(F.lit("Luhn-valid, "), F.length(digits).cast("string"), F.lit(" digits"))))]
     for rule, pattern in (*IDENTIFIERS, *SECRETS):
-        hit = F.regexp_extract(text, pattern, 0)
-        found.append(F.when(text.rlike(pattern), item(rule, veiled(hit))))
+        hit = F.regexp_extract(text, pattern, 0)  # no pattern matches nothing, so '' is no hit
+        found.append(F.when(hit != "", item(rule, veiled(hit))))
     for rule, terms in VOCABULARIES:
         every = F.lit(True)
         for term in terms:
@@ -168,7 +168,7 @@ def tidy_answer(text: Column) -> Column:
 def lacks_text(text: Column, least: int) -> Column:
     """Whether a page has too little text to be read and does not say that it is blank on purpose."""
     bare = stripped(text)
-    return (F.length(bare) < least) & ~F.lower(bare).rlike(r"intentionally\s+(?:left\s+)?blank")
+    return (F.length(bare) < least) & ~F.lower(bare).rlike(r"(?U)intentionally\s+(?:left\s+)?blank")
 
 
 def normalised_stem(uri: Column) -> Column:

@@ -17,6 +17,11 @@ def _docs(s, d):
     return table(s, d, "documents")
 
 
+def _a_name(s, d):
+    """A file name that some document has."""
+    return _docs(s, d).agg(F.min(F.regexp_replace("uri", "^.*/", ""))).first()[0] or ""
+
+
 def _chunks(s, d):
     """Chunks with their late and repeated rows made one: the latest by instant of indexing."""
     rows = table(s, d, "chunks").drop("vector")
@@ -46,7 +51,7 @@ QUERIES = {
     "not_active_count": lambda s, d: _docs(s, d).agg(F.count_if(F.col("lifecycle") != "active").alias("n")),
     "tiers_by_source": lambda s, d: table(s, d, "sources").select("source_id", R.tier_of(F.col("domain")).alias("tier")),
     "document_list_match": lambda s, d: R.matching_documents(_docs(s, d), match="PUMP"),
-    "path_end_match": lambda s, d: R.by_path_end(_docs(s, d), "school-guide-508.txt").select("doc_id", "uri"),
+    "path_end_match": lambda s, d: R.by_path_end(_docs(s, d), _a_name(s, d)).select("doc_id", "uri"),
     "due_for_review": lambda s, d: M.flip_due(_docs(s, d).withColumn("review_after", F.substring("indexed_at", 1, 10)), TODAY).groupBy("lifecycle").agg(F.count("*").alias("n"), F.count("review_after").alias("dated")),
     "open_quarantine": lambda s, d: R.open_quarantine(table(s, d, "quarantine")).select("id", F.array_join("rules", ",").alias("rules")),
     "latest_per_group": lambda s, d: R.latest_rows(_backup_runs(s, d), ["kind", "target"], [F.desc("id")]).select("id", "kind", "target", "status"),
@@ -81,7 +86,7 @@ ORACLES = {
     "not_active_count": "SELECT count(*) FILTER (lifecycle <> 'active') AS n FROM documents",
     "tiers_by_source": "SELECT source_id, CASE WHEN domain IN ('manuals', 'sdk-docs', 'notes', 'infra') THEN 'open' ELSE 'vault' END AS tier FROM sources",
     "document_list_match": "SELECT doc_id, domain, uri, title, status, lifecycle, chunk_count FROM documents WHERE tier = 'open' AND domain IN ('infra', 'manuals', 'notes', 'sdk-docs') AND contains(lower(uri), 'pump') AND lifecycle = 'active'",
-    "path_end_match": "SELECT doc_id, uri FROM documents WHERE uri = 'school-guide-508.txt' OR ends_with(lower(uri), '/school-guide-508.txt')",
+    "path_end_match": "WITH n AS (SELECT min(regexp_replace(uri, '^.*/', '')) AS name FROM documents) SELECT doc_id, uri FROM documents, n WHERE uri = name OR ends_with(lower(uri), '/' || lower(name))",
     "due_for_review": f"""
         WITH r AS (SELECT lifecycle, substr(indexed_at, 1, 10) AS review_after, coalesce(lifecycle = 'active' AND substr(indexed_at, 1, 10) <= '{TODAY}', false) AS due FROM documents)
         SELECT CASE WHEN due THEN 'stale' ELSE lifecycle END AS lifecycle, count(*) AS n, count(CASE WHEN NOT due THEN review_after END) AS dated FROM r GROUP BY 1""",

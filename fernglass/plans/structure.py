@@ -8,6 +8,7 @@ from ..functions.receipts import READING, receipt_text, validate_readings
 from ..operators import structure as S
 from ..sources.files import transcript_blocks, transcript_facts
 from ..sources.tables import table
+from .texts import SPACE
 from ..streaming.sync import approvals_batch, windowed_counts
 
 
@@ -76,8 +77,8 @@ ORACLES = {
         SELECT chunk_id, array_to_string(list_transform(list_filter(range(1, len(m) + 1), lambda i: list_position(m, m[i]) = i AND NOT list_contains(h, m[i]) AND NOT list_contains(h, regexp_replace(m[i], '[^0-9]', '', 'g'))), lambda i: m[i]), ' ') AS missing FROM f""",
     "transcript_turns": r"""
         SELECT source_id AS path, doc_id * 2 AS line, CASE WHEN doc_id % 2 = 0 THEN 'user' ELSE 'assistant' END AS kind,
-               CAST(length(CASE WHEN doc_id % 2 = 0 THEN 'user: ' ELSE 'assistant: ' END || regexp_replace(text, '^\s+|\s+$', '', 'g')) AS INT) AS n_chars
-        FROM documents WHERE regexp_matches(text, '\S') AND doc_id % 7 <> 0""",
+               CAST(length(CASE WHEN doc_id % 2 = 0 THEN 'user: ' ELSE 'assistant: ' END || regexp_replace(text, '^__S__+|__S__+$', '', 'g')) AS INT) AS n_chars
+        FROM documents WHERE regexp_replace(text, '^__S__+|__S__+$', '', 'g') <> '' AND doc_id % 7 <> 0""".replace("__S__", SPACE),
     "transcript_facts": "SELECT source_id AS path, arg_max(title, doc_id) FILTER (title <> '') AS title, min('t' || lpad(doc_id::VARCHAR, 9, '0')) AS first_ts, max('t' || lpad(doc_id::VARCHAR, 9, '0')) AS last_ts FROM documents WHERE text IS NOT NULL GROUP BY 1",
     "receipt_validate": _LEDGER + """ SELECT id, coalesce(txn_date, '2026-01-01') AS txn_date, coalesce(amount_cents, 0) AS amount_cents, 'USD' AS currency,
         CASE WHEN txn_date IS NULL OR amount_cents IS NULL OR amount_cents < 0 THEN 1 ELSE 0 END AS needs_review FROM r""",

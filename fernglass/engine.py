@@ -54,6 +54,10 @@ class Engine:
         order = [F.col("uri"), F.coalesce("chunk_index", F.lit(0))]
         return search.rank_hits(wide, limit, order).join(items.drop("vector"), "item_id")
 
+    def projected(self, hits: DataFrame) -> DataFrame:
+        """What a model gets of hits: text, citation and keys, no vectors and no paths but those of the citation."""
+        return report.model_rows(hits)
+
     def context(self, hits: DataFrame, before: int = 1, after: int = 1, tier: str = "open") -> DataFrame:
         """Chunks around hits; of the vault only active documents' ones, and without a cap on the width."""
         chunks = self.table("chunks").select("chunk_id", "doc_id", "chunk_index", "text").dropDuplicates(["chunk_id"])

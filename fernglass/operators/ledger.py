@@ -109,3 +109,8 @@ def running_total(ledger: DataFrame) -> DataFrame:
     """``month, total_cents, change_cents``: each month beside the month before, of which there are as many as months in a century or two, whatever the rows."""
     months = ledger.groupBy(month_of(F.col("txn_date")).alias("month")).agg(F.sum("amount_cents").alias("total_cents"))
     return months.withColumn("change_cents", F.col("total_cents") - F.lag("total_cents").over(Window.orderBy("month")))
+
+
+def cube(ledger: DataFrame, by: list[str], least: int = 1) -> DataFrame:
+    """The columns of ``by``, ``level``, ``n`` and ``total_cents`` of every combination of them, those of at least ``least`` rows, in one pass."""
+    return ledger.cube(*by).agg(F.grouping_id().alias("level"), F.count("*").alias("n"), F.sum("amount_cents").alias("total_cents")).filter(F.col("n") >= least)

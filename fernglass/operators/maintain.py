@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import re
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -181,3 +185,83 @@ def flip_due(documents: DataFrame, today: str) -> DataFrame:
 def run_counters(outcomes: DataFrame, names: list[str]) -> DataFrame:
     """A row per source with a counter for each outcome, from rows ``source_id, outcome``."""
     return outcomes.groupBy("source_id").agg(F.count("*").alias("total"), *(F.count_if(F.col("outcome") == n).alias(n) for n in names))
+
+
+def schedule_reviews(documents: DataFrame, dates: DataFrame) -> DataFrame:
+    """Documents with the review dates of ``doc_id, review_after``; a null date clears."""
+    return stamp(documents, dates, ["review_after"])
+
+
+def resolve_quarantine(quarantine: DataFrame, resolved: DataFrame, at: str) -> DataFrame:
+    """Quarantine rows of ``id, resolution`` marked as resolved; rows that are resolved keep when and how."""
+    open_ = quarantine.filter("resolved_at is null").select("id").join(resolved.select("id", "resolution"), "id").select("id", "resolution", F.lit(at).alias("resolved_at")).distinct()
+    return stamp(quarantine, open_, ["resolved_at", "resolution"], key="id")
+
+
+def start_sources(sources: DataFrame, started: DataFrame, run_id: str, at: str) -> DataFrame:
+    """Sources with those of ``source_id, domain, source_type`` marked as running; new ones are added."""
+    fresh = started.select("source_id", "domain", "source_type", F.lit(run_id).alias("last_run_id"), F.lit(at).alias("last_started_at"), F.lit("running").alias("last_status"), F.lit(None).cast("string").alias("last_error"))
+    return merge_columns(sources, fresh, "source_id")
+
+
+def finish_sources(sources: DataFrame, outcomes: DataFrame, at: str) -> DataFrame:
+    """Sources with the outcomes ``source_id, last_status, last_error, docs_seen``; what a source has besides stays."""
+    return merge_columns(sources, outcomes.withColumn("last_finished_at", F.lit(at)), "source_id")
+
+
+def fingerprint(settings: dict[str, object]) -> str:
+    """The settings that a collection's vectors depend on, as sorted JSON text."""
+    return json.dumps(settings, sort_keys=True, separators=(",", ":"), default=str)
+
+
+def collection_for(stored: str | None, settings: dict[str, object], *, recreate: bool = False) -> str:
+    """What to do with a collection: create, keep or recreate; other settings than the stored ones raise unless it may be made anew."""
+    if stored is None:
+        return "create"
+    if stored == fingerprint(settings):
+        return "keep"
+    if not recreate:
+        raise ValueError(f"the collection was made with other settings: {stored}")
+    return "recreate"
+
+
+def migrated(rows: DataFrame, columns: dict[str, tuple[str, object]]) -> DataFrame:
+    """Rows with the columns ``name: (type, value)`` that they lack; columns that are there stay as they are."""
+    return rows.withColumns({name: F.lit(value).cast(kind) for name, (kind, value) in columns.items() if name not in rows.columns})
+
+
+def reread_candidates(documents: DataFrame, blobs: DataFrame, domains: list[str], suffixes: tuple[str, ...]) -> DataFrame:
+    """``source_id, domain, doc_ids`` of active documents of the domains whose originals are kept and have one of the suffixes."""
+    kept = documents.filter(F.col("domain").isin(*domains) & (F.col("lifecycle") == "active") & F.lower("uri").rlike("(?:" + "|".join(re.escape(x) for x in suffixes) + ")$"))
+    return kept.join(blobs.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("source_id", "domain").agg(F.array_sort(F.collect_list("doc_id")).alias("doc_ids"))
+
+
+def packed_vectors(rows: DataFrame, column: str = "vector") -> DataFrame:
+    """Rows with vectors as bytes, four for each number, the least first; null vectors stay null."""
+
+    @F.pandas_udf("binary")
+    def pack(vectors: pd.Series) -> pd.Series:
+        return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+
+    return rows.withColumn(column, pack(column))
+
+
+def unpacked_vectors(rows: DataFrame, column: str = "vector") -> DataFrame:
+    """The inverse of ``packed_vectors``; bytes that are no whole numbers raise."""
+
+    @F.pandas_udf("array<float>")
+    def unpack(vectors: pd.Series) -> pd.Series:
+        return vectors.map(lambda v: None if v is None else np.frombuffer(v, "<f4"))
+
+    return rows.withColumn(column, unpack(column))
+
+
+def with_extra(rows: DataFrame, known: list[str]) -> DataFrame:
+    """Rows with their columns beyond ``known`` in one JSON text ``extra``, without nulls; ``{}`` where there are none."""
+    others = [c for c in rows.columns if c not in known]
+    return rows.select(*known, F.to_json(F.struct(*others)).alias("extra") if others else F.lit("{}").alias("extra"))
+
+
+def extra_field(extra: Column, name: str, kind: str = "string") -> Column:
+    """A field of ``extra``, null where there is none or it is of another kind."""
+    return F.try_variant_get(F.try_parse_json(extra), f"$.{name}", kind)

@@ -103,3 +103,57 @@ def recorded_sources(configured: DataFrame, recorded: DataFrame, counts: DataFra
     r = recorded.select("source_id", F.col("domain").alias("_r"), "last_run_id", "last_status").join(shut, "source_id", "left_anti")
     both = c.join(r, "source_id", "full").join(counts, "source_id", "left")
     return both.select("source_id", F.coalesce("_c", "_r").alias("domain"), F.coalesce("configured", F.lit(False)).alias("configured"), "last_run_id", "last_status", F.coalesce("n", F.lit(0)).alias("chunks"))
+
+
+def flagged_pages(documents: DataFrame) -> DataFrame:
+    """``uri, domain, flagged_pages`` of documents with pages to look at, most first; a retracted one is read no more, so there is nothing to look at."""
+    rows = documents.filter((F.col("flagged_pages") > 0) & ~F.coalesce(F.col("lifecycle") == "retracted", F.lit(False)))
+    return rows.select("uri", "domain", "flagged_pages").orderBy(F.desc("flagged_pages"), "uri")
+
+
+def inventory(documents: DataFrame, tier: str = "vault", domain: str | None = None, include_all: bool = False) -> DataFrame:
+    """Documents of the guarded tier by domain and path; active ones unless ``include_all``."""
+    rows = documents.filter(F.col("tier") == tier)
+    rows = rows.filter(F.col("domain") == domain) if domain else rows
+    rows = rows if include_all else rows.filter("lifecycle = 'active'")
+    return rows.select("doc_id", "uri", "domain", "lifecycle", "chunk_count", "status", "indexed_at").orderBy("domain", "uri", "doc_id")
+
+
+def backup_rows(attempts: DataFrame) -> DataFrame:
+    """What of backups may be shown: the columns on the list, whatever else there is; details can name places."""
+    return attempts.select("kind", "target", "status", "run_at", "last_ok_at", "age_days", "level")
+
+
+def sources_in_order(sources: DataFrame) -> DataFrame:
+    return sources.orderBy("source_id")
+
+
+def index_status(documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``part, name, n``: documents by status and by lifecycle and chunks by domain, in one table."""
+    part = lambda rows, name, column: rows.groupBy(F.lit(name).alias("part"), F.col(column).alias("name")).agg(F.count("*").alias("n"))
+    return part(documents, "status", "status").unionByName(part(documents, "lifecycle", "lifecycle")).unionByName(part(chunks, "chunks", "domain"))
+
+
+def evaluation_history(runs: DataFrame) -> DataFrame:
+    """Evaluations ``id, questions_hash, mrr`` with ``change``, against the one before of the same questions."""
+    before = F.lag("mrr").over(Window.partitionBy("questions_hash").orderBy("id"))
+    return runs.withColumn("change", F.round(F.col("mrr") - before, 6))
+
+
+def due_sources(sources: DataFrame, now: Column) -> DataFrame:
+    """Sources ``source_id, cadence, last_started`` whose cadence (``15 minutes``, ``2 hours``, ``1 day``) has passed since they last started, or that never did.
+
+    No cadence, or one that can't be read, means at every run."""
+    number, unit = F.regexp_extract("cadence", r"^\s*(\d+)\s*(minute|hour|day)s?\s*$", 1), F.regexp_extract("cadence", r"^\s*(\d+)\s*(minute|hour|day)s?\s*$", 2)
+    seconds = number.try_cast("long") * F.when(unit == "minute", 60).when(unit == "hour", 3600).when(unit == "day", 86_400)
+    passed = F.unix_seconds(now) - F.unix_seconds("last_started") >= F.coalesce(seconds, F.lit(0))
+    return sources.filter(F.col("last_started").isNull() | passed)
+
+
+def with_domain_check(requests: DataFrame, tier: str) -> DataFrame:
+    """Requests ``domains`` (an array; null or empty asks for all of the tier) with ``searched`` and ``refusal``: unknown domains, and those of the other tier, refuse."""
+    known = F.array(*map(F.lit, domains_in(tier)))
+    asked = F.coalesce("domains", F.array().cast("array<string>"))
+    wrong = F.array_sort(F.array_except(asked, known))
+    rows = requests.withColumn("refusal", F.when(F.size(wrong) > 0, F.concat(F.lit(f"no domain of the {tier} tier: "), F.array_join(wrong, ", "))))
+    return rows.withColumn("searched", F.when(F.col("refusal").isNull(), F.when(F.size(asked) == 0, known).otherwise(F.array_sort(F.array_distinct(asked)))))

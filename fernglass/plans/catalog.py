@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import intake, ledger, maintenance, search, state, structure, texts
+from . import access, intake, ledger, maintenance, search, state, structure, texts
 
-_MODULES = (ledger, texts, maintenance, state, search, structure, intake)
+_MODULES = (ledger, texts, maintenance, state, search, structure, intake, access)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}

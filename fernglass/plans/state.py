@@ -8,6 +8,7 @@ from ..operators import maintain as M
 from ..operators import report as R
 from ..operators.incremental import instant
 from ..sources.tables import table
+from .texts import ORACLES as ORACLES_OF_TEXTS
 
 TODAY = "2026-04-01"
 RUN = "20260311T150300Z-dc0177ec"
@@ -83,6 +84,9 @@ ORACLES = {
     "count_by_status": "SELECT status, count(*) AS n FROM documents GROUP BY 1",
     "count_by_lifecycle": "SELECT lifecycle, count(*) AS n FROM documents WHERE tier = 'open' GROUP BY 1",
     "chunks_by_domain_zero_filled": _DUCK_CHUNKS + " SELECT v.domain, count(c.chunk_id) AS n FROM (VALUES ('infra'), ('manuals'), ('notes'), ('sdk-docs')) v(domain) LEFT JOIN c ON c.domain = v.domain GROUP BY 1",
+    "model_rows": """
+        WITH c AS (SELECT DISTINCT chunk_id, doc_id, chunk_index FROM chunks), cited AS (""" + ORACLES_OF_TEXTS["citation_format"] + """)
+        SELECT c.doc_id, chunk_index, citation, round(chunk_index / 7, 3) AS score, CASE WHEN lifecycle <> 'active' THEN lifecycle END AS lifecycle FROM c JOIN cited USING (chunk_id) JOIN documents d ON c.doc_id = d.doc_id""",
     "not_active_count": "SELECT count(*) FILTER (lifecycle <> 'active') AS n FROM documents",
     "tiers_by_source": "SELECT source_id, CASE WHEN domain IN ('manuals', 'sdk-docs', 'notes', 'infra') THEN 'open' ELSE 'vault' END AS tier FROM sources",
     "document_list_match": "SELECT doc_id, domain, uri, title, status, lifecycle, chunk_count FROM documents WHERE tier = 'open' AND domain IN ('infra', 'manuals', 'notes', 'sdk-docs') AND contains(lower(uri), 'pump') AND lifecycle = 'active'",

@@ -169,6 +169,27 @@ def extract_texts(files: DataFrame) -> DataFrame:
     return files.select("rel_uri", F.when(heading != "", heading).otherwise(stem).alias("title"), F.when(~bad, text).alias("text"), F.when(bad, "empty").otherwise("ok").alias("status"), F.when(markdown, "markdown").otherwise("text").alias("extractor"), "mtime", "size_bytes")
 
 
+def extract_transcripts(files: DataFrame) -> DataFrame:
+    """As ``extract_texts``, of transcripts: turns in order, apart by blank lines, under the title that the transcript gives itself or its file's name."""
+    content = F.when(F.col("size_bytes") <= LARGEST, F.decode(F.col("content"), "UTF-8"))
+    lines = files.select(F.col("rel_uri").alias("path"), F.posexplode(F.split(content, r"\r?\n")).alias("line", "value"))
+    turns = transcript_blocks(lines).groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "part", "text"))), lambda b: b["text"]), "\n\n").alias("text"))
+    named = transcript_facts(lines).select("path", F.col("title").alias("_said"))
+    stem = F.regexp_replace(F.regexp_replace("rel_uri", "^.*/", ""), r"(?<=.)\.[^.]*$", "")
+    rows = files.select("rel_uri", "mtime", "size_bytes").join(turns.withColumnRenamed("path", "rel_uri"), "rel_uri", "left").join(named.withColumnRenamed("path", "rel_uri"), "rel_uri", "left")
+    return rows.select("rel_uri", F.coalesce("_said", stem).alias("title"), "text", F.when(F.col("text").isNull(), "empty").otherwise("ok").alias("status"), F.lit("cc-transcript").alias("extractor"), "mtime", "size_bytes")
+
+
+def extract(files: DataFrame) -> DataFrame:
+    """Documents of files by the extractor of their suffix; files without one are left out. Each extractor sees its own files alone."""
+    named = files.withColumn("_extractor", extractor_of(F.col("rel_uri")))
+    parts = [run(named.filter(F.col("_extractor") == name).drop("_extractor")) for name, (_, run) in _REGISTRY.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 register("markdown", SUFFIXES["markdown"], extract_texts)
 register("text", SUFFIXES["text"], extract_texts)
 
@@ -211,3 +232,6 @@ def transcript_facts(lines: DataFrame) -> DataFrame:
         first("sessionId").alias("session_id"), first("cwd").alias("cwd"), first("gitBranch").alias("git_branch"), first("timestamp").alias("first_ts"),
         F.max_by(get("timestamp"), F.when(F.coalesce(get("timestamp"), F.lit("")) != "", F.col("line"))).alias("last_ts"),
     )
+
+
+register("cc-transcript", SUFFIXES["cc-transcript"], extract_transcripts)

@@ -118,7 +118,8 @@ def _encoded(texts: DataFrame, total: int, path: str, counts_only: bool, block_c
     blocks = max(1, -(-total // block_chars))
     parts = min(MOST_PARTITIONS, max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks))
     texts = texts.withColumn("_block", F.pmod(F.xxhash64("doc_id", F.length("_text"), "_piece"), F.lit(blocks))).repartition(parts, "_block").sortWithinPartitions("_block")
-    words = texts.select("_block", "_text").mapInArrow(_block_words, "_block long, _word string")
+    # all columns go along, so that both sides read one exchange
+    words = texts.mapInArrow(_block_words, "_block long, _word string")
     # the distinct-word table is laid out by word: a word's rows, one for each block, meet where it is encoded, for so many blocks at once
     words = words.withColumn("_share", F.floor(F.col("_block") / BLOCKS_OF_A_WORD)).repartition(parts, "_word", "_share").sortWithinPartitions("_word")
     words = words.select("_block", "_word").mapInArrow(_encode_words(path), "_block long, _word string, _ids array<int>")

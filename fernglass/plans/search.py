@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import search as S
 from ..sources.tables import table
 from .state import _chunks
+from .texts import WIDE
 
 def _questions(s, d):
     """The title of every document whose id is divisible by 20, as a question to all chunks."""
@@ -42,9 +43,13 @@ def _hits(s, d):
 
 
 _TERMS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
-_QUESTIONS_SQL = "q AS (SELECT doc_id AS query_id, title AS text FROM documents WHERE doc_id % 20 = 0 AND title IS NOT NULL), asked AS (SELECT DISTINCT query_id, unnest(" + _TERMS + ") AS term FROM q)"
-_BM25 = f"""
-    WITH {_QUESTIONS_SQL},
+_TITLES = "SELECT doc_id AS query_id, title AS text FROM documents WHERE doc_id % 20 = 0 AND title IS NOT NULL"
+
+
+def _bm25_sql(questions: str) -> str:
+    """The scores of all items for questions ``query_id, text``."""
+    return f"""
+    WITH q AS ({questions}), asked AS (SELECT DISTINCT query_id, unnest({_TERMS}) AS term FROM q),
     items AS (SELECT DISTINCT chunk_id AS item_id, text FROM chunks WHERE text IS NOT NULL),
     cut AS (SELECT item_id, {_TERMS} AS t FROM items),
     stats AS (SELECT count(*) AS n, avg(len(t)) AS a FROM cut),
@@ -54,6 +59,11 @@ _BM25 = f"""
         SELECT query_id, item_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 6) AS score, count(*) AS terms
         FROM asked JOIN posted USING (term) JOIN df USING (term), stats GROUP BY 1, 2),
     needed AS (SELECT query_id, count(*) AS n_terms FROM asked GROUP BY 1)"""
+
+
+_BM25 = _bm25_sql(_TITLES)
+#: Passages without white space and with plain quotes, as they are compared.
+_SQUASHED = "regexp_replace(lower(translate(@, '‘’“”', chr(39) || chr(39) || '\"\"')), '" + WIDE + "+', '', 'g')"
 _RANKED = "SELECT CAST(query_id AS BIGINT) AS query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM {0} QUALIFY rank <= {1}"
 _DENSE = """
     WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
@@ -126,6 +136,13 @@ ORACLES = {
     "keyword_and_topk": _BM25 + " " + _RANKED.format("(SELECT s.* FROM scored s JOIN needed USING (query_id) WHERE terms = n_terms)", 10),
     "rrf_open": _fused_sql(2, 10, 40),
     "rrf_vault": _fused_sql(60, 5, 5, every_term=True, shown=True),
+    "hit_at_k_mrr": _bm25_sql("SELECT DISTINCT doc_id AS query_id, text FROM chunks WHERE chunk_index = 0 AND doc_id % 20 = 0 AND regexp_matches(text, '\\S')")
+    + ", hits AS ("
+    + _RANKED.format("scored", 10)
+    + f"""), u AS (SELECT DISTINCT chunk_id, c.text, uri FROM chunks c JOIN documents d ON c.doc_id = d.doc_id WHERE c.text IS NOT NULL),
+        known AS (SELECT query_id, uri, {_SQUASHED.replace("@", "CASE WHEN length(q.text) > 80 THEN substr(q.text, 20, 40) ELSE q.text END")} AS want FROM q JOIN documents d ON d.doc_id = q.query_id),
+        found AS (SELECT k.query_id, min(CASE WHEN u.uri = k.uri AND contains({_SQUASHED.replace("@", "u.text")}, k.want) THEN h.rank END) AS r FROM known k LEFT JOIN hits h ON h.query_id = k.query_id LEFT JOIN u ON u.chunk_id = h.item_id GROUP BY 1)
+        SELECT count(*) AS questions, round(avg(CASE WHEN r <= 1 THEN 1.0 ELSE 0.0 END), 6) AS hit_at_1, round(avg(CASE WHEN r <= 3 THEN 1.0 ELSE 0.0 END), 6) AS hit_at_3, round(avg(coalesce(1 / r, 0.0)), 6) AS mrr FROM found""",
     "context_window": _BM25
     + ", hits AS ("
     + _RANKED.format("scored", 10)

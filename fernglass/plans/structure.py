@@ -39,7 +39,7 @@ def _pages(s, d):
 def _contents(s, d):
     """Pages of leader lines made of sources' documents: titles with their place, beside pages of plain lines."""
     lines = _docs(s, d).filter("title is not null").groupBy("source_id").agg(F.array_sort(F.collect_list(F.struct("doc_id", "title"))).alias("t"))
-    made = F.transform("t", lambda x, i: F.concat(x["title"], F.when(F.crc32("source_id") % 2 == 0, F.lit(" ..... ")).otherwise(F.lit(" ")), (i + 1).cast("string")))
+    made = F.transform("t", lambda x, i: F.concat(x["title"], F.when(F.length("source_id") % 2 == 0, F.lit(" ..... ")).otherwise(F.lit(" ")), (i + 1).cast("string")))
     return lines.select("source_id", F.array_join(made, "\n").alias("text"), F.lit(100_000).alias("page_count"))
 
 
@@ -82,5 +82,10 @@ ORACLES = {
     "transcript_facts": "SELECT source_id AS path, arg_max(title, doc_id) FILTER (title <> '') AS title, min('t' || lpad(doc_id::VARCHAR, 9, '0')) AS first_ts, max('t' || lpad(doc_id::VARCHAR, 9, '0')) AS last_ts FROM documents WHERE text IS NOT NULL GROUP BY 1",
     "receipt_validate": _LEDGER + """ SELECT id, coalesce(txn_date, '2026-01-01') AS txn_date, coalesce(amount_cents, 0) AS amount_cents, 'USD' AS currency,
         CASE WHEN txn_date IS NULL OR amount_cents IS NULL OR amount_cents < 0 THEN 1 ELSE 0 END AS needs_review FROM r""",
+    "contents_page": "SELECT source_id FROM documents WHERE title IS NOT NULL GROUP BY 1 HAVING length(source_id) % 2 = 0 AND count(*) >= 5",
+    "receipt_text": """
+        WITH r AS (SELECT DISTINCT * FROM ledger)
+        SELECT id, concat_ws(chr(10), CASE WHEN coalesce(merchant, '') <> '' THEN merchant ELSE 'Unknown merchant' END, 'Date: ' || nullif(txn_date, ''),
+               'Total: ' || format('${:,.2f}', amount_cents / 100.0), 'Paid with: ' || nullif(payment_method, ''), 'Category: ' || nullif(category, '')) AS text FROM r""",
     "event_windows": "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
 }

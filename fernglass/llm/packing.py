@@ -16,6 +16,8 @@ from ..session import cut
 CAPACITY = 2048
 #: Length classes, and the most documents of a pattern.
 CLASSES, DEPTH = 48, 6
+#: Entries of a plan up to which every task gets it whole.
+PLANNED = 200_000
 
 
 def patterns(classes: int, depth: int) -> np.ndarray:
@@ -217,8 +219,8 @@ def pack(items: DataFrame, capacity: int = CAPACITY, classes: int = CLASSES, dep
     table = spark.createDataFrame(entries or [(-1, 0, 0)], "n_tokens long, first long, container long")
     table = table.groupBy("n_tokens").agg(F.array_sort(F.collect_list(F.struct("first", "container"))).alias("_plan"))
     ranked = rows.withColumn("_in", F.row_number().over(Window.partitionBy("n_tokens", "_bucket").orderBy("doc_id", "piece")) - 1)
-    # the start table has a row per size and bucket and the plan a row per size: bounded by (capacity + 1) x buckets
-    ranked = ranked.join(starts, ["n_tokens", "_bucket"]).join(F.broadcast(table), "n_tokens").withColumn("_rank", F.col("_start") + F.col("_in"))
+    # the start table has a row per size and bucket: bounded by (capacity + 1) x buckets; the plan's size is known here
+    ranked = ranked.join(starts, ["n_tokens", "_bucket"]).join(F.broadcast(table) if len(entries) <= PLANNED else table, "n_tokens").withColumn("_rank", F.col("_start") + F.col("_in"))
     entry = F.element_at(F.filter("_plan", lambda e: e["first"] <= F.col("_rank")), -1)
     container = F.when(entry["container"] < 0, F.lit(0)).otherwise(entry["container"] + F.col("_rank") - entry["first"])
     return ranked.select("doc_id", "piece", (F.col("piece") * F.lit(capacity)).cast("long").alias("first_token"), "n_tokens", container.alias("container"))

@@ -25,7 +25,7 @@ def spans(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[i
     The offsets of the tokens are the prefix sums of size, so token k is where size k is reached. Each kind of boundary is a
     sorted array of token numbers; the end of a piece is the last boundary up to ``limit`` by binary search, of the strongest
     kind that lies in the piece's second half, else of any kind, else a hard cut. The next piece starts at the first
-    boundary within ``overlap`` before that end, else ``overlap`` before it."""
+    boundary within ``overlap`` before that end that leaves at least half of it, else ``overlap`` before it."""
     found = [m.span() for m in _TOKENS.finditer(text)]
     n = len(found)
     if n <= limit:
@@ -52,7 +52,7 @@ def spans(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[i
             end = high
         pieces.append((found[at][0], found[end - 1][1], end - at))
         k = np.searchsorted(every, end - overlap)
-        step = int(every[k]) if k < len(every) and every[k] < end else end - overlap
+        step = int(every[k]) if k < len(every) and every[k] <= end - (overlap + 1) // 2 else end - overlap
         at, done = max(step, at + 1), end
 
 

@@ -24,6 +24,12 @@ def test_pieces_are_under_the_limit_in_order_and_whole(text, limit, overlap):
     assert all(k in covered or text[k].isspace() for k in range(len(text)))
 
 
+def test_overlaps_are_worth_having():
+    text = "word " * 95 + "end. tail. " + "word " * 400  # a boundary right before the cut is none to start again from
+    found = spans(text, 100, 20)
+    assert all(10 <= size(text[b[0] : a[1]]) <= 20 for a, b in zip(found, found[1:]))
+
+
 def test_cuts_at_natural_boundaries():
     text = "One two three. " * 40 + "\n\n" + "Four five six. " * 40
     ends = [text[:z].rstrip()[-1] for _, z, _ in spans(text, 100, 10)]

@@ -196,13 +196,22 @@ register("text", SUFFIXES["text"], extract_texts)
 _CONTENT = "array<struct<type:string,text:string,thinking:string,name:string,input:map<string,string>,is_error:boolean,content:string>>"
 
 
+_RECORD = "type string, isMeta string, isSidechain string, message struct<role:string,content:string>, aiTitle string, sessionId string, cwd string, gitBranch string, timestamp string"
+
+
+def _records(lines: DataFrame) -> DataFrame:
+    """Lines that are JSON objects with what is read of them, parsed once; a content that is a list stays JSON text."""
+    return lines.filter(F.col("value").rlike(r"^\s*\{")).withColumn("_r", F.from_json("value", _RECORD)).filter("_r is not null")
+
+
 def transcript_blocks(lines: DataFrame, thinking: bool = False, sidechains: bool = False) -> DataFrame:
     """``path, line, part, kind, text`` of transcript lines ``path, line, value``: turns, tool calls in one line, and errors of tools.
 
     Lines that are no JSON object, bookkeeping records, meta and side-chain rows are left out."""
-    get = lambda f: F.get_json_object("value", f"$.{f}")
-    rows = lines.withColumns({"_type": get("type"), "_role": F.coalesce(get("message.role"), get("type")), "_content": get("message.content")})
-    rows = rows.filter(F.col("value").rlike(r"^\s*\{") & ~F.coalesce(F.col("_type").isin("ai-title", *DROPPED_RECORDS), F.lit(False)) & (F.coalesce(get("isMeta"), F.lit("false")) != "true"))
+    rows = _records(lines)
+    get = lambda f: F.col(f"_r.{f}")
+    rows = rows.withColumns({"_role": F.coalesce(get("message.role"), get("type")), "_content": get("message.content")})
+    rows = rows.filter(~F.coalesce(get("type").isin("ai-title", *DROPPED_RECORDS), F.lit(False)) & (F.coalesce(get("isMeta"), F.lit("false")) != "true"))
     if not sidechains:
         rows = rows.filter(F.coalesce(get("isSidechain"), F.lit("false")) != "true")
     plain = rows.filter(F.col("_content").isNotNull() & ~F.col("_content").rlike(r"^\s*\[\s*\{"))
@@ -224,9 +233,9 @@ def transcript_blocks(lines: DataFrame, thinking: bool = False, sidechains: bool
 
 def transcript_facts(lines: DataFrame) -> DataFrame:
     """``path, title, session_id, cwd, git_branch, first_ts, last_ts`` of each transcript: the last title and the first of the others, by line."""
-    get = lambda f: F.get_json_object("value", f"$.{f}")
+    get = lambda f: F.col(f"_r.{f}")
     first = lambda f: F.min_by(get(f), F.when(F.coalesce(get(f), F.lit("")) != "", F.col("line")))
-    rows = lines.filter(F.col("value").rlike(r"^\s*\{"))
+    rows = _records(lines)
     return rows.groupBy("path").agg(
         F.max_by(get("aiTitle"), F.when(F.coalesce(get("aiTitle"), F.lit("")) != "", F.col("line"))).alias("title"),
         first("sessionId").alias("session_id"), first("cwd").alias("cwd"), first("gitBranch").alias("git_branch"), first("timestamp").alias("first_ts"),

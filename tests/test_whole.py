@@ -88,52 +88,3 @@ def test_questions_are_whole_passages(spark, tables):
     folder = tables(chunks=spark.createDataFrame(rows, CHUNKS), documents=spark.createDataFrame([(r[1], f"{r[1]}.txt") for r in rows], "doc_id long, uri string"))
     # by its first 120 characters alone document 20 comes after the twelve shorter ones
     assert tuple(QUERIES["hit_at_k_mrr"](spark, folder).first()) == (2, 1.0, 1.0, 1.0)
-
-
-def test_everyday_words_beyond_the_broadcast(spark, monkeypatch):
-    pii = pytest.importorskip("fernglass.llm.pii")
-    says = ["The pump was replaced by Mr Kaktup with few remarks.", "Ask Dr Gasket about the gasket and the flange.", "the gasket and the flange are new", "Signed by Leonard Tupgot, +1-437-555-0102, on the last page."]
-    texts = spark.createDataFrame([("chunks", f"c{n}", f"{says[n % 4]} x{n}") for n in range(40)], "place string, row_key string, text string")
-    found = lambda: sorted((r["row_key"], tuple(map(tuple, r["entities"]))) for r in pii.find_personal(texts).collect())
-    want = found()
-    monkeypatch.setattr(pii, "KNOWN", 2)
-    assert want and found() == want and "c1" not in dict(want)
-
-
-def test_skip_edges_of_many_names():
-    pii = pytest.importorskip("fernglass.llm.pii")
-    np = pytest.importorskip("numpy")
-    rng = np.random.default_rng(5)
-    names = ["".join(rng.choice(list("abcdefgh"), 8)) for _ in range(200)]
-    tokens = [(t, 0, 0) for name in [*names, *(n[:3] + n[4:] for n in names), *(n[:4] + n[5] + n[4] + n[6:] for n in names)] for t in (name, "said")]
-    edges = pii.skip_edges(tokens, np.array([t != "said" for t, _, _ in tokens]))
-
-    last, want = {}, []
-    for k, (low, _, _) in enumerate(tokens):
-        if low != "said":
-            other = last.get(low, next((i for t, i in last.items() if pii.one_edit(t, low)), None))
-            if other is not None:
-                want.append((other, k))
-            last[low] = k
-    assert edges == want and len(edges) >= 400
-
-
-def test_field_is_fitted_to_whole_texts(spark, monkeypatch):
-    pii = pytest.importorskip("fernglass.llm.pii")
-    seen = []
-    monkeypatch.setattr(pii, "prepare", lambda text, known: seen.append(len(text)))
-    texts = spark.createDataFrame([("chunks", "a", "word " * 6_000, None)], "place string, row_key string, text string, rare_words array<string>")
-    pii.fit_field(texts, frozenset())
-    assert seen == [30_000]
-
-
-def test_word_before_chooses_among_all_repairs_of_least_cost(spark):
-    scans = pytest.importorskip("fernglass.llm.scans")
-    words = ["eacccoc", "caeccoc", "cacecoc", "cacceoc", "cacccoe"]
-    assert {scans.reading_cost("cacccoc", w) for w in words} == {0.3}
-    # the last is the least frequent, and the only one that follows valve
-    clean = [(f"{w}{n}", 1, f"look at {'valve' if w == words[4] else 'the'} {w} and the wall in each room of the house") for w in words for n in range(30 if w == words[4] else 60)]
-    chunks = spark.createDataFrame([*clean, ("s", 2, "look at valve cacccoc and the wall\nin each room of the house")], "chunk_id string, doc_id long, text string")
-    documents = spark.createDataFrame([(1, "text"), (2, "tesseract")], "doc_id long, extractor string")
-    got = [(r["piece"], r["repair"]) for r in scans.find_noise(chunks, documents).filter("chunk_id = 's' and noise = 'misread'").collect()]
-    assert got == [("cacccoc", "cacccoe")]

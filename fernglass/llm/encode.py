@@ -85,7 +85,7 @@ def _encode_words(path: str):
     return run
 
 
-def _place(counts_only: bool):
+def _place(counts_only: bool, names: list[str]):
     """Put the ids of a block's words in place in its texts."""
 
     def run(texts: pa.Table, words: pa.Table) -> pa.Table:
@@ -94,8 +94,7 @@ def _place(counts_only: bool):
         lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) and lists.num_chunks else lists
         starts = lists.offsets.to_numpy() if len(known) else np.zeros(1, np.int64)
         flat = lists.values.to_numpy() if len(known) else np.zeros(0, np.int32)
-        keys = [texts.column(c) for c in ("doc_id", "_row", "_piece")]
-        names = ["doc_id", "_row", "_piece"]
+        keys = [texts.column(c) for c in names]
         if counts_only:
             length = dict(zip(known, np.diff(starts).tolist()))
             sizes = [sum(map(length.__getitem__, _words(t))) if t else 0 for t in texts.column("_text").to_pylist()]
@@ -114,17 +113,18 @@ def _place(counts_only: bool):
 
 
 def _encoded(texts: DataFrame, total: int, path: str, counts_only: bool, block_chars: int) -> DataFrame:
-    """``doc_id, _row, _piece`` and the ids or their number of texts ``doc_id, _row, _piece, _text``, ``total`` characters in all."""
+    """The columns and the ids, or their number, of texts ``_text`` with columns that are not constant, ``total`` characters in all."""
+    keys = [c for c in texts.columns if c != "_text"]
     blocks = max(1, -(-total // block_chars))
     parts = min(MOST_PARTITIONS, max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks))
-    texts = texts.withColumn("_block", F.pmod(F.xxhash64("doc_id", F.length("_text"), "_piece"), F.lit(blocks))).repartition(parts, "_block").sortWithinPartitions("_block")
+    texts = texts.withColumn("_block", F.pmod(F.xxhash64(F.length("_text"), *keys), F.lit(blocks))).repartition(parts, "_block").sortWithinPartitions("_block")
     # all columns go along, so that both sides read one exchange
     words = texts.mapInArrow(_block_words, "_block long, _word string")
     # the distinct-word table is laid out by word: a word's rows, one for each block, meet where it is encoded, for so many blocks at once
     words = words.withColumn("_share", F.floor(F.col("_block") / BLOCKS_OF_A_WORD)).repartition(parts, "_word", "_share").sortWithinPartitions("_word")
     words = words.select("_block", "_word").mapInArrow(_encode_words(path), "_block long, _word string, _ids array<int>")
-    out = "doc_id long, _row long, _piece int, " + ("n_tokens long" if counts_only else "ids array<int>")
-    return texts.groupBy("_block").cogroup(words.groupBy("_block")).applyInArrow(_place(counts_only), out)
+    out = ", ".join(f"{c} {kind}" for c, kind in texts.dtypes if c in keys) + (", n_tokens long" if counts_only else ", ids array<int>")
+    return texts.groupBy("_block").cogroup(words.groupBy("_block")).applyInArrow(_place(counts_only, keys), out)
 
 
 def word_pieces(text: Column, chars: int) -> Column:
@@ -144,8 +144,7 @@ def encode_documents(documents: DataFrame, tokenizer: str = "byte_bpe_50k", *, c
     texts = documents.select("doc_id", F.col("text").alias("_text"))
     large = F.coalesce(F.length("_text") > block_chars, F.lit(False))
     small_chars, large_chars = texts.agg(F.sum(F.when(~large, F.length("_text"))), F.sum(F.when(large, F.length("_text")))).first()
-    whole = texts.filter(~large).select("doc_id", F.lit(0).cast("long").alias("_row"), F.lit(0).alias("_piece"), "_text")
-    out = _encoded(whole, small_chars or 0, path, counts_only, block_chars).select("doc_id", result)
+    out = _encoded(texts.filter(~large), small_chars or 0, path, counts_only, block_chars)
     if not large_chars:
         return out
     # rows of large texts are told apart by a number that the cut of lineage keeps, whatever is computed again

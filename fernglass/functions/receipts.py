@@ -177,3 +177,28 @@ def receipt_text(reading: Column) -> Column:
     head = [F.when(filled(reading["merchant"]), reading["merchant"]).otherwise("Unknown merchant"), F.when(filled(reading["date"]), F.concat(F.lit("Date: "), reading["date"]))]
     tail = [F.when(filled(reading["payment_method"]), F.concat(F.lit("Paid with: "), masked_payment(reading["payment_method"]))), F.when(filled(reading["category"]), F.concat(F.lit("Category: "), reading["category"]))]
     return F.array_join(F.concat(F.array_compact(F.array(*head)), items, F.array_compact(F.array(*sums, *tail))), "\n")
+
+
+#: The fields of a reading that are texts or null.
+READING_TEXTS = ("merchant", "date", "currency", "subtotal", "tax", "tip", "discounts", "total", "payment_method", "category")
+
+
+def reading_schema() -> dict:
+    """The JSON schema that a reading is asked to follow: texts or nulls as printed, a list of line items, a category of those there are."""
+    text = {"type": ["string", "null"]}
+    item = {"type": "object", "properties": {n: text for n in ("description", "quantity", "amount")}, "required": ["description", "amount"]}
+    fields = {n: text for n in READING_TEXTS if n != "category"} | {"line_items": {"type": "array", "items": item}, "category": {"type": "string", "enum": list(CATEGORIES)}}
+    return {"type": "object", "properties": fields, "required": ["merchant", "date", "total", "line_items", "category"]}
+
+
+def schema_faults(reading: Column) -> Column:
+    """Where a JSON text does not follow the schema, in the order of its fields; empty where it does. Text that is no object has that one fault."""
+    whole = F.try_parse_json(reading)
+    part = lambda name: F.try_variant_get(whole, f"$.{name}", "variant")
+    kind = lambda name: F.coalesce(F.schema_of_variant(part(name)), F.lit("VOID"))
+    found = [F.when(~kind(n).isin("STRING", "VOID"), f"{n}: no text") for n in READING_TEXTS]
+    found.append(F.when(~kind("line_items").startswith("ARRAY") & (kind("line_items") != "VOID"), "line_items: no list"))
+    category = F.lower(F.trim(F.try_variant_get(whole, "$.category", "string")))
+    found.append(F.when((kind("category") == "STRING") & ~category.isin(*CATEGORIES), "category: unknown"))
+    no_object = whole.isNull() | ~F.coalesce(F.schema_of_variant(whole), F.lit("")).startswith("OBJECT")
+    return F.when(no_object, F.array(F.lit("no object"))).otherwise(F.array_compact(F.array(*found)))

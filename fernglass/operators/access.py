@@ -7,9 +7,11 @@ import base64
 import hashlib
 import hmac
 import json
+import logging
 import re
 import secrets
 import time
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -129,6 +131,18 @@ def audit_entries(decisions: DataFrame, at: str) -> DataFrame:
     return decisions.select(F.lit(at).alias("ts"), "principal", "transport", "tool", "query_hash", "decision", "reason")
 
 
+def recorded(entries: DataFrame, append: Callable[[DataFrame], None], journal: logging.Logger) -> bool:
+    """Whether ``append`` took the entries. If it fails, as where the store is sealed, the journal gets a line for each tool, decision and reason, so
+    that a denial is known where it can't be stored; the failure itself doesn't hide what was decided."""
+    try:
+        append(entries)
+        return True
+    except Exception as error:  # noqa: BLE001
+        for r in entries.groupBy("tool", "decision", "reason").agg(F.count("*").alias("n")).orderBy("tool", "decision", "reason").collect():
+            journal.warning("not stored (%s): %s %s %s, %d times", type(error).__name__, r["tool"], r["decision"], r["reason"], r["n"])
+        return False
+
+
 def audit_tail(log: DataFrame, limit: int = 50) -> DataFrame:
     """The newest entries of a log by id: a top-k without a full sort."""
     return log.orderBy(F.desc("id")).limit(limit)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.receipts import READING, receipt_text, validate_readings
+from ..functions.receipts import READING, receipt_text, schema_faults, validate_readings
 from ..operators import structure as S
 from ..sources.files import transcript_blocks, transcript_facts
 from ..sources.tables import table
@@ -32,6 +32,12 @@ def _readings(s, d):
     return rows.select("id", F.to_json(reading).alias("reading"), F.lit("2026-01-01").alias("fallback_date"))
 
 
+def _formed(id_):
+    """Readings of which four in five are ill formed."""
+    head = F.concat(F.lit('{"merchant":"Shop ') , id_.cast("string"), F.lit('","date":null,"line_items":'))
+    return F.when(id_ % 5 == 0, F.concat(head, F.lit('[],"total":"$1","category":"other"}'))).when(id_ % 5 == 1, F.concat(head, F.lit('[],"total":12.5,"category":"other"}'))).when(id_ % 5 == 2, F.concat(head, F.lit('{"a":1},"total":null,"category":"no such"}'))).when(id_ % 5 == 3, F.lit("[1, 2]")).otherwise(F.concat(F.lit("broken "), head))
+
+
 def _pages(s, d):
     return _docs(s, d).select((F.col("doc_id") % 50).alias("doc_id"), (F.col("n_chars") % 40 + 1).cast("long").alias("page")).filter("page is not null")
 
@@ -59,6 +65,7 @@ QUERIES = {
     "transcript_turns": lambda s, d: transcript_blocks(_lines(s, d)).select("path", "line", "kind", F.length("text").alias("n_chars")),
     "transcript_facts": lambda s, d: transcript_facts(_lines(s, d)).select("path", "title", "first_ts", "last_ts"),
     "receipt_validate": lambda s, d: validate_readings(_readings(s, d), F.lit("2026-12-31").cast("date")).select("id", "txn_date", "amount_cents", "currency", "needs_review"),
+    "reading_faults": lambda s, d: table(s, d, "ledger").select("id").distinct().select("id", F.array_join(schema_faults(_formed(F.col("id"))), "; ").alias("faults")),
     "receipt_text": lambda s, d: _readings(s, d).select("id", receipt_text(F.from_json("reading", READING)).alias("text")),
     "event_windows": lambda s, d: windowed_counts(table(s, d, "events")),
     "approvals": lambda s, d: approvals_batch(table(s, d, "events").select((F.col("user_id")).cast("string").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.when(F.col("event_id") % 3 == 0, "request").when(F.col("event_id") % 3 == 1, "approve").otherwise("redeem").alias("action"))),
@@ -87,5 +94,6 @@ ORACLES = {
         WITH r AS (SELECT DISTINCT * FROM ledger)
         SELECT id, concat_ws(chr(10), CASE WHEN coalesce(merchant, '') <> '' THEN merchant ELSE 'Unknown merchant' END, 'Date: ' || nullif(txn_date, ''),
                'Total: ' || format('${:,.2f}', amount_cents / 100.0), 'Paid with: ' || nullif(payment_method, ''), 'Category: ' || nullif(category, '')) AS text FROM r""",
+    "reading_faults": "SELECT DISTINCT id, CASE id % 5 WHEN 0 THEN '' WHEN 1 THEN 'total: no text' WHEN 2 THEN 'line_items: no list; category: unknown' ELSE 'no object' END AS faults FROM ledger",
     "event_windows": "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
 }

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import hmac
 import json
+import logging
 
 import numpy as np
 import pytest
@@ -56,6 +57,18 @@ def test_gates(spark):
     assert {r[2:] for r in run(False)} == {("denied", "sealed")}
 
 
+def test_what_cannot_be_stored_is_in_the_journal(spark, caplog):
+    entries = spark.createDataFrame([("t", "denied", "sealed"), ("t", "denied", "sealed"), ("u", "allowed", None)], "tool string, decision string, reason string")
+    kept = []
+    assert A.recorded(entries, kept.append, logging.getLogger("audit")) and len(kept) == 1 and not caplog.records
+
+    def fails(_):
+        raise OSError("sealed")
+
+    assert not A.recorded(entries, fails, logging.getLogger("audit"))
+    assert [r.getMessage() for r in caplog.records] == ["not stored (OSError): t denied sealed, 2 times", "not stored (OSError): u allowed None, 1 times"]
+
+
 def test_clients_and_tenants(spark):
     tokens = A.client_tokens(f" a:{'x' * 32}, b_1:{'y' * 40},")
     assert tokens == {"a": "x" * 32, "b_1": "y" * 40}

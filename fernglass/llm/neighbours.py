@@ -1,4 +1,4 @@
-"""The most similar vectors of every vector, by cross-polytope hashing with multiprobe tables and exact reranking."""
+"""The most similar vectors of every vector: floors by cross-polytope hashing with multiprobe tables, all pairs against them, and exact reranking."""
 
 from __future__ import annotations
 
@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DIMENSION, K = 64, 10
-#: Hash tables, and vectors in a shard, which a task holds whole: the fewer shards a domain has, the less is sent.
-TABLES, SHARD = 8, 131_072
+#: Hash tables, and vectors in a shard, which a task holds whole: the fewer shards a domain has, the less is sent. More than one table costs more than its floors save.
+TABLES, SHARD = 1, 131_072
 #: Domains up to which their numbers of shards are sent to every task.
 DOMAINS = 100_000
-#: Signed axes probed in each table by the rows that are looked through: the more there are, the nearer the nearest are, and the fewer cells hold them.
-PROBES = ((8192, 7), (16_384, 6), (1 << 62, 5))
+#: Signed axes probed in each table, at any number of rows. Tables and probes only save time; what is found does not depend on them.
+PROBES = 7
+#: Rows of a matrix product's sides, and pairs of a block's queries that wait at most for their cosines in double precision.
+BLOCK, CROWD = 1024, 1_000_000
 
 _OUT = "domain string, chunk_id string, near array<struct<d:double,neighbour:string>>"
 
@@ -57,82 +59,97 @@ def nearest_axes(rows: np.ndarray, probes: int) -> np.ndarray:
     return top * 2 + (np.take_along_axis(rows, top, 1) < 0)
 
 
-class _Best:
-    """The k best base rows of each query row so far."""
-
-    def __init__(self, queries: int, k: int) -> None:
-        self.k, self.floor = k, np.full(queries, -2, np.float32)
-        self.q, self.b, self.s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
-
-    def merge(self, found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
-        if not found:
-            return
-        q, b, s = (np.concatenate([old, *new]) for old, new in zip((self.q, self.b, self.s), zip(*found)))
-        keep = s >= self.floor[q]
-        q, b, s = q[keep], b[keep], s[keep]
-        # whole numbers as keys sort fast: the pair, to drop repeats, then the query and the score from high to low
-        order = np.argsort(q << 32 | b)
-        q, b, s = q[order], b[order], s[order]
-        new = np.r_[True, (q[1:] != q[:-1]) | (b[1:] != b[:-1])] if len(q) else np.zeros(0, bool)
-        q, b, s = q[new], b[new], s[new]
-        order = np.argsort(q << 32 | ((2.0 - s.astype(np.float64)) * (1 << 29)).astype(np.int64), kind="stable")
-        q, b, s = q[order], b[order], s[order]
-        rank = np.arange(len(q)) - np.searchsorted(q, q)
-        last = rank == self.k - 1
-        self.floor[q[last]] = s[last]
-        keep = rank < self.k
-        self.q, self.b, self.s = q[keep], b[keep], s[keep]
-
-
-def search(queries: np.ndarray, base: np.ndarray, own: np.ndarray, k: int, tables: int = TABLES, probes: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """``(query rows, base rows)`` of the k best candidates of each query; ``own`` is the query's own base row or -1.
+def unit(rows: np.ndarray) -> np.ndarray:
+    """Rows scaled to length one, in single precision."""
+    rows = rows.astype(np.float64)
+    return (rows / np.linalg.norm(rows, axis=1, keepdims=True)).astype(np.float32)
+
+
+def cosines(queries: np.ndarray, base: np.ndarray, q: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The cosine of each pair in double precision, its sums taken from the first number to the last, so that it has the bits of SQL's."""
+    found = [np.zeros(0)]
+    for at in range(0, len(q), 50_000):
+        x, y = queries[q[at : at + 50_000]].astype(np.float64), base[b[at : at + 50_000]].astype(np.float64)
+        dot, left, right = (np.add.accumulate(product, axis=1, out=product)[:, -1] for product in (x * y, x * x, y * y))
+        found.append(np.clip(dot / np.sqrt(left * right), -1, 1))
+    return np.concatenate(found)
+
+
+def first_of_equals(rows: np.ndarray, most: int) -> np.ndarray:
+    """The rows without those that ``most`` rows before them equal."""
+    seen: dict[bytes, int] = {}
+    kept = []
+    for number, row in enumerate(map(bytes, rows)):
+        seen[row] = times = seen.get(row, 0) + 1
+        if times <= most:
+            kept.append(number)
+    return np.array(kept, np.int64)
+
+
+def _best(queries: np.ndarray, base: np.ndarray, q: np.ndarray, b: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs the k best of each query by the cosine in double precision, the earlier base row first where it is equal; ``s`` goes along."""
+    order = np.lexsort((b, -cosines(queries, base, q, b), q))
+    order = order[np.arange(len(q)) - np.searchsorted(q[order], q[order]) < k]
+    return q[order], b[order], s[order]
+
+
+def search(queries: np.ndarray, base: np.ndarray, own: np.ndarray, k: int, tables: int = TABLES, probes: int = PROBES) -> tuple[np.ndarray, np.ndarray]:
+    """``(query rows, base rows)`` of the k best base rows of each query, best first; ``own`` is the query's own base row or -1.
 
     In each table a base row lies in the cell of its nearest signed axis and a query looks into the cells of its ``probes``
-    nearest ones; each cell is scored as one matrix product. Lists that candidates did not fill are searched exactly."""
-    best = _Best(len(queries), k)
-    probes = probes or next(p for rows, p in PROBES if len(base) < rows)
-    for number, signs in enumerate(rotations(queries.shape[1], tables)):
-        looked = nearest_axes(turned(queries, signs), probes)
-        cell = looked[:, 0] if queries is base else nearest_axes(turned(base, signs), 1)[:, 0]
-        members = np.argsort(cell, kind="stable")
-        edges = np.searchsorted(cell[members], np.arange(2 * queries.shape[1] + 1))
-        visits = np.argsort(looked.ravel(), kind="stable")
-        visit_edges = np.searchsorted(looked.ravel()[visits], np.arange(2 * queries.shape[1] + 1))
-        found = []
-        for c in range(2 * queries.shape[1]):
-            rows = members[edges[c] : edges[c + 1]]
-            asking = (visits[visit_edges[c] : visit_edges[c + 1]] // probes)
-            if not len(rows):
-                continue
-            for part in np.array_split(asking, max(1, len(asking) * len(rows) // 4_000_000)):
-                if not len(part):
-                    continue
-                score = queries[part] @ base[rows].T
-                floor = best.floor[part]
-                if not number and len(rows) > k:
-                    floor = np.maximum(floor, np.partition(score, -k - 1, axis=1)[:, -k - 1])
-                a, b = np.nonzero(score >= floor[:, None])
-                q, r = part[a], rows[b]
-                other = own[q] != r
-                found.append((q[other], r[other], score[a, b][other]))
-        best.merge(found)
-    short = np.flatnonzero(np.bincount(best.q, minlength=len(queries)) < np.minimum(k, len(base) - (own >= 0)))
-    found = []
-    for part in np.array_split(short, -(-len(short) * len(base) // 4_000_000) or 1):
-        if len(part):
-            score = queries[part] @ base.T
-            hidden = np.flatnonzero(own[part] >= 0)
-            score[hidden, own[part][hidden]] = -3
-            top = np.argpartition(-score, min(k, len(base) - 1), axis=1)[:, :k]
-            a, b = np.repeat(part, top.shape[1]), top.ravel()
-            ok = own[a] != b
-            found.append((a[ok], b[ok], np.take_along_axis(score, top, 1).ravel()[ok]))
-    if found:
-        best.merge(found)
-    return best.q, best.b
-
-
-def _tile(k: int, tables: int, probes: int | None):
+    nearest ones; the k-th best there is its floor. Then all pairs are scored in matrix products, and those not under the floor, less what
+    single precision may be wrong by, are judged in double. So the rows found are the k best whatever the tables, the probes and
+    the number of rows are, and equal ones are taken in the order of the base."""
+    kept = first_of_equals(base, k + 1)
+    place = np.full(len(base) + 1, -1)
+    place[kept] = np.arange(len(kept))
+    base, own = base[kept], place[own]
+    ask, look = unit(queries), unit(base)
+    slack = np.float32(2 * (ask.shape[1] + 4) * np.finfo(np.float32).eps)
+    floor = np.full(len(ask), -2, np.float32)
+    for signs in rotations(ask.shape[1], tables):
+        looked, cell = nearest_axes(turned(ask, signs), probes), nearest_axes(turned(look, signs), 1)[:, 0]
+        for c in range(2 * ask.shape[1]):
+            rows, asking = np.flatnonzero(cell == c), np.flatnonzero((looked == c).any(axis=1))
+            for at in range(0, len(asking) if len(rows) > k else 0, BLOCK):
+                part = asking[at : at + BLOCK]
+                floor[part] = np.maximum(floor[part], _reached(ask[part] @ look[rows].T, k) - slack)
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for start in range(0, len(ask), BLOCK):
+        part, low, mine = ask[start : start + BLOCK], floor[start : start + BLOCK], own[start : start + BLOCK]
+        q, b, s, new, waiting = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32), [], 0
+        for at in range(0, len(look), BLOCK):
+            score = part @ look[at : at + BLOCK].T
+            bare = np.flatnonzero(low < -1)
+            if len(bare) and score.shape[1] > k:
+                low[bare] = _reached(score[bare], k) - slack
+            over = np.flatnonzero(score >= low[:, None])
+            over_q, over_b = np.divmod(over, score.shape[1])
+            other = mine[over_q] != over_b + at
+            new.append((over_q[other], over_b[other] + at, score.ravel()[over[other]]))
+            waiting += len(over)
+            if waiting > 16 * len(part) or at + BLOCK >= len(look):
+                q, b, s = (np.concatenate([old, *more]) for old, more in zip((q, b, s), zip(*new)))
+                order = np.lexsort((-s, q))
+                q, b, s = q[order], b[order], s[order]
+                last = np.arange(len(q)) - np.searchsorted(q, q) == k - 1
+                low[q[last]] = np.maximum(low[q[last]], s[last] - slack)
+                keep = s >= low[q]
+                q, b, s, new, waiting = q[keep], b[keep], s[keep], [], 0
+                if len(q) > CROWD:
+                    q, b, s = _best(queries[start : start + BLOCK], base, q, b, s, k)
+        q, b, _ = _best(queries[start : start + BLOCK], base, q, b, s, k)
+        found.append((q + start, kept[b]))
+    q, b = (np.concatenate(rows) for rows in zip(*found))
+    return q, b
+
+
+def _reached(score: np.ndarray, k: int) -> np.ndarray:
+    """What k rows other than the query's own reach at least, of more than k."""
+    return np.partition(score, -k - 1, axis=1)[:, -k - 1]
+
+
+def _tile(k: int, tables: int, probes: int):
     """The neighbours within a shard, or of the rows of each of two shards in the other."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -141,32 +158,30 @@ def _tile(k: int, tables: int, probes: int | None):
         names = sorted(places)
         order = [places[i] for i in names]
         lists = table.column("vector").combine_chunks()
-        exact = np.asarray(lists.flatten(), np.float64).reshape(table.num_rows, -1)[order]
-        exact /= np.linalg.norm(exact, axis=1, keepdims=True)
-        unit = exact.astype(np.float32)
+        vectors = lists.flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)[order]
         shard = table.column("_own").to_numpy()[order]
         sides = [np.flatnonzero(shard == s) for s in np.unique(shard)]
         found = []
         if table.column("_a")[0].as_py() == table.column("_b")[0].as_py():
-            q, b = search(unit, unit, np.arange(len(unit)), k, tables, probes)
+            q, b = search(vectors, vectors, np.arange(len(vectors)), k, tables, probes)
             found.append((q, b))
         elif len(sides) == 2:
             for query, base in (sides, sides[::-1]):
-                q, b = search(unit[query], unit[base], np.full(len(query), -1), k, tables, probes)
+                q, b = search(vectors[query], vectors[base], np.full(len(query), -1), k, tables, probes)
                 found.append((query[q], base[b]))
         q, b = (np.concatenate([f[i] for f in found]).astype(np.int64) if found else np.zeros(0, np.int64) for i in (0, 1))
-        cosine = np.concatenate([np.einsum("ij,ij->i", exact[i], exact[j]) for i, j in zip(np.array_split(q, len(q) // 200_000 + 1), np.array_split(b, len(b) // 200_000 + 1))])
+        cosine = cosines(vectors, vectors, q, b)
         # the neighbours of a row lie together; a list of them is one row
         first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.zeros(0, np.int64)
         every = pa.array(names, pa.string())
-        near = pa.StructArray.from_arrays([pa.array(-np.clip(cosine, -1, 1)), every.take(pa.array(b))], ["d", "neighbour"])
+        near = pa.StructArray.from_arrays([pa.array(-cosine), every.take(pa.array(b))], ["d", "neighbour"])
         lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(q)].astype(np.int32)), near)
         return pa.table({"domain": pa.array([table.column("domain")[0].as_py()] * len(first), pa.string()), "chunk_id": every.take(pa.array(q[first])), "near": lists})
 
     return run
 
 
-def most_similar(chunks: DataFrame, k: int = K, *, dimension: int = DIMENSION, tables: int = TABLES, probes: int | None = None, shard: int = SHARD) -> DataFrame:
+def most_similar(chunks: DataFrame, k: int = K, *, dimension: int = DIMENSION, tables: int = TABLES, probes: int = PROBES, shard: int = SHARD) -> DataFrame:
     """``domain, chunk_id, neighbour, rank, cosine``: the k most similar chunks of the same domain for every usable vector.
 
     Domains compare trimmed and in lower case; a null domain, a null id and a vector that is not ``dimension`` finite numbers or

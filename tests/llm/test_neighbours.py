@@ -1,6 +1,6 @@
 import numpy as np
 
-from fernglass.llm.neighbours import hadamard, nearest_axes, turned, most_similar, rotations, similar_pairs
+from fernglass.llm.neighbours import hadamard, nearest_axes, turned, most_similar, rotations, search, similar_pairs
 
 SCHEMA = "chunk_id string, domain string, vector array<float>, rank string, cosine int"
 
@@ -51,3 +51,39 @@ def test_odd_vectors_small_domains_and_repeats(spark):
     assert sorted((r["chunk_id"], r["rank"], r["neighbour"]) for r in got) == [("a", 1, "b"), ("a", 2, "c"), ("b", 1, "a"), ("b", 2, "c"), ("c", 1, "a"), ("c", 2, "b")]
     assert [tuple(r) for r in similar_pairs(most_similar(frame(spark, rows))).collect()] == [("a", "b")]
     assert most_similar(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_rows_found_are_those_of_brute_force_at_any_number_of_rows():
+    rng = np.random.default_rng(2)
+    asked = rng.normal(size=(300, 64)).astype(np.float32)
+    asked[:, 0] = np.abs(asked[:, 0]) + 8
+    far = rng.normal(size=(17_000, 64)).astype(np.float32)
+    far[:, 0] = -np.abs(far[:, 0]) - 8
+    want = brute({f"{n:05d}": v.astype(float) for n, v in enumerate(asked)}, 10)
+    for others in (0, 8000, 17_000):
+        base = np.concatenate([asked, far[:others]])
+        q, b = search(asked, base, np.arange(300), 10)
+        assert {f"{n:05d}": {f"{r:05d}" for r in b[q == n]} for n in range(300)} == want, others
+
+
+def test_neighbours_do_not_depend_on_shards_tables_or_probes(spark):
+    rng = np.random.default_rng(3)
+    vectors = {f"v{n:04d}": np.float32(rng.normal(size=64)).astype(float) for n in range(1500)}
+    rows = frame(spark, [(i, "notes", v) for i, v in vectors.items()]).cache()
+    want = brute(vectors, 10)
+    for options in ({}, {"shard": 400}, {"tables": 1, "probes": 1}):
+        got = most_similar(rows, **options).collect()
+        found = {}
+        for r in got:
+            found.setdefault(r["chunk_id"], set()).add(r["neighbour"])
+        assert len(got) == 15_000 and found == want, options
+
+
+def test_equal_and_parallel_vectors_rank_by_id():
+    rng = np.random.default_rng(4)
+    rows = np.concatenate([np.repeat(rng.normal(size=(1, 64)), 3000, axis=0), rng.normal(size=(1, 64)) * 2.0 ** np.arange(-60, 60)[:, None]]).astype(np.float32)
+    q, b = search(rows, rows, np.arange(3120), 3)
+    lists = b.reshape(3120, 3)
+    assert (q == np.repeat(np.arange(3120), 3)).all()
+    assert [lists[n].tolist() for n in (0, 1, 2, 3, 2999)] == [[1, 2, 3], [0, 2, 3], [0, 1, 3], [0, 1, 2], [0, 1, 2]]
+    assert [lists[n].tolist() for n in (3000, 3001, 3119)] == [[3001, 3002, 3003], [3000, 3002, 3003], [3000, 3001, 3002]]

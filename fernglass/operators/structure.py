@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +18,8 @@ from ..functions.text import dated, normalised_stem, parent_folder, stripped
 CHUNK = "doc_id long, chunk_index long, text string, token_count long, heading_path array<string>, lines array<long>, pages array<long>"
 #: Fixed value: how alike two stems are that are worth mentioning.
 SIMILAR = 0.85
+#: Stems of a side of a tile, pairs held against each other at once, and tasks for each core.
+TILE, AT_ONCE, TASKS = 4096, 1_000_000, 4
 
 
 def _as_blocks(text: str) -> list[S.Block]:
@@ -129,34 +133,60 @@ def unsupported_numbers(readings: DataFrame) -> DataFrame:
     return readings.withColumn("missing", F.array_distinct(F.filter(numbers(F.col("markdown")), lambda n: ~F.array_contains(have, n) & ~F.array_contains(have, bare(n)))))
 
 
+def alike_stems(first: list[str], second: list[str], least: float) -> list[tuple[str, str]]:
+    """The pairs, the lesser stem first, whose ratio of matching blocks is ``least`` or more; both lists in order, and the same for pairs within one.
+
+    Matched letters are at most those in common, so counts of letters leave few pairs. With M matched letters in B blocks of lengths a, b: 2M >= least (a + b),
+    B <= a + b - 2M + 1, and common letter pairs are at least M - B."""
+    within = first == second
+    letters = sorted(set("".join(first) + "".join(second)))
+    kind = np.uint8 if max(map(len, [*first, *second]), default=0) < 256 else np.int32
+    counts = [np.array([[t.count(c) for t in x] for c in letters], kind) for x in (first, second)]
+    sizes = [np.array([len(t) for t in x], np.int32) for x in (first, second)]
+    pairs = {t: Counter(t[k : k + 2] for k in range(len(t) - 1)) for t in {*first, *second}}
+    found, matcher = [], SequenceMatcher(None)
+    step = max(1, AT_ONCE // max(1, len(first)))
+    for at in range(0, len(second), step):
+        common = np.zeros((min(step, len(second) - at), len(first)), kind)
+        for a, b in zip(*counts):
+            common += np.minimum(b[at : at + step, None], a[None, :])
+        q, p = np.nonzero(2 * common.astype(np.int32) >= least * (sizes[1][at : at + step, None] + sizes[0][None, :]) - 1e-6)
+        for b, a in zip((q + at).tolist(), p.tolist()):
+            x, y = first[a], second[b]
+            if within and a >= b or x == y:
+                continue
+            x, y = min(x, y), max(x, y)
+            total = len(x) + len(y)
+            if (pairs[x] & pairs[y]).total() < 1.5 * least * total - total - 1 - 1e-6:
+                continue
+            matcher.set_seq2(y)
+            matcher.set_seq1(x)
+            if matcher.ratio() >= least:
+                found.append((x, y))
+    return found
+
+
 def similar_names(documents: DataFrame, least: float = SIMILAR) -> DataFrame:
     """``uri_a, uri_b``: active documents of one source and folder whose undated names are alike without version decoration.
 
     Files of one stem are a class: each is paired with its representative, the first path, and representatives of alike stems with each other, so that
-    a folder of like names gives as many rows as files and no link is lost. Two stems can be this alike only if they share many letter pairs, so they meet on the rarest pairs of
-    each (a prefix filter), and the ratio of matching blocks decides."""
+    a folder of like names gives as many rows as files and no link is lost. All stems of a folder are held against each other by how often they have each letter, in tiles of
+    at most about ``TILE`` names a side; what shares enough letters and letter pairs goes on, and the ratio of matching blocks decides."""
     rows = documents.filter((F.col("lifecycle") == "active") & ~dated(F.col("uri"))).select("source_id", "uri", parent_folder(F.col("uri")).alias("folder"), normalised_stem(F.col("uri")).alias("stem")).filter("stem <> ''").distinct()
     stems = rows.select("source_id", "folder", "stem").distinct()
     key = ["source_id", "folder"]
-    at = F.sequence(F.lit(1), F.greatest(F.length("stem") - 1, F.lit(1)))
-    pairs = stems.select(*key, "stem", F.explode(F.transform(at, lambda i: F.substring("stem", i, 2))).alias("pair"))
-    # the second of two equal pairs is another one
-    numbered = pairs.groupBy(*key, "stem", "pair").agg(F.count("*").alias("_n")).select(*key, "stem", "pair", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("nth"))
-    rarity = numbered.groupBy(*key, "pair", "nth").agg(F.count("*").alias("df"))
-    ordered = numbered.join(rarity, [*key, "pair", "nth"]).groupBy(*key, "stem").agg(F.array_sort(F.collect_list(F.struct("df", "pair", "nth"))).alias("p"))
-    # matched letters M and blocks B of lengths a, b: 2M >= least (a + b), B <= a + b - 2M + 1, shared pairs >= M - B
-    shorter = least / (2 - least)
-    shared = (1 + shorter) * (least / 2 - (1 - least))
-    keep = F.greatest(F.size("p") - F.floor(F.length("stem") * shared - 1) + 1, F.lit(1)).cast("int")
-    prefix = ordered.select(*key, "stem", F.explode(F.slice("p", 1, keep)).alias("g")).select(*key, "stem", "g.pair", "g.nth")
-    other = prefix.withColumnRenamed("stem", "other")
-    met = prefix.join(other, [*key, "pair", "nth"]).filter((F.col("stem") < F.col("other")) & (F.least(F.length("stem"), F.length("other")) >= F.greatest(F.length("stem"), F.length("other")) * shorter)).select(*key, "stem", "other").distinct()
-
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
-
-    alike = met.filter(ratio("stem", "other") >= least).select(*key, F.col("stem").alias("sa"), F.col("other").alias("sb"))
+    tiles = stems.groupBy(*key).agg(F.ceil(F.count("*") / TILE).cast("int").alias("_tiles"))
+    placed = stems.join(tiles, key).withColumn("_tile", F.pmod(F.hash("stem"), F.col("_tiles")))
+    paired = placed.select(*key, "stem", "_tile", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)).alias("_other"))
+    paired = paired.select(*key, "stem", "_tile", F.least("_tile", "_other").alias("_i"), F.greatest("_tile", "_other").alias("_j"))
+
+    def alike_in(frame: pd.DataFrame) -> pd.DataFrame:
+        i, j = frame["_i"].iloc[0], frame["_j"].iloc[0]
+        found = pd.DataFrame(alike_stems(*(sorted(frame["stem"][frame["_tile"] == t]) for t in (i, j)), least), columns=["sa", "sb"])
+        return found.assign(source_id=frame["source_id"].iloc[0], folder=frame["folder"].iloc[0])[[*key, "sa", "sb"]]
+
+    parts = TASKS * documents.sparkSession.sparkContext.defaultParallelism  # stated, as few bytes are much work
+    alike = paired.repartition(parts, *key, "_i", "_j").groupBy(*key, "_i", "_j").applyInPandas(alike_in, "source_id string, folder string, sa string, sb string")
     first = rows.groupBy(*key, "stem").agg(F.min("uri").alias("_first"))
     a, b = (first.select(*key, F.col("stem").alias(f"s{x}"), F.col("_first").alias(f"u{x}")) for x in "ab")
     members = rows.join(first, [*key, "stem"]).filter("uri <> _first").select(F.col("_first").alias("uri_a"), F.col("uri").alias("uri_b"))

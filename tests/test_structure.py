@@ -213,3 +213,23 @@ def test_font_headings_and_heading_strip_over_frames(spark):
     for bad in ("0", "7-3", "x", ",", ""):
         with pytest.raises(Exception):
             spark.createDataFrame([(bad,)], "s string").select(O.page_set(F.col("s"))).collect()
+
+
+def test_only_names_with_common_letters_are_compared(spark, monkeypatch):
+    from itertools import combinations
+    from random import Random
+
+    rng = Random(7)
+    words = "pump valve seal motor hose fence garden kitchen callback handbook notes record summary".split()
+    stems = sorted({f"{rng.choice(words)} {rng.choice(words)} {rng.randint(10_000, 10_400)}" for _ in range(300)} | {"x", "a" * 300, "a" * 290 + "b" * 10})
+    want = {p for p in combinations(stems, 2) if O.SequenceMatcher(None, *p).ratio() >= 0.85}
+    calls, ratio = [], O.SequenceMatcher.ratio
+    monkeypatch.setattr(O.SequenceMatcher, "ratio", lambda self: calls.append(1) or ratio(self))
+    monkeypatch.setattr(O, "AT_ONCE", 5000)
+    assert want and set(O.alike_stems(stems, stems, 0.85)) == want
+    assert len(calls) < len(stems) * (len(stems) - 1) / 2 / 10
+    even, odd = stems[::2], stems[1::2]
+    assert {*O.alike_stems(even, even, 0.85), *O.alike_stems(odd, odd, 0.85), *O.alike_stems(even, odd, 0.85)} == want
+    monkeypatch.setattr(O, "TILE", 40)
+    docs = spark.createDataFrame([("s", f"f/{t.replace(' ', '-')}.txt", "active") for t in stems], "source_id string, uri string, lifecycle string")
+    assert {tuple(x[2:-4].replace("-", " ") for x in r) for r in O.similar_names(docs).collect()} == want
